@@ -6,7 +6,7 @@ import importlib
 
 from tidegauge.plans.registry import ORACLES, QUERIES, Query
 
-MODULES = ("panels", "audits")
+MODULES = ("panels", "audits", "cells", "backtests")
 
 
 def _load() -> None:

@@ -145,15 +145,15 @@ def _daily_weather(spark, sf_dir):
     )
     orders = B.table(spark, sf_dir, "orders").join(homes, "o_custkey")
     return orders.groupBy("station", F.to_date("o_orderdate").alias("day")).agg(
-        F.avg("o_totalprice").alias("temp_avg"), F.max("o_totalprice").alias("temp_max"),
+        F.avg(F.sqrt("o_totalprice")).alias("temp_avg"), F.max(F.sqrt("o_totalprice")).alias("temp_max"),
         F.sum(F.when(F.col("o_orderstatus") == "F", F.col("o_totalprice"))).alias("precip"),
         F.count("*").cast("double").alias("sunshine_hours"),
     )
 
 
 SQL_WEATHER = """weather AS (
-  SELECT c_nationkey AS station, CAST(o_orderdate AS DATE) AS day, avg(o_totalprice) AS temp_avg,
-         max(o_totalprice) AS temp_max, sum(CASE WHEN o_orderstatus = 'F' THEN o_totalprice END) AS precip,
+  SELECT c_nationkey AS station, CAST(o_orderdate AS DATE) AS day, avg(sqrt(o_totalprice)) AS temp_avg,
+         max(sqrt(o_totalprice)) AS temp_max, sum(CASE WHEN o_orderstatus = 'F' THEN o_totalprice END) AS precip,
          CAST(count(*) AS DOUBLE) AS sunshine_hours
   FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1, 2)"""
 

@@ -10,6 +10,7 @@ from tidegauge.operators.health import health_labels, life_stages
 from tidegauge.operators.panel import FeatureSpec, first_per_key
 from tidegauge.operators.ordered import over_series
 from tidegauge.operators.scenarios import rolling_scenarios, with_positions
+from tidegauge.session import settle
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -153,11 +154,14 @@ def health_cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
         number = F.row_number().over(w)
         return {
             "cycle": number,
-            "capacity_ah": F.round(F.avg("quantity").over(w.rowsBetween(-19, 0)) - number * 0.002, 6),
+            "capacity_ah": F.round(F.avg("quantity").over(w.rowsBetween(-19, 0)) - number * 0.002, 3),
         }
 
     numbered = over_series(daily, ["cell_id"], ["day"], build)
-    return numbered.select("cell_id", "cycle", "day", "capacity_ah", (F.col("discount") < 0.095).alias("is_modeling_cycle"))
+    # the cycle table is read several times from here on: written once, the raw rows are scanned once
+    return settle(numbered.select(
+        "cell_id", "cycle", "day", "capacity_ah", (F.col("discount") < 0.095).alias("is_modeling_cycle")
+    ))
 
 
 SQL_HEALTH_CYCLES = """daily AS (
@@ -166,7 +170,7 @@ SQL_HEALTH_CYCLES = """daily AS (
 cycles AS (
   SELECT cell_id, day, CAST(row_number() OVER w AS INT) AS cycle,
          round(avg(quantity) OVER (PARTITION BY cell_id ORDER BY day ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)
-               - row_number() OVER w * 0.002::DOUBLE, 6) AS capacity_ah,
+               - row_number() OVER w * 0.002::DOUBLE, 3) AS capacity_ah,
          discount < 0.095 AS is_modeling_cycle
   FROM daily WINDOW w AS (PARTITION BY cell_id ORDER BY day))"""
 
@@ -212,11 +216,12 @@ staged AS (
 def modelling_series(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidegauge.sources.readers import modelling_series as usable
 
-    return with_positions(usable(labelled_cycles(spark, sf_dir)))
+    return settle(with_positions(usable(labelled_cycles(spark, sf_dir))))
 
 
 def scenarios_of(series: DataFrame) -> DataFrame:
-    return rolling_scenarios(series)
+    """A few rows per cell, used again by every forecast and decision."""
+    return settle(rolling_scenarios(series))
 
 
 SQL_SCENARIOS = SQL_LABELLED + """,
