@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier
@@ -75,6 +75,7 @@ def usable_numeric(train: DataFrame, numeric: Sequence[str]) -> list[str]:
 
 def train_boosted(train: DataFrame, learner: Learner, target: str, order: Sequence[str]) -> PipelineModel:
     """Fit on the older rows and stop early on the newest fifth."""
+    learner = replace(learner, numeric=usable_numeric(train, learner.numeric))
     typed = inner_time_validation(_typed(train, learner), list(order))
     ready = settle(_weighted(typed, target, ~F.col("is_validation")))
     boosting = _boosting(learner, target).setValidationIndicatorCol("is_validation")
@@ -86,6 +87,7 @@ def train_boosted(train: DataFrame, learner: Learner, target: str, order: Sequen
 def train_production(train: DataFrame, learner: Learner, target: str, order: Sequence[str]) -> PipelineModel:
     """Find the number of trees with early stopping, then refit that many on all rows."""
     tuned = train_boosted(train, learner, target, order)
+    learner = replace(learner, numeric=usable_numeric(train, learner.numeric))
     ready = settle(_weighted(_typed(train, learner), target, F.lit(True)))
     final = _boosting(learner, target).setMaxIter(max(tuned.stages[-1].getNumTrees, 1))
     return Pipeline(stages=[*_stages(learner), final]).fit(ready)
@@ -144,10 +146,10 @@ def cross_validate_stages(
     )
 
 
-def importance(model: PipelineModel, spark: SparkSession, learner: Learner, k: int = 15) -> DataFrame:
+def importance(model: PipelineModel, spark: SparkSession, k: int = 15) -> DataFrame:
     """The k most important features of a fitted model."""
-    weights = model.stages[-1].featureImportances.toArray().tolist()
-    rows = list(zip([*learner.numeric, *learner.categorical], weights))
+    names = [c.removeprefix("_f_").removeprefix("_i_") for c in model.stages[-2].getInputCols()]
+    rows = list(zip(names, model.stages[-1].featureImportances.toArray().tolist()))
     return spark.createDataFrame(rows, "feature string, importance double").orderBy(F.desc("importance"), "feature").limit(k)
 
 

@@ -25,7 +25,7 @@ def year_splits(dataset: DataFrame, day: str, start: int = 2022, min_test: int =
     """
     folds = year_folds(dataset, day, start, min_test).agg(F.collect_list("fold")).scalar()
     own = F.year(day)
-    return dataset.withColumn("fold", F.explode(F.filter(folds, lambda f: f >= own))).withColumn(
+    return dataset.withColumn("fold", F.explode(folds)).filter(F.col("fold") >= own).withColumn(
         "role", F.when(own < F.col("fold"), "train").otherwise("test")
     )
 

@@ -203,9 +203,9 @@ def event_band(spark, sf_dir):
 
 @query("large_drops", f"""WITH {B.SQL_HEALTH_CYCLES},
 changed AS (SELECT cell_id, cycle, capacity_ah - lag(capacity_ah) OVER (PARTITION BY cell_id ORDER BY cycle) AS delta FROM cycles)
-SELECT cell_id, cycle, {r('delta')} AS delta, coalesce(delta < -0.5, false) AS is_large_drop FROM changed""")
+SELECT cell_id, cycle, {r('delta')} AS delta, coalesce(delta < -0.15, false) AS is_large_drop FROM changed""")
 def large_drops(spark, sf_dir):
-    drops = H.large_drops(B.health_cycles(spark, sf_dir), "cell_id", "cycle", "capacity_ah", -0.5)
+    drops = H.large_drops(B.health_cycles(spark, sf_dir), "cell_id", "cycle", "capacity_ah", -0.15)
     return B.rounded(drops.select("cell_id", "cycle", "delta", "is_large_drop"))
 
 

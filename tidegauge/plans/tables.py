@@ -148,7 +148,7 @@ def health_cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cycles of every cell: capacity is a trailing mean with a steady fade; heavily discounted days are excluded."""
     daily = table(spark, sf_dir, "lineitem").groupBy(
         F.col("l_suppkey").alias("cell_id"), F.to_date("l_shipdate").alias("day")
-    ).agg(F.avg("l_quantity").alias("quantity"), F.avg("l_discount").alias("discount"))
+    ).agg(F.avg(F.sqrt("l_quantity")).alias("quantity"), F.avg("l_discount").alias("discount"))
 
     def build(w) -> dict[str, Column]:
         number = F.row_number().over(w)
@@ -165,7 +165,7 @@ def health_cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SQL_HEALTH_CYCLES = """daily AS (
-  SELECT l_suppkey AS cell_id, CAST(l_shipdate AS DATE) AS day, avg(l_quantity) AS quantity, avg(l_discount) AS discount
+  SELECT l_suppkey AS cell_id, CAST(l_shipdate AS DATE) AS day, avg(sqrt(l_quantity)) AS quantity, avg(l_discount) AS discount
   FROM lineitem GROUP BY 1, 2),
 cycles AS (
   SELECT cell_id, day, CAST(row_number() OVER w AS INT) AS cycle,
