@@ -2,17 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, WindowSpec
+from pyspark.sql import Column, DataFrame, SparkSession, WindowSpec
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidegauge.functions.columns import floored
 from tidegauge.operators.ordered import over_series
-from tidegauge.session import settle
+from tidegauge.session import ensure_checkpoint_dir, settle
 
 BASELINES = ("Persistence", "MovingAverage", "LinearTrend")
 WINDOW = 20
@@ -250,51 +251,98 @@ def forest_forecasts(
     """Recursive random-forest forecasts, one forest per origin slot, trained on all cells together.
 
     ``scenarios`` carries ``slot``, the place of its origin in the backtest (the same few slots for every
-    cell). A slot's forest sees each cell only up to that cell's own origin. All scenarios of all cells
-    advance together, one step per pass, and the state is written out every few steps.
+    cell). A slot's forest sees each cell only up to that cell's own origin. A fitted forest is small, so it
+    travels to the scenario rows and every row runs through its own steps there: one narrow pass per slot.
     """
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.regression import RandomForestRegressor
 
     features = supervised(series, cell, value, strict=False, max_rows=max_rows)
     origins = scenarios.select(cell, slot, "forecast_origin", "origin_position").distinct()
-    slots = [r[0] for r in origins.select(slot).distinct().orderBy(slot).collect()]  # a fixed handful
-    visible = features.join(origins.select(cell, slot, "forecast_origin"), cell).filter(F.col(cycle) <= F.col("forecast_origin"))
-    visible = settle(visible.withColumn("cycle_norm", F.col(cycle) / F.col("forecast_origin")).select(
-        slot, value, *PERIOD_FEATURES
+    slots = [row[0] for row in origins.select(slot).distinct().orderBy(slot).collect()]  # a fixed handful
+    by_cell = origins.groupBy(cell).agg(F.collect_set(F.struct(slot, "forecast_origin")).alias("_origins"))
+    visible = features.join(by_cell, cell).withColumn("_o", F.explode(
+        F.filter("_origins", lambda o: o["forecast_origin"] >= F.col(cycle))
+    ))
+    visible = settle(visible.withColumn("cycle_norm", F.col(cycle) / F.col("_o.forecast_origin")).select(
+        f"_o.{slot}", value, *PERIOD_FEATURES
     ))
     assembler = VectorAssembler(inputCols=list(PERIOD_FEATURES), outputCol="features")
     learner = RandomForestRegressor(
-        featuresCol="features", labelCol=value, predictionCol="y_raw", numTrees=trees, maxDepth=depth,
-        minInstancesPerNode=leaf_rows, seed=seed,
+        featuresCol="features", labelCol=value, numTrees=trees, maxDepth=depth, minInstancesPerNode=leaf_rows, seed=seed,
     )
-    tails = tail_values(series, cell, value, max_rows)
-    base = settle(scenarios.join(tails, [cell, "origin_position"]))
+    base = settle(scenarios.join(tail_values(series, cell, value, max_rows), [cell, "origin_position"]))
     results = None
     for name in slots:
-        model = learner.fit(assembler.transform(visible.filter(F.col(slot) == name)))
-        state = base.filter(F.col(slot) == name).withColumn("raw", F.expr("cast(array() as array<double>)"))
-        horizon = state.agg(F.max("horizon")).first()[0] or 0
-        columns = state.columns
-        for step in range(1, horizon + 1):
-            row = zip(_period_row(F.col("history")), PERIOD_FEATURES)
-            state = state.select("*", *[v.alias(n) for v, n in row])
-            state = model.transform(assembler.transform(state)).select(
-                *[c for c in columns if c not in ("history", "raw")],
-                F.concat(F.slice("history", 2, HISTORY - 1), F.array(F.greatest("y_raw", F.lit(0.0)))).alias("history"),
-                F.concat("raw", F.array("y_raw")).alias("raw"),
-            )
-            if step % 8 == 0:
-                state = settle(state)
-        results = state if results is None else results.unionByName(state)
+        model = learner.fit(assembler.transform(visible.filter(F.col(slot) == name)).select("features", value))
+        step_through = _forest_path(_forest_arrays(model))
+        path = base.filter(F.col(slot) == name).withColumn("_path", step_through("history", "horizon"))
+        results = path if results is None else results.unionByName(path)
     keep = scenarios.columns
-    path = F.slice("raw", F.lit(1), F.col("horizon"))
-    return results.select(*keep, F.posexplode(path).alias("_i", "y_raw")).select(
+    return results.select(*keep, F.posexplode("_path").alias("_i", "y_raw")).select(
         *keep, (F.col("_i") + 1).alias("step"), F.lit("RandomForestRegressor").alias("model_name"),
         "y_raw", floored(F.col("y_raw"), 0.0).alias("y_pred"),
     )
 
 
+def _forest_arrays(model) -> dict[str, np.ndarray]:
+    """Split and leaf tables of a fitted forest, one row per tree; at most 2^(depth+1) nodes each."""
+    spark = SparkSession.active()
+    path = f"{ensure_checkpoint_dir(spark)}/models/{uuid.uuid4().hex}"
+    model.write().save(path)
+    split = F.col("nodeData.split")
+    nodes = spark.read.parquet(f"{path}/data").select(
+        "treeID", "nodeData.id", "nodeData.prediction", "nodeData.leftChild", "nodeData.rightChild",
+        split["featureIndex"].alias("feature"), F.get(split["leftCategoriesOrThreshold"], 0).alias("threshold"),
+    ).toPandas()
+    shape = (nodes["treeID"].max() + 1, nodes["id"].max() + 1)
+    tables = {
+        "feature": np.zeros(shape, dtype=np.int32), "threshold": np.full(shape, np.inf),
+        "left": np.zeros(shape, dtype=np.int32), "right": np.zeros(shape, dtype=np.int32), "value": np.zeros(shape),
+    }
+    at = (nodes["treeID"].to_numpy(), nodes["id"].to_numpy())
+    leaf = nodes["leftChild"].to_numpy() < 0
+    own = nodes["id"].to_numpy()
+    tables["feature"][at] = np.where(leaf, 0, nodes["feature"])
+    tables["threshold"][at] = np.where(leaf, np.inf, nodes["threshold"].fillna(np.inf))
+    # a leaf leads to itself, so every tree can be walked the same number of times
+    tables["left"][at] = np.where(leaf, own, nodes["leftChild"])
+    tables["right"][at] = np.where(leaf, own, nodes["rightChild"])
+    tables["value"][at] = nodes["prediction"]
+    return tables
+
+
+def _forest_path(tables: dict[str, np.ndarray]):
+    """Vectorised recursion over a batch of scenario rows: last values and horizon in, predictions out."""
+    def predict(rows: np.ndarray) -> np.ndarray:
+        tree = np.arange(tables["left"].shape[0])[None, :]
+        node = np.zeros((len(rows), tree.shape[1]), dtype=np.int32)
+        line = np.arange(len(rows))[:, None]
+        while True:
+            goes_left = rows[line, tables["feature"][tree, node]] <= tables["threshold"][tree, node]
+            child = np.where(goes_left, tables["left"][tree, node], tables["right"][tree, node])
+            if (child == node).all():
+                return tables["value"][tree, node].mean(axis=1)
+            node = child
+
+    @F.pandas_udf(T.ArrayType(T.DoubleType()))
+    def path(history: pd.Series, horizon: pd.Series) -> pd.Series:
+        past = np.stack(history.to_numpy()).astype(float)
+        steps = []
+        for _ in range(int(horizon.max())):
+            lags = past[:, [-1, -2, -3, -5, -10]]
+            rows = np.column_stack([
+                lags, past[:, -5:].mean(axis=1), past.mean(axis=1), past.std(axis=1, ddof=1), np.ones(len(past)),
+            ])
+            raw = predict(rows)
+            steps.append(raw)
+            past = np.column_stack([past[:, 1:], np.maximum(raw, 0.0)])
+        table = np.column_stack(steps)
+        return pd.Series([table[i, :h] for i, h in enumerate(horizon.to_numpy())])
+
+    return path
+
+
 def _period_row(history: Column) -> list[Column]:
     """Period features of the next row; it is always the longest cycle so far, hence position 1."""
 

@@ -14,6 +14,7 @@ from tidegauge.operators.ordered import exponential_mean
 from tidegauge.plans import tables as B
 from tidegauge.plans.registry import query
 from tidegauge.plans.tables import r
+from tidegauge.session import settle
 
 SCENARIO_COLUMNS = (
     "scenario_id", "scenario_type", "cell_id", "origin_position", "forecast_origin", "origin_capacity_ah", "origin_soh",
@@ -393,9 +394,11 @@ FOREST_TREES = 20
 
 @query("forest_forecasts")
 def forest_forecasts(spark, sf_dir):
-    """The last slot before the event: a forest forecast through the end of life of every cell."""
+    """One forest per origin slot (four origins before the event, three leads up to it), all cells and steps."""
     series = B.modelling_series(spark, sf_dir)
-    scenarios = B.scenarios_of(series).filter("scenario_type = 'eol_crossing'").withColumn("slot", F.col("rul_lead_horizon"))
-    forecasts = M.forest_forecasts(series, scenarios, trees=FOREST_TREES)
-    truth = M.with_truth(forecasts, series)
-    return D.decision_metrics(D.evaluate_decisions(truth, scenarios), ["model_name"])
+    slot = F.regexp_extract("scenario_id", r"(pre_\d+|lead\d+)", 1)
+    scenarios = B.scenarios_of(series).withColumn("slot", slot)
+    forecasts = settle(M.with_truth(M.forest_forecasts(series, scenarios, trees=FOREST_TREES), series))
+    metrics = D.decision_metrics(D.evaluate_decisions(forecasts, scenarios), ["model_name"])
+    leaders = E.leaderboard(E.scenario_errors(forecasts, KEYS, percent=False), ["scenario_type", "model_name"])
+    return leaders.join(metrics, "model_name")

@@ -307,7 +307,7 @@ def feature_leakage(spark, sf_dir):
 
 # --- fitted models ---
 
-ROUNDS = 8
+ROUNDS = 5
 
 
 def _learner(dataset) -> L.Learner:
@@ -315,23 +315,21 @@ def _learner(dataset) -> L.Learner:
     return L.Learner(numeric=tuple(inputs), categorical=("kind", "basin"), rounds=ROUNDS, depth=4, step=0.1)
 
 
-def _model_splits(spark, sf_dir, dataset):
-    """The two latest year folds."""
-    splits = V.year_splits(dataset, "day", B.ORDER_START, B.ORDER_MIN_TEST)
-    return splits.filter(F.col("fold") >= 2000)
+def _model_splits(dataset):
+    return V.year_splits(dataset, "day", B.ORDER_START, B.ORDER_MIN_TEST)
 
 
 @query("cross_validated_classifier")
 def cross_validated_classifier(spark, sf_dir):
     dataset = settle(B.order_dataset(spark, sf_dir))
-    oof = L.cross_validate(_model_splits(spark, sf_dir, dataset), _learner(dataset), "target", "day", "site", "cur_price")
+    oof = L.cross_validate(_model_splits(dataset), _learner(dataset), "target", "day", "site", "cur_price")
     return L.fold_metrics(settle(oof), "target")
 
 
 @query("cross_validated_stages")
 def cross_validated_stages(spark, sf_dir):
     dataset = settle(B.order_dataset(spark, sf_dir))
-    splits = _model_splits(spark, sf_dir, dataset).filter("fold = 2001")
+    splits = _model_splits(dataset)
     stages = settle(L.cross_validate_stages(
         splits, _learner(dataset), "label_value", "day", "site", "cur_price", B.ORDER_STAGES
     ))
@@ -346,7 +344,7 @@ def cross_validated_stages(spark, sf_dir):
 def feature_set_ablation(spark, sf_dir):
     """The same folds with and without the rolling features, and the difference."""
     dataset = settle(B.order_dataset(spark, sf_dir))
-    splits = settle(_model_splits(spark, sf_dir, dataset).filter("fold = 2001"))
+    splits = settle(_model_splits(dataset))
     full = _learner(dataset)
     slim = L.Learner(**{**full.__dict__, "numeric": tuple(c for c in full.numeric if "roll" not in c)})
     tables = []
