@@ -125,7 +125,7 @@ def repaired_quantiles(q10: Column, q50: Column, q90: Column) -> dict[str, Colum
 
 def file_date(name: Column) -> Column:
     """Date from a file name that carries ``_MM_DD_YY``; NULL without one."""
-    parts = [F.regexp_extract(name, r"_(\d{1,2})_(\d{1,2})_(\d{2})", i) for i in (1, 2, 3)]
+    parts = [F.regexp_extract(name, r"^.*_(\d{1,2})_(\d{1,2})_(\d{2})(?:\D|$)", i) for i in (1, 2, 3)]
     month, day, year = (F.lpad(p, 2, "0") for p in parts)
     return F.when(parts[0] != "", F.try_to_date(F.concat(F.lit("20"), year, month, day), "yyyyMMdd"))
 

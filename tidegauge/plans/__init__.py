@@ -6,7 +6,7 @@ import importlib
 
 from tidegauge.plans.registry import ORACLES, QUERIES, Query
 
-MODULES = ("panels", "audits", "cells", "backtests", "scores")
+MODULES = ("panels", "audits", "cells", "backtests", "scores", "places", "landing")
 
 
 def _load() -> None:
