@@ -105,10 +105,10 @@ def cross_validate(splits: DataFrame, learner: Learner, target: str, day: str, k
 
     The folds are few (years or five groups); each one is a distributed fit.
     """
-    baseline = seasonal_scores_by_fold(splits, day, target).withColumn(
+    ready = settle(splits)
+    baseline = seasonal_scores_by_fold(ready, day, target).withColumn(
         "persistence", F.coalesce(F.col(current).cast("double"), F.lit(0.0))
     )
-    ready = settle(splits)
     out = None
     for (fold,) in ready.select("fold").distinct().orderBy("fold").collect():
         part = ready.filter(F.col("fold") == fold)

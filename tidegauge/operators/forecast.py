@@ -137,29 +137,23 @@ def ridge_models(training: DataFrame, keys: Sequence[str], features: Sequence[st
                  alpha: float = 1.0, scaled: bool = True) -> DataFrame:
     """One ridge model per key from sums of products, so a series is never gathered in one place.
 
-    Spark adds up the centred normal equations (a fixed number of sums per key, combined on the map side);
-    a vectorised helper solves the small systems. ``scaled`` penalises standardised features.
+    Spark takes the covariances (a fixed number of stable sums per key, combined on the map side); a
+    vectorised helper solves the small systems. ``scaled`` penalises standardised features.
     """
     p = len(features)
-    anchor = training.groupBy(*keys).agg(*[F.avg(c).alias(f"_a{i}") for i, c in enumerate([*features, value])])
-    shifted = training.join(anchor, list(keys)).select(
-        *keys, *[(F.col(c) - F.col(f"_a{i}")).alias(f"_x{i}") for i, c in enumerate([*features, value])]
-    )
+    columns = [*features, value]
     pairs = [(i, j) for i in range(p + 1) for j in range(i, p + 1)]
-    sums = shifted.groupBy(*keys).agg(
-        F.count("*").alias("_n"), *[F.sum(F.col(f"_x{i}") * F.col(f"_x{j}")).alias(f"_s{i}_{j}") for i, j in pairs]
-    )
-    packed = sums.join(anchor, list(keys)).select(
-        *keys, F.col("_n").cast("double").alias("_n"),
-        F.array(*[F.col(f"_s{i}_{j}") for i, j in pairs]).alias("_products"),
-        F.array(*[F.col(f"_a{i}") for i in range(p + 1)]).alias("_means"),
+    sums = training.groupBy(*keys).agg(
+        F.count("*").cast("double").alias("_n"),
+        F.array(*[F.covar_pop(columns[i], columns[j]) for i, j in pairs]).alias("_products"),
+        F.array(*[F.avg(c) for c in columns]).alias("_means"),
     )
 
     @F.pandas_udf(T.ArrayType(T.DoubleType()))
     def solve(count: pd.Series, products: pd.Series, means: pd.Series) -> pd.Series:
         upper = np.triu_indices(p + 1)
         full = np.zeros((len(count), p + 1, p + 1))
-        full[:, upper[0], upper[1]] = np.stack(products.to_numpy())
+        full[:, upper[0], upper[1]] = np.stack(products.to_numpy()) * count.to_numpy()[:, None]
         full[:, upper[1], upper[0]] = full[:, upper[0], upper[1]]
         gram, cross = full[:, :p, :p], full[:, :p, p]
         center = np.stack(means.to_numpy())
@@ -170,7 +164,7 @@ def ridge_models(training: DataFrame, keys: Sequence[str], features: Sequence[st
         intercept = center[:, p] - (slopes * center[:, :p]).sum(axis=1)
         return pd.Series(list(np.column_stack([slopes, intercept])))
 
-    return packed.select(*keys, solve("_n", "_products", "_means").alias("coefficients"))
+    return sums.select(*keys, solve("_n", "_products", "_means").alias("coefficients"))
 
 
 def _strict_row(history: Column, cycle: Column) -> list[Column]:

@@ -39,10 +39,12 @@ def running_totals(
     keys: Sequence[str],
     order: Sequence[Column | str],
     measures: Mapping[str, Column],
+    totals: bool = False,
 ) -> DataFrame:
     """Add inclusive running sums of ``measures`` along ``order`` within ``keys``.
 
-    ``order`` should be total within a key; ties are summed in an arbitrary but fixed sequence.
+    ``order`` should be total within a key; ties are summed in an arbitrary but fixed sequence. With
+    ``totals`` the key's whole sum is added as ``<name>_total``; it comes from the slice totals.
     """
     parts = sliced(
         df.select("*", *[column.alias(f"_m_{name}") for name, column in measures.items()]),
@@ -50,6 +52,7 @@ def running_totals(
     )
     inside = Window.partitionBy(SLICE, *keys).orderBy(SLOT).rowsBetween(Window.unboundedPreceding, 0)
     before = Window.partitionBy(*keys).orderBy(SLICE).rowsBetween(Window.unboundedPreceding, -1)
+    whole = Window.partitionBy(*keys)
     local = parts.select("*", *[F.sum(f"_m_{name}").over(inside).alias(f"_l_{name}") for name in measures])
     carry = (
         parts.groupBy(SLICE, *keys)
@@ -58,13 +61,15 @@ def running_totals(
             F.col(SLICE).alias("_s"),
             *[F.col(k).alias(f"_k_{k}") for k in keys],
             *[F.coalesce(F.sum(f"_t_{name}").over(before), F.lit(0)).alias(f"_c_{name}") for name in measures],
+            *[F.sum(f"_t_{name}").over(whole).alias(f"{name}_total") for name in measures if totals],
         )
     )
     matched = F.col(SLICE) == F.col("_s")
     for key in keys:
         matched = matched & F.col(key).eqNullSafe(F.col(f"_k_{key}"))
     return local.join(carry, matched).select(
-        *df.columns, *[(F.col(f"_l_{name}") + F.col(f"_c_{name}")).alias(name) for name in measures]
+        *df.columns, *[(F.col(f"_l_{name}") + F.col(f"_c_{name}")).alias(name) for name in measures],
+        *[F.col(f"{name}_total") for name in measures if totals],
     )
 
 
@@ -81,20 +86,10 @@ def exact_quantiles(
     Equal values are counted before the shuffle, so memory never holds a group; keys may be empty.
     """
     counts = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("_n"))
-    ranked = running_totals(counts, keys, [value], {"_through": F.col("_n")})
-    totals = counts.groupBy(*keys).agg(F.sum("_n").alias("_total"))
-    if keys:
-        same = None
-        for key in keys:
-            test = F.col(key).eqNullSafe(F.col(f"_q_{key}"))
-            same = test if same is None else same & test
-        totals = totals.select(*[F.col(k).alias(f"_q_{k}") for k in keys], "_total")
-        joined = ranked.join(totals, same)
-    else:
-        joined = ranked.withColumn("_total", totals.scalar())
+    joined = running_totals(counts, keys, [value], {"_through": F.col("_n")}, totals=True)
     first, picks = F.col("_through") - F.col("_n"), []
     for name, p in probabilities.items():
-        place = (F.col("_total") - 1) * F.lit(float(p))
+        place = (F.col("_through_total") - 1) * F.lit(float(p))
         for side, rank in (("lo", F.floor(place)), ("hi", F.ceil(place))):
             covers = (first <= rank) & (rank < F.col("_through"))
             picks.append(F.max(F.when(covers, F.col(value))).alias(f"_{side}_{name}"))

@@ -15,7 +15,8 @@ def score_curve(df: DataFrame, keys: Sequence[str], label: str, score: str) -> D
     """Cumulative counts from the highest score down, one row per distinct score; a missing score is 0."""
     graded = df.select(*keys, F.col(label).cast("long").alias("y"), F.coalesce(F.col(score), F.lit(0.0)).alias("score"))
     counts = graded.groupBy(*keys, "score").agg(F.sum("y").alias("pos"), F.count("*").alias("n"))
-    return running_totals(counts, keys, [F.desc("score")], {"pos_through": F.col("pos"), "n_through": F.col("n")})
+    sums = {"pos_through": F.col("pos"), "n_through": F.col("n")}
+    return running_totals(counts, keys, [F.desc("score")], sums, totals=True)
 
 
 def evaluate(df: DataFrame, keys: Sequence[str], label: str, score: str, precision_floor: float = 0.5) -> DataFrame:
@@ -38,15 +39,9 @@ def evaluate(df: DataFrame, keys: Sequence[str], label: str, score: str, precisi
 
 
 def precision_recall_points(df: DataFrame, keys: Sequence[str], label: str, score: str) -> DataFrame:
-    curve = score_curve(df, keys, label, score)
-    if keys:
-        totals = df.groupBy(*keys).agg(F.sum(label).alias("_pos"))
-        curve = curve.join(totals, list(keys))
-    else:
-        curve = curve.withColumn("_pos", df.agg(F.sum(label)).scalar())
-    return curve.select(
+    return score_curve(df, keys, label, score).select(
         *keys, "score", (F.col("pos_through") / F.col("n_through")).alias("precision"),
-        ratio(F.col("pos_through"), F.col("_pos")).alias("recall"),
+        ratio(F.col("pos_through"), F.col("pos_through_total")).alias("recall"),
     )
 
 

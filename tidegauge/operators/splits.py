@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidegauge.operators.ordered import row_numbers
+from tidegauge.operators.ordered import row_numbers, running_totals
+from tidegauge.session import settle
 
 
 def year_folds(dataset: DataFrame, day: str, start: int = 2022, min_test: int = 100) -> DataFrame:
@@ -62,7 +63,7 @@ def group_folds(dataset: DataFrame, group: str, n_folds: int = 5) -> DataFrame:
     driver: it has at most sqrt(2 * rows) entries however many groups there are.
     """
     spark = dataset.sparkSession
-    sizes = dataset.groupBy(group).agg(F.count("*").alias("n"))
+    sizes = settle(dataset.groupBy(group).agg(F.count("*").alias("n")))
     histogram = [(r["n"], r["groups"]) for r in
                  sizes.groupBy("n").agg(F.count("*").alias("groups")).orderBy(F.desc("n")).collect()]
     schema = T.StructType([
@@ -89,9 +90,9 @@ def site_splits(dataset: DataFrame, group: str, n_folds: int = 5) -> DataFrame:
 
 def inner_time_validation(train: DataFrame, order: list[Column | str], share: float = 0.2) -> DataFrame:
     """Oldest rows as train, newest ``share`` as validation, at least one train row; one order over all rows."""
-    total = train.agg(F.count("*")).scalar()
-    cut = F.greatest(F.lit(1), F.floor(total * F.lit(1 - share)))
-    return row_numbers(train, [], order, "_place").withColumn("is_validation", F.col("_place") > cut).drop("_place")
+    placed = running_totals(train, [], order, {"_place": F.lit(1).cast("long")}, totals=True)
+    cut = F.greatest(F.lit(1), F.floor(F.col("_place_total") * F.lit(1 - share)))
+    return placed.withColumn("is_validation", F.col("_place") > cut).drop("_place", "_place_total")
 
 
 def seasonal_score(train: DataFrame, test: DataFrame, day: str, target: str) -> DataFrame:

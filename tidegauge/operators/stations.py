@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidegauge.functions.geo import great_circle_km, unit_vector
+from tidegauge.operators.ordered import exact_quantiles
 from tidegauge.session import settle
 
 # Facility words that are dropped from a name, and river names too broad to match on.
@@ -93,9 +94,17 @@ def inherit_missing(
     return out
 
 
-def _codes(lat: Column, lon: Column) -> list[Column]:
+def _codes(places: DataFrame) -> DataFrame:
+    """Integer positions of the stations along each axis of the cube around all of them."""
+    axes = ("ux", "uy", "uz")
+    span = places.agg(F.struct(*[F.min(a).alias(a) for a in axes]).alias("low"),
+                      F.greatest(*[F.max(a) - F.min(a) for a in axes], F.lit(1e-12)).alias("size"))
+    framed = places.withColumn("_cube", span.select(F.struct("*")).scalar())
     top = (1 << GRID_BITS) - 1
-    return [F.least(F.floor((v + 1) / 2 * (1 << GRID_BITS)), F.lit(top)).cast("long") for v in unit_vector(lat, lon)]
+    return framed.select(*places.columns, *[
+        F.least(F.floor((F.col(a) - F.col(f"_cube.low.{a}")) / F.col("_cube.size") * (1 << GRID_BITS)), F.lit(top)).cast("long").alias(f"_{a[1]}")
+        for a in axes
+    ])
 
 
 def _cell(codes: Sequence[Column], depth: int) -> Column:
@@ -148,9 +157,8 @@ def nearest_station(
     places = stations.groupBy(F.col(lat).alias("_slat"), F.col(lon).alias("_slon")).agg(
         F.min(order).alias("_order"), F.min_by(station_id, order).alias("_station")
     ).dropna()
-    x, y, z = _codes(F.col("_slat"), F.col("_slon"))
-    places = settle(places.select("*", ux.alias("ux"), uy.alias("uy"), uz.alias("uz"),
-                                  x.alias("_x"), y.alias("_y"), z.alias("_z")))
+    places = settle(places.select("*", ux.alias("ux"), uy.alias("uy"), uz.alias("uz")))
+    places = settle(_codes(places))
     depth = _leaf_depth(places)
 
     px, py, pz = unit_vector(F.col("_plat"), F.col("_plon"))
@@ -186,8 +194,6 @@ def nearest_station(
 
 
 def distance_summary(mapping: DataFrame, station_id: str) -> DataFrame:
-    from tidegauge.operators.ordered import exact_quantiles
-
     middle = exact_quantiles(mapping, [], "dist_km", {"median": 0.5})
     return mapping.agg(
         F.count("*").alias("points"), F.countDistinct(station_id).alias("stations_used"), F.max("dist_km").alias("dist_max")
