@@ -137,15 +137,15 @@ def ridge_models(training: DataFrame, keys: Sequence[str], features: Sequence[st
                  alpha: float = 1.0, scaled: bool = True) -> DataFrame:
     """One ridge model per key from sums of products, so a series is never gathered in one place.
 
-    Spark takes the covariances (a fixed number of stable sums per key, combined on the map side); a
-    vectorised helper solves the small systems. ``scaled`` penalises standardised features.
+    Spark adds up the normal equations (a fixed number of sums per key, combined on the map side); a
+    vectorised helper centres and solves the small systems. ``scaled`` penalises standardised features.
     """
     p = len(features)
-    columns = [*features, value]
+    columns = [F.col(c).cast("double") for c in [*features, value]]
     pairs = [(i, j) for i in range(p + 1) for j in range(i, p + 1)]
     sums = training.groupBy(*keys).agg(
         F.count("*").cast("double").alias("_n"),
-        F.array(*[F.covar_pop(columns[i], columns[j]) for i, j in pairs]).alias("_products"),
+        F.array(*[F.sum(columns[i] * columns[j]) for i, j in pairs]).alias("_products"),
         F.array(*[F.avg(c) for c in columns]).alias("_means"),
     )
 
@@ -153,10 +153,11 @@ def ridge_models(training: DataFrame, keys: Sequence[str], features: Sequence[st
     def solve(count: pd.Series, products: pd.Series, means: pd.Series) -> pd.Series:
         upper = np.triu_indices(p + 1)
         full = np.zeros((len(count), p + 1, p + 1))
-        full[:, upper[0], upper[1]] = np.stack(products.to_numpy()) * count.to_numpy()[:, None]
+        full[:, upper[0], upper[1]] = np.stack(products.to_numpy())
         full[:, upper[1], upper[0]] = full[:, upper[0], upper[1]]
-        gram, cross = full[:, :p, :p], full[:, :p, p]
         center = np.stack(means.to_numpy())
+        full -= count.to_numpy()[:, None, None] * center[:, :, None] * center[:, None, :]
+        gram, cross = full[:, :p, :p], full[:, :p, p]
         deviation = np.sqrt(np.einsum("kii->ki", gram) / count.to_numpy()[:, None]) if scaled else np.ones(cross.shape)
         deviation = np.where(deviation == 0, 1.0, deviation)
         system = gram / (deviation[:, :, None] * deviation[:, None, :]) + alpha * np.eye(p)
