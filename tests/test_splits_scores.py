@@ -57,7 +57,7 @@ def test_group_folds_are_disjoint_and_complete(spark):
 
 
 def test_inner_validation_is_the_newest_fifth(spark):
-    out = V.inner_time_validation(dataset(spark).dropDuplicates(["site", "day"]), ["day", "site"])
+    out = V.inner_time_validation(dataset(spark).dropDuplicates(["site", "day"]), "day", ["site"])
     spans = {r["is_validation"]: r for r in out.groupBy("is_validation").agg(F.min("day").alias("a"), F.max("day").alias("b"), F.count("*").alias("n")).collect()}
     total = spans[True]["n"] + spans[False]["n"]
     assert spans[False]["b"] <= spans[True]["a"] and spans[False]["n"] == int(total * 0.8)

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from tidegauge.functions.columns import ordinal_stage, stage_from_probabilities
 from tidegauge.operators.scoring import evaluate
-from tidegauge.operators.splits import inner_time_validation, seasonal_scores_by_fold
+from tidegauge.operators.splits import Fold, inner_time_validation, seasonal_score
 from tidegauge.session import settle
 from tidegauge.sources.sinks import read_card, write_card
 
@@ -76,7 +76,7 @@ def usable_numeric(train: DataFrame, numeric: Sequence[str]) -> list[str]:
 def train_boosted(train: DataFrame, learner: Learner, target: str, order: Sequence[str]) -> PipelineModel:
     """Fit on the older rows and stop early on the newest fifth."""
     learner = replace(learner, numeric=usable_numeric(train, learner.numeric))
-    typed = inner_time_validation(_typed(train, learner), list(order))
+    typed = inner_time_validation(_typed(train, learner), order[0], list(order[1:]))
     ready = settle(_weighted(typed, target, ~F.col("is_validation")))
     boosting = _boosting(learner, target).setValidationIndicatorCol("is_validation")
     prepared = Pipeline(stages=_stages(learner)).fit(ready.filter("not is_validation"))
@@ -100,22 +100,23 @@ def probability(model: PipelineModel, df: DataFrame, learner: Learner, name: str
     return scored.select(*original.columns, vector_to_array("probability")[1].alias(name))
 
 
-def cross_validate(splits: DataFrame, learner: Learner, target: str, day: str, key: str, current: str) -> DataFrame:
+def cross_validate(dataset: DataFrame, folds: Sequence[Fold], learner: Learner, target: str, day: str, key: str,
+                   current: str) -> DataFrame:
     """Out-of-fold scores of the model and both baselines, one row per test row and fold.
 
-    The folds are few (years or five groups); each one is a distributed fit.
+    The folds are few (years or five groups) and each one is a distributed fit. They are conditions on one
+    stored table, so training rows are filtered per fold, not copied.
     """
-    ready = settle(splits)
-    baseline = seasonal_scores_by_fold(ready, day, target).withColumn(
-        "persistence", F.coalesce(F.col(current).cast("double"), F.lit(0.0))
-    )
-    out = None
-    for (fold,) in ready.select("fold").distinct().orderBy("fold").collect():
-        part = ready.filter(F.col("fold") == fold)
-        model = train_boosted(part.filter("role = 'train'"), learner, target, [day, key])
-        scored = probability(model, part.filter("role = 'test'"), learner, "model").select(key, day, "fold", "model")
+    ready, out = settle(dataset), None
+    for fold, is_train, is_test in folds:
+        train, test = ready.filter(is_train), ready.filter(is_test)
+        scored = probability(train_boosted(train, learner, target, [day, key]), test, learner, "model")
+        scored = seasonal_score(train, scored, day, target).select(
+            key, day, F.lit(fold).alias("fold"), target,
+            F.coalesce(F.col(current).cast("double"), F.lit(0.0)).alias("persistence"), "seasonal", "model",
+        )
         out = scored if out is None else out.unionByName(scored)
-    return baseline.select(key, day, "fold", target, "persistence", "seasonal").join(out, [key, day, "fold"])
+    return out
 
 
 def fold_metrics(oof: DataFrame, target: str, methods: Sequence[str] = ("model", "persistence", "seasonal"),
@@ -127,17 +128,17 @@ def fold_metrics(oof: DataFrame, target: str, methods: Sequence[str] = ("model",
 
 
 def cross_validate_stages(
-    splits: DataFrame, learner: Learner, label: str, day: str, key: str, current: str,
+    dataset: DataFrame, folds: Sequence[Fold], learner: Learner, label: str, day: str, key: str, current: str,
     thresholds: Sequence[float] = STAGE_THRESHOLDS,
 ) -> DataFrame:
     """Out-of-fold stages: two cumulative models per fold, and persistence of the current stage."""
-    ready = settle(splits.select("*", *[(F.col(label) >= t).cast("int").alias(f"_y{i}") for i, t in enumerate(thresholds)]))
+    ready = settle(dataset.select("*", *[(F.col(label) >= t).cast("int").alias(f"_y{i}") for i, t in enumerate(thresholds)]))
     out = None
-    for (fold,) in ready.select("fold").distinct().orderBy("fold").collect():
-        part = ready.filter(F.col("fold") == fold)
-        train, scored = part.filter("role = 'train'"), part.filter("role = 'test'")
+    for fold, is_train, is_test in folds:
+        train, scored = ready.filter(is_train), ready.filter(is_test)
         for i in range(len(thresholds)):
             scored = probability(train_boosted(train, learner, f"_y{i}", [day, key]), scored, learner, f"p{i}")
+        scored = scored.withColumn("fold", F.lit(fold))
         out = scored if out is None else out.unionByName(scored)
     return out.select(
         key, day, "fold", ordinal_stage(F.col(label), thresholds).alias("actual"),

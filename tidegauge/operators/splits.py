@@ -31,6 +31,20 @@ def year_splits(dataset: DataFrame, day: str, start: int = 2022, min_test: int =
     )
 
 
+Fold = tuple[int, Column, Column]
+
+
+def year_conditions(dataset: DataFrame, day: str, start: int = 2022, min_test: int = 100) -> list[Fold]:
+    """(fold, train rows, test rows) per test year, for loops that fit one model per fold on one table."""
+    years = year_folds(dataset, day, start, min_test).orderBy("fold").collect()  # one row per year
+    return [(y["fold"], F.year(day) < y["fold"], F.year(day) == y["fold"]) for y in years]
+
+
+def group_conditions(n_folds: int = 5, column: str = "fold") -> list[Fold]:
+    """The same for a table that carries each row's group fold."""
+    return [(i, F.col(column) != i, F.col(column) == i) for i in range(1, n_folds + 1)]
+
+
 def assignment_schedule(histogram: list[tuple[int, int]], n_folds: int) -> list[tuple[int, int, int, list[int]]]:
     """Largest group first, always to the lightest fold, for whole batches of equal-sized groups.
 
@@ -88,11 +102,24 @@ def site_splits(dataset: DataFrame, group: str, n_folds: int = 5) -> DataFrame:
     ).drop("_own")
 
 
-def inner_time_validation(train: DataFrame, order: list[Column | str], share: float = 0.2) -> DataFrame:
-    """Oldest rows as train, newest ``share`` as validation, at least one train row; one order over all rows."""
-    placed = running_totals(train, [], order, {"_place": F.lit(1).cast("long")}, totals=True)
-    cut = F.greatest(F.lit(1), F.floor(F.col("_place_total") * F.lit(1 - share)))
-    return placed.withColumn("is_validation", F.col("_place") > cut).drop("_place", "_place_total")
+def inner_time_validation(train: DataFrame, day: str, ties: list[str], share: float = 0.2) -> DataFrame:
+    """Oldest rows as train, newest ``share`` as validation, at least one train row; ties in order of ``ties``.
+
+    Counts per day place the cut, so only the rows of the one day it falls in are ranked.
+    """
+    counts = train.groupBy(day).agg(F.count("*").alias("_n"))
+    days = running_totals(counts, [], [day], {"_through": F.col("_n")}, totals=True)
+    cut = F.greatest(F.lit(1), F.floor(F.col("_through_total") * F.lit(1 - share)))
+    placed = settle(days.select(
+        F.col(day).alias("_day"), (cut - (F.col("_through") - F.col("_n"))).alias("_room"),
+        F.when(F.col("_through") <= cut, "train").when(F.col("_through") - F.col("_n") >= cut, "validation").otherwise("split").alias("_side"),
+    ))
+    joined = train.join(placed, F.col(day).eqNullSafe(F.col("_day")))
+    whole = joined.filter("_side <> 'split'").withColumn("is_validation", F.col("_side") == "validation")
+    shared = row_numbers(joined.filter("_side = 'split'"), [], ties, "_rank").withColumn(
+        "is_validation", F.col("_rank") > F.col("_room")
+    )
+    return whole.unionByName(shared.drop("_rank")).drop("_day", "_room", "_side")
 
 
 def seasonal_score(train: DataFrame, test: DataFrame, day: str, target: str) -> DataFrame:

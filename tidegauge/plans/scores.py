@@ -48,6 +48,31 @@ def year_splits(spark, sf_dir):
     return _splits(spark, sf_dir).select("site", "day", "fold", "role")
 
 
+BASELINE_CTES = """rates AS (SELECT fold, month(day) AS m, avg(target) AS rate FROM splits WHERE role = 'train' GROUP BY 1, 2),
+overall AS (SELECT fold, avg(target) AS rate FROM splits WHERE role = 'train' GROUP BY 1),
+scored AS (
+  SELECT s.site, s.day, s.fold, s.target, s.label_value, s.cur_price, coalesce(cur_price, 0) AS persistence, round(coalesce(a.rate, o.rate), 9) AS seasonal
+  FROM splits s LEFT JOIN rates a ON a.fold = s.fold AND a.m = month(s.day) JOIN overall o ON o.fold = s.fold WHERE role = 'test'),
+long AS (
+  SELECT fold, target, 'persistence' AS method, persistence AS score FROM scored UNION ALL SELECT fold, target, 'seasonal', seasonal FROM scored)"""
+SQL_BASELINES = SQL_SPLITS + ",\n" + BASELINE_CTES
+
+
+def _evaluate_sql(keys: str, source: str) -> str:
+    part = f"PARTITION BY {keys} " if keys else ""
+    lead = f"{keys}, " if keys else ""
+    group = f"GROUP BY {keys}" if keys else ""
+    return f"""counts AS (SELECT {lead}score, sum(target)::DOUBLE AS pos, count(*)::DOUBLE AS n FROM {source} GROUP BY {lead}score),
+curve AS (SELECT *, sum(pos) OVER ({part}ORDER BY score DESC) AS cp, sum(n) OVER ({part}ORDER BY score DESC) AS cn FROM counts),
+sums AS (
+  SELECT {lead}CAST(sum(n) AS BIGINT) AS n, CAST(sum(pos) AS BIGINT) AS pos, sum(pos * cp / cn) / nullif(sum(pos), 0) AS ap,
+         sum((n - pos) * (cp - pos / 2)) / nullif(sum(pos) * sum(n - pos), 0) AS auc,
+         coalesce(max(cp) FILTER (cp / cn >= 0.5), 0) / nullif(sum(pos), 0) AS best FROM curve {group}),
+evaluated AS (
+  SELECT {lead}n, pos, CASE WHEN pos > 0 AND pos < n THEN {r('ap')} END AS pr_auc, CASE WHEN pos > 0 AND pos < n THEN {r('auc')} END AS roc_auc,
+         CASE WHEN pos > 0 AND pos < n THEN {r('best')} END AS recall_at_p50 FROM sums)"""
+
+
 GREEDY_SQL = f"""WITH RECURSIVE {B.SQL_ORDER_DATASET},
 sizes AS (SELECT site, count(*) AS n FROM dataset GROUP BY 1),
 queue AS MATERIALIZED (SELECT site, n, row_number() OVER (ORDER BY n DESC, site) AS rn FROM sizes),
@@ -65,6 +90,18 @@ def group_folds(spark, sf_dir):
     return V.group_folds(_dataset(spark, sf_dir), "site")
 
 
+@query("group_fold_metrics", GREEDY_SQL + f""",
+splits AS (
+  SELECT d.*, f.fold, CASE WHEN p.pick = f.fold THEN 'test' ELSE 'train' END AS role
+  FROM dataset d JOIN filled p ON p.site = d.site AND p.rn > 0, (SELECT unnest([1, 2, 3, 4, 5]) AS fold) f),
+{BASELINE_CTES}, {_evaluate_sql('fold, method', 'long')} SELECT * FROM evaluated""")
+def group_fold_metrics(spark, sf_dir):
+    splits = V.site_splits(_dataset(spark, sf_dir), "site")
+    scored = V.seasonal_scores_by_fold(splits, "day", "target").withColumn("persistence", F.coalesce("cur_price", F.lit(0.0)))
+    scored = scored.withColumn("seasonal", F.round("seasonal", 9))
+    return B.rounded(L.fold_metrics(scored, "target", ("persistence", "seasonal")))
+
+
 @query("group_split_overlap", B.SQL_ORDER_DATASET.join(["WITH ", " SELECT site, 0 AS fold FROM dataset WHERE false"]))
 def group_split_overlap(spark, sf_dir):
     """Groups that are in train and test of the same fold; there must be none."""
@@ -75,17 +112,7 @@ def group_split_overlap(spark, sf_dir):
 @query("inner_time_validation", f"""WITH {B.SQL_ORDER_DATASET}
 SELECT site, day, row_number() OVER (ORDER BY day, site) > greatest(1, floor((SELECT count(*) FROM dataset) * 0.8::DOUBLE)) AS is_validation FROM dataset""")
 def inner_time_validation(spark, sf_dir):
-    return V.inner_time_validation(_dataset(spark, sf_dir), ["day", "site"]).select("site", "day", "is_validation")
-
-
-SQL_BASELINES = SQL_SPLITS + """,
-rates AS (SELECT fold, month(day) AS m, avg(target) AS rate FROM splits WHERE role = 'train' GROUP BY 1, 2),
-overall AS (SELECT fold, avg(target) AS rate FROM splits WHERE role = 'train' GROUP BY 1),
-scored AS (
-  SELECT s.site, s.day, s.fold, s.target, s.label_value, s.cur_price, coalesce(cur_price, 0) AS persistence, coalesce(a.rate, o.rate) AS seasonal
-  FROM splits s LEFT JOIN rates a ON a.fold = s.fold AND a.m = month(s.day) JOIN overall o ON o.fold = s.fold WHERE role = 'test'),
-long AS (
-  SELECT fold, target, 'persistence' AS method, persistence AS score FROM scored UNION ALL SELECT fold, target, 'seasonal', seasonal FROM scored)"""
+    return V.inner_time_validation(_dataset(spark, sf_dir), "day", ["site"]).select("site", "day", "is_validation")
 
 
 def _baselines(spark, sf_dir):
@@ -94,29 +121,11 @@ def _baselines(spark, sf_dir):
     return scored.withColumn("persistence", F.coalesce("cur_price", F.lit(0.0))).withColumn("seasonal", F.round("seasonal", 9))
 
 
-SQL_BASELINES = SQL_BASELINES.replace("coalesce(a.rate, o.rate) AS seasonal", "round(coalesce(a.rate, o.rate), 9) AS seasonal")
-
-
 @query("baseline_scores", f"WITH {SQL_BASELINES} SELECT site, day, fold, persistence, {r('seasonal')} AS seasonal FROM scored")
 def baseline_scores(spark, sf_dir):
     return B.rounded(_baselines(spark, sf_dir).select("site", "day", "fold", "persistence", "seasonal"))
 
 
-def _evaluate_sql(keys: str, source: str) -> str:
-    part = f"PARTITION BY {keys} " if keys else ""
-    lead = f"{keys}, " if keys else ""
-    group = f"GROUP BY {keys}" if keys else ""
-    return f"""counts AS (SELECT {lead}score, sum(target)::DOUBLE AS pos, count(*)::DOUBLE AS n FROM {source} GROUP BY {lead}score),
-curve AS (SELECT *, sum(pos) OVER ({part}ORDER BY score DESC) AS cp, sum(n) OVER ({part}ORDER BY score DESC) AS cn FROM counts),
-sums AS (
-  SELECT {lead}CAST(sum(n) AS BIGINT) AS n, CAST(sum(pos) AS BIGINT) AS pos, sum(pos * cp / cn) / nullif(sum(pos), 0) AS ap,
-         sum((n - pos) * (cp - pos / 2)) / nullif(sum(pos) * sum(n - pos), 0) AS auc,
-         coalesce(max(cp) FILTER (cp / cn >= 0.5), 0) / nullif(sum(pos), 0) AS best FROM curve {group}),
-evaluated AS (
-  SELECT {lead}n, pos, CASE WHEN pos > 0 AND pos < n THEN {r('ap')} END AS pr_auc, CASE WHEN pos > 0 AND pos < n THEN {r('auc')} END AS roc_auc,
-         CASE WHEN pos > 0 AND pos < n THEN {r('best')} END AS recall_at_p50 FROM sums)"""
-
-
 @query("fold_metrics", f"WITH {SQL_BASELINES}, {_evaluate_sql('fold, method', 'long')} SELECT * FROM evaluated")
 def fold_metrics(spark, sf_dir):
     return B.rounded(L.fold_metrics(_baselines(spark, sf_dir), "target", ("persistence", "seasonal")))
@@ -315,23 +324,22 @@ def _learner(dataset) -> L.Learner:
     return L.Learner(numeric=tuple(inputs), categorical=("kind", "basin"), rounds=ROUNDS, depth=4, step=0.1)
 
 
-def _model_splits(dataset):
-    return V.year_splits(dataset, "day", B.ORDER_START, B.ORDER_MIN_TEST)
+def _folds(dataset):
+    return V.year_conditions(dataset, "day", B.ORDER_START, B.ORDER_MIN_TEST)
 
 
 @query("cross_validated_classifier")
 def cross_validated_classifier(spark, sf_dir):
     dataset = settle(B.order_dataset(spark, sf_dir))
-    oof = L.cross_validate(_model_splits(dataset), _learner(dataset), "target", "day", "site", "cur_price")
+    oof = L.cross_validate(dataset, _folds(dataset), _learner(dataset), "target", "day", "site", "cur_price")
     return L.fold_metrics(settle(oof), "target")
 
 
 @query("cross_validated_stages")
 def cross_validated_stages(spark, sf_dir):
     dataset = settle(B.order_dataset(spark, sf_dir))
-    splits = _model_splits(dataset)
     stages = settle(L.cross_validate_stages(
-        splits, _learner(dataset), "label_value", "day", "site", "cur_price", B.ORDER_STAGES
+        dataset, _folds(dataset), _learner(dataset), "label_value", "day", "site", "cur_price", B.ORDER_STAGES
     ))
     out = None
     for method in ("model", "persistence"):
@@ -344,14 +352,13 @@ def cross_validated_stages(spark, sf_dir):
 def feature_set_ablation(spark, sf_dir):
     """The same folds with and without the rolling features, and the difference."""
     dataset = settle(B.order_dataset(spark, sf_dir))
-    splits = settle(_model_splits(dataset))
-    full = _learner(dataset)
+    folds, full = _folds(dataset), _learner(dataset)
     slim = L.Learner(**{**full.__dict__, "numeric": tuple(c for c in full.numeric if "roll" not in c)})
     tables = []
     for name, learner in (("without_rolling", slim), ("with_rolling", full)):
-        oof = L.cross_validate(splits, learner, "target", "day", "site", "cur_price")
+        oof = L.cross_validate(dataset, folds, learner, "target", "day", "site", "cur_price")
         tables.append(L.fold_metrics(settle(oof), "target", ("model",), keys=()).withColumn("variant", F.lit(name)))
-    both = tables[0].unionByName(tables[1])
+    both = settle(tables[0].unionByName(tables[1]))
     lift = S.metric_lift(both, "variant", "without_rolling", "with_rolling")
     return both.select("variant", "pr_auc", "recall_at_p50", "roc_auc").unionByName(lift.select(
         F.lit("lift").alias("variant"), *[F.col(f"{m}_lift").alias(m) for m in ("pr_auc", "recall_at_p50", "roc_auc")]
