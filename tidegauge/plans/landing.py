@@ -13,7 +13,7 @@ from tidegauge.plans.registry import query
 from tidegauge.session import ensure_checkpoint_dir
 from tidegauge.sources import readers as R
 from tidegauge.sources import schemas as S
-from tidegauge.sources.sinks import difference, read_both, write_both
+from tidegauge.sources.sinks import difference, read_both, write_both, write_table
 
 
 def _records(spark, sf_dir):
@@ -89,6 +89,46 @@ def forecast_summary(spark, sf_dir):
     return R.forecast_summary(items)
 
 
+def _folder(spark) -> str:
+    return f"{ensure_checkpoint_dir(spark)}/landing/{uuid.uuid4().hex}"
+
+
+@query("landed_site_master", """SELECT c_mktsegment AS station_type, lpad(CAST(c_custkey AS VARCHAR), 7, '0') AS site_code, c_name AS site_name,
+  NULL::VARCHAR AS survey_location, NULL::VARCHAR AS address, NULL::VARCHAR AS agency, CAST(n_regionkey AS VARCHAR) AS major_basin,
+  n_name AS mid_basin FROM customer JOIN nation ON n_nationkey = c_nationkey""")
+def landed_site_master(spark, sf_dir):
+    """Customers landed as the site master file and read back all-text; codes keep their zeros."""
+    nation = B.table(spark, sf_dir, "nation").withColumnRenamed("n_nationkey", "c_nationkey")
+    customer = B.table(spark, sf_dir, "customer").join(nation, "c_nationkey")
+    values = {
+        "station_type": F.col("c_mktsegment"), "site_code": F.lpad(F.col("c_custkey").cast("string"), 7, "0"),
+        "site_name": F.col("c_name"), "major_basin": F.col("n_regionkey").cast("string"), "mid_basin": F.col("n_name"),
+    }
+    folder = _folder(spark)
+    write_table(customer.select(*[values.get(c, F.lit(None).cast("string")).alias(c) for c in S.SITE_COLUMNS]), folder, "csv")
+    return R.read_sites(spark, folder)
+
+
+@query("landed_cycler_rows", """SELECT l_orderkey * 10 + l_linenumber AS data_point, l_extendedprice AS test_time, l_linenumber AS step_index,
+  l_quantity - 25.5 AS current, l_tax AS charge FROM lineitem""")
+def landed_cycler_rows(spark, sf_dir):
+    """Line items landed as cycler files with more columns than needed; only the required channels are read."""
+    rows = B.table(spark, sf_dir, "lineitem")
+    values = {
+        "Data_Point": F.col("l_orderkey") * 10 + F.col("l_linenumber"), "Test_Time(s)": F.col("l_extendedprice"),
+        "Step_Time(s)": F.col("l_extendedprice") / 100, "Step_Index": F.col("l_linenumber"), "Cycle_Index": F.lit(1),
+        "Current(A)": F.col("l_quantity") - 25.5, "Voltage(V)": F.col("l_discount"),
+        "Charge_Capacity(Ah)": F.col("l_tax"), "Discharge_Capacity(Ah)": F.col("l_tax"),
+    }
+    folder = _folder(spark)
+    write_table(rows.select(*[values[c].alias(c) for c in S.CYCLER_CHANNELS], "l_returnflag"), folder, "csv")
+    landed = R.read_cycler(spark, folder)
+    return landed.select(
+        F.col("Data_Point").alias("data_point"), F.col("`Test_Time(s)`").alias("test_time"), F.col("Step_Index").alias("step_index"),
+        F.col("`Current(A)`").alias("current"), F.col("`Charge_Capacity(Ah)`").alias("charge"),
+    )
+
+
 REQUIRED = ("Data_Point", "Test_Time(s)", "Voltage(V)")
 
 

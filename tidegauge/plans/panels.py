@@ -203,11 +203,14 @@ def history_per_key(spark, sf_dir):
     return P.latest_rows(B.event_panel(spark, sf_dir), ["site"], ["day"], 24)
 
 
-@query("model_input_columns", None)
+@query("model_input_columns", f"""WITH {B.SQL_PANEL}, {LABEL_SQL}, {FEATURE_SQL},
+joined AS (SELECT f.* EXCLUDE (site, day) FROM targets t JOIN features f USING (site, day)),
+filled AS (UNPIVOT (SELECT CAST(COLUMNS(*) IS NOT NULL AS INT) FROM joined) ON COLUMNS(*) INTO NAME feature VALUE present)
+SELECT feature, CAST(sum(present) AS BIGINT) AS filled FROM filled GROUP BY 1""")
 def model_input_columns(spark, sf_dir):
     """The inputs a model may see, with how many rows carry each."""
-    dataset = B.order_dataset(spark, sf_dir)
+    dataset = P.assemble_dataset(B.event_panel(spark, sf_dir), B.EVENT_SPEC, "value", B.EVENT_THRESHOLD, *B.EVENT_GAPS)
     names = P.model_inputs(dataset, "site", "day")
     filled = dataset.agg(*[F.count(c).alias(c) for c in names])
-    cells = [F.struct(F.lit(i).alias("place"), F.lit(c).alias("feature"), F.col(c).alias("filled")) for i, c in enumerate(names)]
+    cells = [F.struct(F.lit(c).alias("feature"), F.col(c).alias("filled")) for c in names]
     return filled.select(F.explode(F.array(*cells)).alias("f")).select("f.*")
