@@ -7,12 +7,15 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
+from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import Column, DataFrame, SparkSession, WindowSpec
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidegauge.functions.columns import floored
 from tidegauge.operators.ordered import over_series
+from tidegauge.operators.scenarios import training_rows
 from tidegauge.session import ensure_checkpoint_dir, settle
 
 BASELINES = ("Persistence", "MovingAverage", "LinearTrend")
@@ -194,7 +197,7 @@ def ridge_forecasts(
     features = supervised(series, cell, value, strict, max_rows=max_rows)
     names = STRICT_FEATURES if strict else PERIOD_FEATURES
     origins = scenarios.select(cell, "forecast_origin", "origin_position").distinct()
-    train = training_for(features, origins, cell, cycle)
+    train = training_rows(features, origins, cell, cycle)
     if not strict:
         train = train.withColumn("cycle_norm", F.col(cycle) / F.col("forecast_origin"))
     models = ridge_models(train, [cell, "forecast_origin"], names, value, alpha, scaled=strict)
@@ -222,13 +225,6 @@ def ridge_forecasts(
     )
 
 
-def training_for(features: DataFrame, origins: DataFrame, cell: str, cycle: str) -> DataFrame:
-    """Feature rows visible at each origin of their cell."""
-    from tidegauge.operators.scenarios import training_rows
-
-    return training_rows(features, origins, cell, cycle)
-
-
 def tail_values(series: DataFrame, cell: str, value: str, max_rows: int | None = None) -> DataFrame:
     """The last ten values up to every position."""
     return over_series(
@@ -249,9 +245,6 @@ def forest_forecasts(
     cell). A slot's forest sees each cell only up to that cell's own origin. A fitted forest is small, so it
     travels to the scenario rows and every row runs through its own steps there: one narrow pass per slot.
     """
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.regression import RandomForestRegressor
-
     features = supervised(series, cell, value, strict=False, max_rows=max_rows)
     origins = scenarios.select(cell, slot, "forecast_origin", "origin_position").distinct()
     slots = [row[0] for row in origins.select(slot).distinct().orderBy(slot).collect()]  # a fixed handful

@@ -7,10 +7,8 @@ from pyspark.sql import functions as F
 from tidegauge.functions.columns import risk_level
 from tidegauge.operators import cycles as C
 from tidegauge.operators import health as H
-from tidegauge.operators.errors import target_variants
 from tidegauge.operators.ordered import exponential_mean
-from tidegauge.operators.scenarios import with_positions
-from tidegauge.operators.forecast import scaled_position, strict_features, supervised
+from tidegauge.operators.forecast import scaled_position, supervised
 from tidegauge.plans import tables as B
 from tidegauge.plans.registry import query
 from tidegauge.plans.tables import r

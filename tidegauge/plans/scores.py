@@ -11,7 +11,8 @@ from tidegauge.operators import classify as L
 from tidegauge.operators import preprocess as P
 from tidegauge.operators import scoring as S
 from tidegauge.operators import splits as V
-from tidegauge.operators.panel import assemble_dataset, latest_rows, model_inputs
+from tidegauge.operators.checks import leaked_rows
+from tidegauge.operators.panel import build_features, latest_rows, model_inputs
 from tidegauge.plans import panels
 from tidegauge.plans import tables as B
 from tidegauge.plans.registry import query
@@ -304,9 +305,6 @@ later AS (SELECT site, day, CASE WHEN day > DATE '2024-01-15' THEN value * 3 ELS
 SELECT *, 1 AS surplus FROM (SELECT * FROM features WHERE day <= DATE '2024-01-15' EXCEPT ALL SELECT * FROM altered WHERE day <= DATE '2024-01-15')""")
 def feature_leakage(spark, sf_dir):
     """Feature rows that change when only later measurements change; there must be none."""
-    from tidegauge.operators.checks import leaked_rows
-    from tidegauge.operators.panel import build_features
-
     cutoff = F.lit("2024-01-15").cast("date")
     panel = settle(B.event_panel(spark, sf_dir))
     altered = panel.withColumn("value", F.when(F.col("day") > cutoff, F.col("value") * 3).otherwise(F.col("value")))

@@ -6,11 +6,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidegauge.operators.errors import with_intervals
+from tidegauge.operators.forecast import baseline_forecasts, with_truth
 from tidegauge.operators.health import health_labels, life_stages
-from tidegauge.operators.panel import FeatureSpec, first_per_key
 from tidegauge.operators.ordered import over_series
+from tidegauge.operators.panel import FeatureSpec, assemble_dataset, first_per_key
 from tidegauge.operators.scenarios import rolling_scenarios, with_positions
 from tidegauge.session import settle
+from tidegauge.sources import readers
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -108,8 +111,6 @@ SQL_ORDER_PANEL = """order_panel AS (
 
 
 def order_dataset(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from tidegauge.operators.panel import assemble_dataset
-
     panel = order_panel(spark, sf_dir).join(event_sites(spark, sf_dir).select("site", "kind", "basin"), "site", "left")
     return assemble_dataset(panel, ORDER_SPEC, "price", ORDER_THRESHOLD, *ORDER_GAPS)
 
@@ -214,9 +215,7 @@ staged AS (
 
 
 def modelling_series(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from tidegauge.sources.readers import modelling_series as usable
-
-    return settle(with_positions(usable(labelled_cycles(spark, sf_dir))))
+    return settle(with_positions(readers.modelling_series(labelled_cycles(spark, sf_dir))))
 
 
 def scenarios_of(series: DataFrame) -> DataFrame:
@@ -292,8 +291,6 @@ intervals AS (
 
 def baseline_table(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(forecasts with truth, scenarios, series)."""
-    from tidegauge.operators.forecast import baseline_forecasts, with_truth
-
     series = modelling_series(spark, sf_dir)
     scenarios = scenarios_of(series)
     return with_truth(baseline_forecasts(series, scenarios), series), scenarios, series
@@ -301,8 +298,6 @@ def baseline_table(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFra
 
 def interval_table(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """The baselines, where the moving average also carries a band from its recent spread."""
-    from tidegauge.operators.errors import with_intervals
-
     forecasts, scenarios, series = baseline_table(spark, sf_dir)
     banded = F.col("model_name") == "MovingAverage"
     low = F.when(banded, F.col("y_pred_capacity") - F.col("recent_std") * 1.2816)
