@@ -145,7 +145,7 @@ def processing_summary(spark, sf_dir):
 
 # --- health ---
 
-LABELS = "cell_id, cycle, capacity_ah, is_modeling_cycle, round(initial_capacity, 6) AS initial_capacity, round(soh, 6) AS soh, " \
+LABELS = "cell_id, cycle, capacity_ah, is_modeling_cycle, round(initial_capacity, 9) AS initial_capacity, round(soh, 9) AS soh, " \
          "eol_cycle, first_below_cycle, is_censored, rul, rul_clipped"
 
 
@@ -154,7 +154,7 @@ def health_labels(spark, sf_dir):
     return B.rounded(B.labelled_cycles(spark, sf_dir).select(
         "cell_id", "cycle", "capacity_ah", "is_modeling_cycle", "initial_capacity", "soh", "eol_cycle", "first_below_cycle",
         "is_censored", "rul", "rul_clipped",
-    ))
+    ), 9)
 
 
 @query("life_stages", f"WITH {B.SQL_STAGED} SELECT cell_id, cycle, post_eol, life_stage FROM staged")
