@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from tidegauge.llm import ngram_join
+from tidegauge.llm import decontaminate, line_dedup, ngram_join
 from tidegauge.plans.registry import Query
 
-MODULES = (ngram_join,)
+MODULES = (ngram_join, line_dedup, decontaminate)
 
 
 def queries() -> dict[str, Query]:
