@@ -126,7 +126,7 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage_dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: documents keep the lines that stand nowhere earlier; those of which nothing is left go."""
-    cleaned = dedup_lines(docs, carry=True).where("n_dropped = 0 or text rlike '[^\\\\x20\\\\x09-\\\\x0D]'")
+    cleaned = dedup_lines(docs, carry=True).where("n_dropped = 0 or text rlike '[^\\x20\\x09-\\x0D]'")
     renewed = {"text": F.col("text"), "n_chars": F.when(F.col("n_dropped") > 0, F.length("text").cast("long")).otherwise(F.col("row.n_chars"))}
     return cleaned.select(*[renewed[c].alias(c) if c in renewed else F.col(f"row.`{c}`").alias(c) for c in docs.columns])
 

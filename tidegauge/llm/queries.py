@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from tidegauge.llm import decontaminate, line_dedup, ngram_join
+from tidegauge.llm import decontaminate, line_dedup, ngram_join, toxicity
 from tidegauge.plans.registry import Query
 
-MODULES = (ngram_join, line_dedup, decontaminate)
+MODULES = (ngram_join, line_dedup, decontaminate, toxicity)
 
 
 def queries() -> dict[str, Query]:
