@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from tidegauge.llm import decontaminate, line_dedup, ngram_join, toxicity
+from tidegauge.llm import (
+    decontaminate, language_id, line_dedup, mixing, ngram_join, quality, secrets, suffix_tree, toxicity, url_filter,
+)
 from tidegauge.plans.registry import Query
 
-MODULES = (ngram_join, line_dedup, decontaminate, toxicity)
+MODULES = (quality, toxicity, url_filter, decontaminate, suffix_tree, ngram_join, secrets, line_dedup, language_id, mixing)
 
 
 def queries() -> dict[str, Query]:
