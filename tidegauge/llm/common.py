@@ -49,3 +49,11 @@ def chunks(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = C
             stop = max(start + 1, int(np.searchsorted(sizes, before + limit, side="right")))
             yield batch.slice(start, stop - start), [t or b"" for t in column.slice(start, stop - start).to_pylist()]
             before, start = float(sizes[stop - 1]), stop
+
+
+BROADCAST_ROWS = 200_000  # rows of ids or pairs, some 24 bytes each
+
+
+def small(df: DataFrame) -> DataFrame:
+    """``df`` marked for broadcast if its rows, counted, are few; else as it is, for a join that shuffles."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
