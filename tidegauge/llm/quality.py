@@ -27,10 +27,11 @@ CLASSES = {
 class Quality:
     min_words: int = 50  # shorter texts are not judged by divergence
     common_words: int = 40  # words of a language's reference, by count
-    class_limit: float = 0.20  # largest distance of the class histogram
-    word_limit: float = 0.80  # largest distance of the common-word histogram
+    class_limit: float = 0.19  # largest distance of the class histogram
+    word_limit: float = 0.45  # largest distance of the common-word histogram
     longest_common: int = 8  # characters of a common word at most
     min_language_docs: int = 20  # languages with fewer documents give no reference
+    reference_symbols: float = 0.01  # texts with a larger share of symbols teach nothing
 
 
 def _count(text: Column, pattern: str) -> Column:
@@ -96,7 +97,9 @@ def language_references(docs: DataFrame, rules: Quality = Quality(), text: str =
     """
     n = len(CLASSES) + 1
     rows = docs.select(F.col(lang).cast("string").alias("lang"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("_text")).where("lang is not null")
-    sums = rows.select("lang", _class_counts(F.col("_text")).alias("_c")).groupBy("lang").agg(F.count("*").alias("n_docs"), *[F.sum(F.get("_c", F.lit(k))).alias(f"c{k}") for k in range(n)])
+    symbols = F.get("_c", F.lit(list(CLASSES).index("symbol")))
+    rows = rows.withColumn("_c", _class_counts(F.col("_text"))).where(symbols <= rules.reference_symbols * F.length("_text"))
+    sums = rows.groupBy("lang").agg(F.count("*").alias("n_docs"), *[F.sum(F.get("_c", F.lit(k))).alias(f"c{k}") for k in range(n)])
     kept = [r for r in sums.orderBy("lang").toLocalIterator() if r.n_docs >= rules.min_language_docs and sum(r[f"c{k}"] for k in range(n))]
     words = rows.select("lang", F.explode(F.regexp_extract_all("_text", F.lit(WORD), F.lit(0))).alias("word"))
     # longer words only count towards the whole

@@ -31,11 +31,13 @@ class Toxicity:
     bits: int = 18
     longest_sentence: int = 64
     prefixes: tuple[int, ...] = (3, 4, 5, 6, 7)
-    sample_per_class: int = 2000
-    epochs: int = 14
+    sample_per_class: int = 3000
+    epochs: int = 20
     batch: int = 200
-    rate: float = 0.03
+    rate: float = 0.05
     penalty: float = 2e-5
+    shrink: float = 0.3  # soft threshold a step, times the rate
+    least_docs: int = 15  # sample documents that a feature occurs in
     threshold: float = 0.7
     seed: int = 11
 
@@ -102,6 +104,11 @@ def fit(documents: list[tuple[int, np.ndarray, np.ndarray]], weights: tuple[floa
     if len({y for y, _, _ in documents}) < 2:
         return w[:size], bias
     w[size] = bias
+    seen = np.zeros(size + 1, dtype=np.int64)
+    for _, f, _ in documents:
+        seen[np.unique(f)] += 1
+    off = np.flatnonzero(seen < options.least_docs)
+    off = off[off < size]
     m, v, step = np.zeros(size + 1), np.zeros(size + 1), 0
     rng = np.random.default_rng(options.seed)
     for _ in range(options.epochs):
@@ -121,10 +128,12 @@ def fit(documents: list[tuple[int, np.ndarray, np.ndarray]], weights: tuple[floa
             slope = pull[owner] / (1 + np.exp(-z))
             gradient = _sum_at(slope[sentence], features, size + 1) + options.penalty * w
             gradient[size] = slope.sum()
+            gradient[off] = 0.0
             step += 1
             m += 0.1 * (gradient - m)
             v += 0.01 * (gradient**2 - v)
             w -= options.rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
+            w[:size] = np.sign(w[:size]) * np.maximum(np.abs(w[:size]) - options.rate * options.shrink, 0.0)
     return w[:size], float(w[size])
 
 
@@ -172,7 +181,7 @@ def train(docs: DataFrame, labels: DataFrame, options: Toxicity = Toxicity()) ->
     # the sample is bounded by its parameter
     sample = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id").select("doc_id", "toxic", "text")
     frame = sample.mapInArrow(_featurised(options), "doc_id long, toxic int, features array<int>, sentence array<int>").toArrow().sort_by([("doc_id", "ascending"), ("toxic", "ascending")])
-    rows = [(y, np.asarray(f, dtype=np.int64), np.asarray(s, dtype=np.int64)) for y, f, s in zip(frame.column("toxic").to_pylist(), _arrays(frame.column("features")), _arrays(frame.column("sentence")))]
+    rows = [(y, f, s) for y, f, s in zip(frame.column("toxic").to_pylist(), _arrays(frame.column("features")), _arrays(frame.column("sentence")))]
     lift = [1 / max(share[k], 1e-9) for k in (0, 1)]
     mean = sum(totals.values()) / max(1e-9, sum(totals.get(k, 0) * share[k] for k in (0, 1))) if totals else 1.0
     return fit(rows, (lift[0] / mean, lift[1] / mean), options)
