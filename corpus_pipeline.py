@@ -5,10 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tidegauge.llm.common import table
+from tidegauge.llm.decontaminate import stage_decontaminate
+from tidegauge.llm.line_dedup import stage_dedup_lines
+from tidegauge.llm.mixing import stage_mix
 from tidegauge.llm.ngram_join import keep_one_per_group
+from tidegauge.llm.toxicity import stage_reject_toxic
 from tidegauge.session import settle
 
-STAGES = [("near_duplicates", keep_one_per_group)]
+STAGES = [
+    ("toxicity", stage_reject_toxic),
+    ("line_dedup", stage_dedup_lines),
+    ("near_duplicates", keep_one_per_group),
+    ("decontamination", stage_decontaminate),
+    ("mixing", stage_mix),
+]
 
 ORACLE_SQL = None  # a trained classifier and a decomposition have no SQL; tests/llm compares each stage with brute force
 
