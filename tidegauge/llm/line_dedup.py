@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidegauge.llm.common import table
+from tidegauge.llm.common import small, table
 from tidegauge.plans.registry import Query
 from tidegauge.session import settle
 
@@ -64,7 +64,7 @@ def _near_earlier(docs: DataFrame, classes: DataFrame, min_chars: int) -> DataFr
 
     # only one line of each class in question is fetched again
     wanted = related.select("hash", "len", "rank.doc_id", "rank.pos").distinct()
-    own = docs.join(wanted.select("doc_id").distinct(), "doc_id", "left_semi")
+    own = docs.join(small(settle(wanted.select("doc_id").distinct())), "doc_id", "left_semi")
     texts = settle(_lines(own, min_chars).join(wanted, ["doc_id", "pos", "len"]).where(F.xxhash64("norm") == F.col("hash")).select("hash", "len", "norm").distinct())
 
     rows = related.join(texts, ["hash", "len"])
