@@ -121,7 +121,7 @@ def test_lines_equal_brute_force(spark):
     rows = [(k, "\n".join(rng.choices([*stock, "short", "", "  "], k=12)), "en", "a") for k in range(12)]
     rows += [(50, None, "en", "a"), (51, "", "en", "a"), (52, prose(rng, 5000), "en", "a"), (None, stock[0], "en", "a"), (3, rows[3][1], "en", "a")]
     seen, dropped = {}, {}
-    lines = sorted({(i, p, line.strip(" \t\r").lower()) for i, t, *_ in rows if t and i is not None for p, line in enumerate(t.split("\n"))})
+    lines = sorted({(i, p, line.strip(" \t\r").lower()) for i, t, *_ in rows if t is not None and i is not None for p, line in enumerate(t.split("\n"))})
     first = {}
     for i, p, n in lines:
         if len(n) >= 20:
