@@ -6,14 +6,13 @@ similar enough share a gram in their heads; such pairs are candidates. For each
 fragment by fragment, and the partial counts are summed per pair.
 
 Equal sets form one node, so copies are never paired. Links are only needed to know what is connected: each node is
-first tried against few hubs, connected nodes are merged, and only pairs across components that are still apart are
+first tried against one hub, connected nodes are merged, and only pairs across components that are still apart are
 enumerated. That last step is complete, so no link between components is missed.
 """
 
 from __future__ import annotations
 
 import hashlib
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,14 +21,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidegauge.llm.common import chunks, table, words_of
+from tidegauge.llm.common import chunks, small, table, words_of
 from tidegauge.plans.registry import Query
 from tidegauge.session import settle
 
 CELLS = 1 << 20  # cells of the sketch; it takes 4 MB whatever the corpus holds
 BLOCK = 1 << 14
 FRAGMENTS = 8
-HUB_ROUNDS = 3
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -123,7 +121,7 @@ def _order(sketch: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return rank, fragment, counts
 
 
-POSTINGS = "gram long, node long, n int, pos int, indexed boolean, hot boolean"
+POSTINGS = "gram long, node long, meta long"  # meta: size of the set, position, whether indexed, whether hot
 
 
 def _heads(width: int, percent: int, ranks, hot):
@@ -148,39 +146,89 @@ def _heads(width: int, percent: int, ranks, hot):
             sizes = [len(p[0]) for p in parts]
             grams = np.concatenate([p[0] for p in parts])
             pos = np.concatenate([np.arange(s, dtype=np.int32) for s in sizes])
+            indexed = pos < np.repeat([p[3] for p in parts], sizes)
+            meta = np.repeat(np.array([p[2] for p in parts], dtype=np.int64), sizes) << 32 | pos.astype(np.int64) << 2
+            meta |= indexed.astype(np.int64) << 1 | is_hot[(grams & np.uint64(CELLS - 1)).astype(np.int64)]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(grams.view(np.int64)), pa.array(np.repeat(np.array([p[1] for p in parts], dtype=np.int64), sizes)),
-                 pa.array(np.repeat(np.array([p[2] for p in parts], dtype=np.int32), sizes)), pa.array(pos),
-                 pa.array(pos < np.repeat([p[3] for p in parts], sizes)), pa.array(is_hot[(grams & np.uint64(CELLS - 1)).astype(np.int64)])],
-                names=["gram", "node", "n", "pos", "indexed", "hot"])
+                [pa.array(grams.view(np.int64)), pa.array(np.repeat(np.array([p[1] for p in parts], dtype=np.int64), sizes)), pa.array(meta)], names=["gram", "node", "meta"])
 
     return run
 
 
-def _segments(width: int, fragments):
-    """The whole set of each text, cut at the pivots of the global order."""
+FILTER_BITS = 1 << 23  # 1 MB; a fuller filter lets more documents through to the exact join, and drops none
+
+
+def _filter_places(ids: np.ndarray) -> np.ndarray:
+    """Two places of each id in the filter."""
+    with np.errstate(over="ignore"):
+        mixed = ids.astype(np.uint64) * _PRIME
+        mixed ^= mixed >> np.uint64(31)
+        return np.stack([mixed & np.uint64(FILTER_BITS - 1), (mixed >> np.uint64(32)) & np.uint64(FILTER_BITS - 1)]).astype(np.int64)
+
+
+def _filter_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    bits = np.zeros(FILTER_BITS, dtype=bool)
+    for batch in batches:
+        bits[_filter_places(batch.column(0).to_numpy())] = True
+    packed = np.packbits(bits).reshape(16, -1)
+    used = np.flatnonzero(packed.any(axis=1))
+    yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array([packed[k].tobytes() for k in used], pa.binary())], names=["block", "bits"])
+
+
+def _joined_bits(pdf: pd.DataFrame) -> pd.DataFrame:
+    bits = np.bitwise_or.reduce([np.frombuffer(b, dtype=np.uint8) for b in pdf["bits"]])
+    return pd.DataFrame({"block": pdf["block"].iloc[:1], "bits": [bits.tobytes()]})
+
+
+def _id_filter(ids: DataFrame) -> np.ndarray:
+    """Bits of a Bloom filter over ids, built in tasks."""
+    parts = ids.coalesce(64).mapInArrow(_filter_of, "block int, bits binary").groupBy("block").applyInPandas(_joined_bits, "block int, bits binary")
+    packed = np.zeros((16, FILTER_BITS // 8 // 16), dtype=np.uint8)
+    for row in parts.toLocalIterator():  # 16 blocks of 64 KB
+        packed[row.block] = np.frombuffer(row.bits, dtype=np.uint8)
+    return packed.reshape(-1)
+
+
+def _segments(width: int, fragments, wanted):
+    """The whole set of each text, cut at the pivots of the global order; texts whose id the filter lacks are passed over."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of = fragments.value
-        for _, texts in chunks(batches):
-            node, piece, values = [], [], []
-            for grams in _gram_sets(texts, width):
+        of, bits = fragments.value, wanted.value
+        for batch, texts in chunks(batches):
+            node, piece, values, owner = [], [], [], []
+            ids = batch.column(0)
+            a, b = _filter_places(ids.fill_null(0).to_numpy(zero_copy_only=False))
+            test = lambda at: bits[at >> 3] >> (7 - (at & 7)) & 1
+            use = (test(a) & test(b)).astype(bool) | ids.is_null().to_numpy(zero_copy_only=False)
+            for i, grams in zip(ids.filter(pa.array(use)).to_pylist(), _gram_sets([t for t, u in zip(texts, use) if u], width)):
                 key, where = _node(grams), of[(grams & np.uint64(CELLS - 1)).astype(np.int64)]
                 for f in np.unique(where):
-                    node.append(key), piece.append(int(f)), values.append(grams[where == f].view(np.int64))
+                    owner.append(i), node.append(key), piece.append(int(f)), values.append(grams[where == f].view(np.int64))
             if node:
-                yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(piece, pa.int32()), pa.array(values, pa.list_(pa.int64()))], names=["node", "fragment", "grams"])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(owner, pa.int64()), pa.array(node, pa.int64()), pa.array(piece, pa.int32()), pa.array(values, pa.list_(pa.int64()))], names=["id", "node", "fragment", "grams"])
 
     return run
 
 
+def _segments_of(pairs: DataFrame, rows: DataFrame, sets: DataFrame, width: int, fragments) -> DataFrame:
+    """Segments of the nodes that occur in ``pairs``, each from one document."""
+    nodes = small(settle(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()))
+    carriers = settle(sets.join(nodes, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("_id")))
+    wanted = rows.sparkSession.sparkContext.broadcast(_id_filter(carriers.where("_id is not null").select("_id")))
+    found = rows.mapInArrow(_segments(width, fragments, wanted), "id long, node long, fragment int, grams array<long>")
+    return settle(found.join(small(carriers).withColumnRenamed("node", "_node"), (F.col("node") == F.col("_node")) & F.col("id").eqNullSafe(F.col("_id"))).select("node", "fragment", "grams"))
+
+
 def _verified(pairs: DataFrame, segments: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b, na, nb) whose summed partial overlaps reach the threshold."""
-    left = segments.select(F.col("node").alias("a"), "fragment", F.col("grams").alias("_ga"))
-    right = segments.select(F.col("node").alias("b"), "fragment", F.col("grams").alias("_gb"))
-    partial = pairs.join(left, "a").join(right, ["b", "fragment"]).select("a", "b", "na", "nb", F.size(F.array_intersect("_ga", "_gb")).alias("_part"))
-    overlap = F.sum("_part")
-    return partial.groupBy("a", "b", "na", "nb").agg(overlap.alias("overlap")).where(
+    """Pairs (a, b) whose summed partial overlaps reach the threshold."""
+    known = small(pairs)
+    left = segments.select(F.col("node").alias("a"), "fragment", F.col("grams").alias("_ga")).join(known, "a")
+    right = segments.select(F.col("node").alias("b"), "fragment", F.col("grams").alias("_gb")).join(small(settle(pairs.select("b").distinct())), "b", "left_semi")
+    partial = left.join(right, ["b", "fragment"]).select("a", "b", "na", "nb", "fragment", F.size(F.array_intersect("_ga", "_gb")).alias("_part"))
+    # a row read twice gives a segment twice
+    once = partial.groupBy("a", "b", "na", "nb", "fragment").agg(F.max("_part").alias("_part"))
+    return once.groupBy("a", "b", "na", "nb").agg(F.sum("_part").alias("overlap")).where(
         100 * F.col("overlap") >= percent * (F.col("na") + F.col("nb") - F.col("overlap"))).select("a", "b")
 
 
@@ -208,17 +256,17 @@ def merge_components(labels: DataFrame, links: DataFrame) -> DataFrame:
         labels = settle(labels.join(parents, "comp", "left").select("node", F.coalesce("parent", "comp").alias("comp")))
 
 
-def _hub_pairs(postings: DataFrame, labels: DataFrame, priority, percent: int) -> DataFrame:
-    """For each node the one hub, of another component, with which it shares most of its head."""
-    mixed = _mixed(postings, labels).withColumn("_rank", priority)
-    who = F.struct("node", "comp", "n", "pos")
-    first = mixed.groupBy("gram").agg(F.max_by(who, F.struct("_rank", "node")).alias("_h1"))
-    other = mixed.join(first, "gram").where(F.col("comp") != F.col("_h1.comp"))
-    second = other.groupBy("gram").agg(F.max_by(who, F.struct("_rank", "node")).alias("_h2"))
-    hubs = first.join(second, "gram")
-    pick = F.when(F.col("comp") != F.col("_h1.comp"), F.col("_h1")).otherwise(F.col("_h2"))
-    met = mixed.join(hubs, "gram").select(F.col("node").alias("a"), F.col("n").alias("na"), "pos", pick.alias("_hub")).select(
-        "a", "na", "pos", F.col("_hub.node").alias("b"), F.col("_hub.n").alias("nb"), F.col("_hub.pos").alias("pos_b"))
+def _hub_pairs(postings: DataFrame, percent: int) -> DataFrame:
+    """For each node one hub: of the nodes that lead the lists it stands in, the one it shares most of its head with.
+
+    A list is led by the node whose head is shared most: the text that a group of near copies was made from has the
+    fewest grams of its own.
+    """
+    density = postings.groupBy("node").agg((F.count("*") / F.max("n")).alias("density"))
+    ranked = settle(postings.join(density, "node"))
+    hubs = ranked.groupBy("gram").agg(F.max_by(F.struct("node", "n", "pos"), F.struct("density", "node")).alias("_hub"))
+    met = ranked.join(hubs, "gram").where(F.col("node") != F.col("_hub.node")).select(
+        F.col("node").alias("a"), F.col("n").alias("na"), "pos", F.col("_hub.node").alias("b"), F.col("_hub.n").alias("nb"), F.col("_hub.pos").alias("pos_b"))
     common = met.groupBy("a", "b", "na", "nb").agg(F.count("*").alias("c"), F.max("pos").alias("i"), F.max("pos_b").alias("j"))
     able = common.where(F.col("c") + F.least(F.col("na") - F.col("i") - 1, F.col("nb") - F.col("j") - 1) >= _long_enough(percent))
     return able.groupBy("a", "na").agg(F.max_by(F.struct("b", "nb"), F.struct("c", "b")).alias("_best")).select("a", "na", "_best.b", "_best.nb")
@@ -270,28 +318,21 @@ def similar_groups(docs: DataFrame, percent: int = 75, width: int = 5, doc_id: s
 
     # a gram that is not hot has a short list, as the sketch never counts too few; hot ones are kept unseen
     heads = rows.select("doc_id", "text").mapInArrow(_heads(width, percent, ranks, hots), POSTINGS)
-    one_gram = Window.partitionBy("gram", F.when(F.col("hot"), F.col("node")).otherwise(F.lit(0)))
+    is_hot = F.col("meta").bitwiseAND(1) == 1
+    one_gram = Window.partitionBy("gram", F.when(is_hot, F.col("node")).otherwise(F.lit(0)))
+    unpacked = [F.shiftright("meta", 32).cast("int").alias("n"), F.shiftright("meta", 2).bitwiseAND((1 << 30) - 1).cast("int").alias("pos"),
+                (F.shiftright("meta", 1).bitwiseAND(1) == 1).alias("indexed")]
     postings = settle(
-        heads.withColumn("_lo", F.min("node").over(one_gram)).withColumn("_hi", F.max("node").over(one_gram))
-        .where("hot or _lo <> _hi").select("gram", "node", "n", "pos", "indexed").distinct())
-    suspects = postings.groupBy("node").agg((F.count("*") / F.max("n")).alias("density"))
-    carriers = sets.join(suspects, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.max(F.col("doc_id").isNull()).alias("_none"))
-    ids = carriers.where("doc_id is not null").select("doc_id").distinct()
-    nameless = rows.where("doc_id is null")
-    segments = settle(
-        rows.join(ids, "doc_id", "left_semi").unionByName(nameless).mapInArrow(_segments(width, fragments), "node long, fragment int, grams array<long>")
-        .join(suspects.select("node"), "node", "left_semi").dropDuplicates(["node", "fragment"]))
-
-    labels = settle(suspects.select("node", F.col("node").alias("comp")))
-    for turn in range(HUB_ROUNDS):
-        if turn == 0:
-            ranked, priority = postings.join(suspects, "node"), F.col("density")
-        else:
-            ranked, priority = postings, F.xxhash64("node", F.lit(turn))
-        links = settle(_verified(settle(_hub_pairs(ranked, labels, priority, percent)), segments, percent))
-        labels = merge_components(labels, links)
-    links = settle(_verified(settle(_cross_pairs(postings, labels, percent)), segments, percent))
-    labels = merge_components(labels, links)
+        heads.select("*", F.min("node").over(one_gram).alias("_lo"), F.max("node").over(one_gram).alias("_hi"), F.lag("node").over(one_gram.orderBy("node")).alias("_same"))
+        .where((is_hot | (F.col("_lo") != F.col("_hi"))) & (F.col("_same").isNull() | (F.col("_same") != F.col("node"))))
+        .select("gram", "node", *unpacked))
+
+    def links_of(pairs: DataFrame) -> DataFrame:
+        return settle(_verified(pairs, _segments_of(pairs, rows, sets, width, fragments), percent))
+
+    labels = settle(postings.select("node", F.col("node").alias("comp")).distinct())
+    labels = merge_components(labels, links_of(settle(_hub_pairs(postings, percent))))
+    labels = merge_components(labels, links_of(settle(_cross_pairs(postings, labels, percent))))
 
     classes = sets.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("_least"))
     grouped = classes.join(labels, "node")
