@@ -87,8 +87,10 @@ def train(docs: DataFrame, options: Secrets = Secrets(), doc_id: str = "doc_id",
     n_docs = max(1, docs.count())
     part = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(min(1.0, options.sample_docs / n_docs) * (1 << 20))
     values = rows.where(F.size("_base") > 0).select(F.explode("_base.value").alias("token"), F.lit(True).alias("random"))
-    digest = F.sha2(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), 256)
-    digests = rows.where(part).select(F.explode(F.array(F.base64(F.unhex(digest)), digest)).alias("token"), F.lit(True).alias("random"))
+    # few documents give several digests each, so that the random model has as many samples
+    numbered = rows.where(part).select("doc_id", F.explode(F.sequence(F.lit(1), F.lit(math.ceil(options.sample_docs / min(n_docs, options.sample_docs))))).alias("k"))
+    digest = F.sha2(F.concat_ws(":", F.col("doc_id").cast("string"), "k"), 256)
+    digests = numbered.select(F.explode(F.array(F.base64(F.unhex(digest)), digest)).alias("token"), F.lit(True).alias("random"))
     words = rows.where(part).select(F.explode(F.regexp_extract_all("_text", F.lit(rf"(?<!{KEYLIKE}){KEYLIKE}{{8,}}"), F.lit(0))).alias("token"), F.col("_base.value").alias("_v"))
     plain = words.where(~F.exists("_v", lambda v: v.contains(F.col("token")))).select("token", F.lit(False).alias("random"))
     labelled = values.unionByName(digests).unionByName(plain)
