@@ -39,11 +39,19 @@ def _count(text: Column, pattern: str) -> Column:
 
 
 def _class_counts(text: Column) -> Column:
-    counts = [_count(text, p) for p in CLASSES.values()]
-    known = counts[0]
-    for c in counts[1:]:
-        known = known + c
-    return F.array(*counts, F.coalesce(F.length(text), F.lit(0)).cast("long") - known)
+    """Characters of each class. Most are lower-case letters; the other classes are counted in what is left of them."""
+    length = lambda c: F.coalesce(F.length(c), F.lit(0)).cast("long")
+    first, *others = CLASSES.values()
+    rest = F.regexp_replace(text, f"{first}+", "")
+
+    def counted(rest: Column) -> Column:
+        counts = [_count(rest, p) for p in others]
+        known = counts[0]
+        for c in counts[1:]:
+            known = known + c
+        return F.array(length(text) - length(rest), *counts, length(rest) - known)
+
+    return F.get(F.transform(F.array(rest), counted), F.lit(0))
 
 
 def _repeat_words(words: Column) -> tuple[Column, Column]:
@@ -99,15 +107,16 @@ def language_references(docs: DataFrame, rules: Quality = Quality(), text: str =
     rows = docs.select(F.col(lang).cast("string").alias("lang"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("_text")).where("lang is not null")
     symbols = F.get("_c", F.lit(list(CLASSES).index("symbol")))
     rows = rows.withColumn("_c", _class_counts(F.col("_text"))).where(symbols <= rules.reference_symbols * F.length("_text"))
-    sums = rows.groupBy("lang").agg(F.count("*").alias("n_docs"), *[F.sum(F.get("_c", F.lit(k))).alias(f"c{k}") for k in range(n)])
-    kept = [r for r in sums.orderBy("lang").toLocalIterator() if r.n_docs >= rules.min_language_docs and sum(r[f"c{k}"] for k in range(n))]
-    words = rows.select("lang", F.explode(F.regexp_extract_all("_text", F.lit(WORD), F.lit(0))).alias("word"))
+    sums = rows.groupBy("lang").agg(F.count("*").alias("n_docs"), F.sum(_count(F.col("_text"), WORD)).alias("n_words"), *[F.sum(F.get("_c", F.lit(k))).alias(f"c{k}") for k in range(n)])
+    found = list(sums.orderBy("lang").toLocalIterator())
+    kept = [r for r in found if r.n_docs >= rules.min_language_docs and sum(r[f"c{k}"] for k in range(n))]
     # longer words only count towards the whole
-    counted = words.groupBy("lang", F.when(F.length("word") <= rules.longest_common, F.col("word")).alias("word")).agg(F.count("*").alias("n"))
+    words = rows.select("lang", F.explode(F.regexp_extract_all("_text", F.lit(WORD), F.lit(0))).alias("word")).where(F.length("word") <= rules.longest_common)
+    counted = words.groupBy("lang", "word").agg(F.count("*").alias("n"))
     first = Window.partitionBy("lang").orderBy(F.desc("n"), "word")
-    whole = {r.lang: r.n for r in counted.groupBy("lang").agg(F.sum("n").alias("n")).toLocalIterator()}
+    whole = {r.lang: r.n_words for r in found}
     common: dict[str, dict[str, float]] = {}
-    for r in counted.where("word is not null").withColumn("_k", F.row_number().over(first)).where(F.col("_k") <= rules.common_words).toLocalIterator():
+    for r in counted.withColumn("_k", F.row_number().over(first)).where(F.col("_k") <= rules.common_words).toLocalIterator():
         common.setdefault(r.lang, {})[r.word] = r.n / whole[r.lang]
     listed = sorted({w for r in kept for w in common.get(r.lang, {})})
     classes = [[r[f"c{k}"] / sum(r[f"c{j}"] for j in range(n)) for k in range(n)] for r in kept]
