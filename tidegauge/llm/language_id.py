@@ -7,10 +7,11 @@ spans; a document's language is the one that holds most of its letters.
 
 from __future__ import annotations
 
-import zlib
+import sys
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -41,25 +42,56 @@ class Languages:
     outside: float = -60.0  # score of a word in a language that is not written in its script
 
 
-def script_of(letter: str) -> int:
-    point = ord(letter)
+@lru_cache(1)
+def _script_table() -> np.ndarray:
+    """Script of each code point; -1 for what is no letter."""
+    out = np.full(sys.maxunicode + 1, len(SCRIPTS), dtype=np.int8)
     for k, ranges in enumerate(SCRIPTS.values()):
-        if any(a <= point <= b for a, b in ranges):
-            return k
-    return len(SCRIPTS)
+        for a, b in ranges:
+            out[a : b + 1] = k
+    out[[not chr(p).isalpha() for p in range(len(out))]] = -1
+    return out
+
 
+_BASE, _MIX = np.uint64(0x100000001B3), np.uint64(0x9E3779B97F4A7C15)
 
-def _letters(word: bytes) -> str:
-    return "".join(c for c in word.decode("utf-8", "replace").lower() if c.isalpha())
 
+def spelled(words: list[bytes], options: Languages) -> tuple[np.ndarray, Iterator[tuple[np.ndarray, np.ndarray]]]:
+    """Letters of each word by script, and for each length its n-grams as (hashed places, numbers of their words).
 
-def _grams(letters: str, options: Languages) -> list[int]:
-    text, mask = f"^{letters}$", (1 << options.bits) - 1
-    return [zlib.crc32(text[i : i + n].encode()) & mask for n in range(1, options.longest + 1) for i in range(len(text) - n + 1)]
+    All words are taken at once, in lower case and without other characters, each between two marks.
+    """
+    text = b" ".join(words).decode("utf-8", "replace").lower()
+    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    script, word = _script_table()[points], np.cumsum(points == 0x20)
+    at = np.flatnonzero(script >= 0)
+    points, script, word = points[at], script[at], word[at]
+    scripts = np.bincount(word * len(_NAMES) + script, minlength=len(words) * len(_NAMES)).reshape(len(words), len(_NAMES))
+    letters = scripts.sum(axis=1)
+    filled = np.flatnonzero(letters)
+    sizes = letters[filled] + 2
+    ends, of = np.cumsum(sizes), np.repeat(filled, sizes)
+    marked, inner = np.empty(len(of), dtype=np.uint64), np.ones(len(of), dtype=bool)
+    marked[ends - sizes], marked[ends - 1] = ord("^"), ord("$")
+    inner[ends - sizes] = inner[ends - 1] = False
+    marked[inner] = points
+
+    def grams() -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        rolled = np.zeros(len(marked), dtype=np.uint64)
+        for n in range(1, min(options.longest, len(marked)) + 1):
+            rolled = rolled[: len(marked) - n + 1] * _BASE + marked[n - 1 :]
+            inside = of[: len(rolled)] == of[n - 1 :]
+            place = (rolled[inside] + np.uint64(n << 56)) * _MIX
+            place ^= place >> np.uint64(31)
+            place *= _MIX
+            yield (place >> np.uint64(64 - options.bits)).astype(np.int64), of[: len(rolled)][inside]
+
+    return scripts, grams()
 
 
 def _counted(options: Languages):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        size = 1 << options.bits
         grams: dict[str, np.ndarray] = {}
         scripts: dict[str, np.ndarray] = {}
         for batch, texts in chunks(batches):
@@ -67,13 +99,13 @@ def _counted(options: Languages):
             for lang, text in zip(batch.column(0).to_pylist(), texts):
                 words.setdefault(lang, Counter()).update(text.split())
             for lang, counter in words.items():
-                g = grams.setdefault(lang, np.zeros(1 << options.bits))
+                g = grams.setdefault(lang, np.zeros(size))
                 s = scripts.setdefault(lang, np.zeros(len(_NAMES)))
-                for word, n in counter.items():
-                    if letters := _letters(word):
-                        np.add.at(g, _grams(letters, options), n)
-                        for c in letters:
-                            s[script_of(c)] += n
+                n = np.fromiter(counter.values(), dtype=float, count=len(counter))
+                by_script, found = spelled(list(counter), options)
+                s += n @ by_script
+                for place, of in found:
+                    g += np.bincount(place, weights=n[of], minlength=size)
         for lang in grams:
             counts = np.concatenate([grams[lang], scripts[lang]])
             at = np.flatnonzero(counts)
@@ -104,15 +136,23 @@ def train(docs: DataFrame, options: Languages = Languages(), text: str = "text",
     return Model(languages, log_shares.astype(np.float32), scripts >= options.script_share * np.maximum(1, scripts.sum(axis=0)))
 
 
-def word_scores(word: bytes, model: Model, options: Languages) -> tuple[np.ndarray, int]:
-    """Scores of a word by language, and its number of letters. A word without letters says nothing."""
-    letters = _letters(word)
-    if not letters:
-        return np.zeros(len(model.languages), dtype=np.float32), 0
-    scores = options.damping * model.log_shares[_grams(letters, options)].sum(axis=0)
-    main = Counter(map(script_of, letters)).most_common(1)[0][0]
-    allowed = model.scripts[main]
-    return (np.where(allowed, scores, scores.max() + options.outside) if allowed.any() else scores).astype(np.float32), len(letters)
+def word_scores(words: list[bytes], model: Model, options: Languages) -> tuple[np.ndarray, np.ndarray]:
+    """Scores of each word by language, and its number of letters. A word without letters says nothing.
+
+    A word belongs to the script of most of its letters, of equals to the one listed first.
+    """
+    by_script, found = spelled(words, options)
+    scores = np.zeros((len(words), len(model.languages)))
+    for place, of in found:
+        for k in range(scores.shape[1]):
+            scores[:, k] += np.bincount(of, weights=model.log_shares[place, k], minlength=len(words))
+    scores *= options.damping
+    allowed = model.scripts[by_script.argmax(axis=1)]
+    outside = ~allowed & allowed.any(axis=1, keepdims=True)
+    scores = np.where(outside, scores.max(axis=1, keepdims=True) + options.outside, scores)
+    letters = by_script.sum(axis=1)
+    scores[letters == 0] = 0
+    return scores.astype(np.float32), letters
 
 
 def best_paths(scores: list[np.ndarray], penalty: float) -> list[np.ndarray]:
@@ -164,8 +204,8 @@ def _labelled(shared, options: Languages):
             words = [t.split() for t in texts]
             new = list(set().union(*words).difference(known)) if n else []
             if new:
-                got = [word_scores(w, model, options) for w in new]
-                scores, letters = np.concatenate([scores, np.stack([g[0] for g in got])]), np.concatenate([letters, [g[1] for g in got]])
+                got = word_scores(new, model, options)
+                scores, letters = np.concatenate([scores, got[0]]), np.concatenate([letters, got[1]])
                 known.update(zip(new, range(len(known), len(known) + len(new))))
             at = [np.array([known[w] for w in one], dtype=np.int64) for one in words] if n else []
             paths = best_paths([scores[a] for a in at], options.penalty) if n else []
