@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import csv
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidegauge.functions.columns import file_date, number, parsed_date
+from tidegauge.functions.columns import file_date, finite, number, parsed_date
 from tidegauge.sources import schemas as S
 
 
@@ -82,20 +83,60 @@ def read_export(spark: SparkSession, path: str) -> DataFrame:
     return positional_export(spark.read.schema(S.text_schema(S.EXPORT_COLUMNS)).csv(path, header=False))
 
 
+def file_heads(spark: SparkSession, path: str) -> DataFrame:
+    """(path, value): the first line of every landed file, null for an empty one."""
+    lines = spark.read.option("recursiveFileLookup", True).text(path).select(
+        F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("start"), "value"
+    )
+    # the block that starts a file is read in order, so its first row has the least id
+    heads = lines.withColumn("_id", F.monotonically_increasing_id()).filter("start = 0").groupBy("path").agg(
+        F.min_by("value", "_id").alias("value"))
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select(F.col("_metadata.file_path").alias("path"))
+    return files.join(heads, "path", "left")
+
+
+def _landed_by_header(spark: SparkSession, path: str, required: Sequence[str]) -> list[tuple[list[str], list[str]]]:
+    """Groups of files with one header each. Raises if a file lacks a required column, naming both."""
+    groups: dict[str, list[str]] = {}
+    for row in file_heads(spark, path).orderBy("path").toLocalIterator():  # one row a file
+        if row.value:
+            groups.setdefault(row.value, []).append(row.path)
+    out = []
+    for head, paths in groups.items():
+        columns = [c.strip() for c in next(csv.reader([head.lstrip("\ufeff")]))]
+        if lacking := sorted(set(required) - set(columns)):
+            raise MissingColumnsError(f"Missing required columns: {lacking} in {paths[0]}")
+        out.append((columns, paths))
+    return out
+
+
 def read_cycler(spark: SparkSession, path: str, file_format: str = "csv") -> DataFrame:
-    """Only the required channels of every file, with the file name and the date in it."""
-    if file_format == "csv":
-        header = spark.read.option("header", True).csv(path)
-        require_columns(header, list(S.CYCLER_CHANNELS))
-        frame = header
-    else:
-        frame = require_columns(spark.read.format(file_format).load(path), list(S.CYCLER_CHANNELS))
+    """Only the required channels of every file, with the file name and the date in it.
+
+    Each text file is read by its own header, whatever the order of its columns; files with equal headers are read
+    together. Empty files have no rows. NaN becomes NULL.
+    """
     name = F.col("_metadata.file_name")
-    return frame.select(
-        name.alias("source_file"),
-        file_date(name).alias("file_date"),
-        *[F.col(f"`{c}`").try_cast(t).alias(c) for c, t in S.CYCLER_CHANNELS.items()],
-    )
+
+    def channels(frame: DataFrame, text: bool) -> DataFrame:
+        def typed(c: str, kind: str) -> Column:
+            column = F.col(f"`{c}`")
+            if kind != "double":
+                return column.try_cast(kind)
+            return number(column) if text else finite(column.try_cast(kind))
+
+        return frame.select(name.alias("source_file"), file_date(name).alias("file_date"), *[typed(c, t).alias(c) for c, t in S.CYCLER_CHANNELS.items()])
+
+    if file_format != "csv":
+        return channels(require_columns(spark.read.format(file_format).load(path), list(S.CYCLER_CHANNELS)), False)
+    frame = None
+    for columns, paths in _landed_by_header(spark, path, list(S.CYCLER_CHANNELS)):
+        positions = [f"_c{i}" if columns.index(c) != i else c for i, c in enumerate(columns)]  # of repeated names the first counts
+        part = channels(spark.read.schema(S.text_schema(positions)).option("header", True).csv(paths), True)
+        frame = part if frame is None else frame.unionByName(part)
+    if frame is None:
+        raise MissingColumnsError(f"no header in any file of {path}")
+    return frame
 
 
 def header_audit(files: DataFrame, required: Sequence[str], path: str = "path", text: str = "value") -> DataFrame:
@@ -112,13 +153,13 @@ def header_audit(files: DataFrame, required: Sequence[str], path: str = "path",
 
 
 def audit_headers(spark: SparkSession, path: str, required: Sequence[str] = tuple(S.CYCLER_CHANNELS)) -> DataFrame:
-    """``header_audit`` over landed text files; only each file's first line is kept."""
-    lines = spark.read.text(path).select(
-        F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("start"), "value"
-    )
-    # first_value keeps the first line of the split that starts the file
-    heads = lines.filter(F.col("start") == 0).groupBy("path").agg(F.first("value").alias("value"))
-    return header_audit(heads, required)
+    """``header_audit`` over landed text files, empty ones too; only each file's first line is kept.
+
+    Adds ``file_order``, the place of a file by the date in its name, then by name.
+    """
+    heads = file_heads(spark, path).select("path", F.coalesce("value", F.lit("")).alias("value"))
+    order = Window.orderBy(F.col("file_date").asc_nulls_last(), "source_file")  # one row a file
+    return header_audit(heads, required).withColumn("file_order", F.row_number().over(order))
 
 
 def modelling_series(df: DataFrame) -> DataFrame:
