@@ -185,7 +185,7 @@ def test_toxic_documents_and_sentences_are_found(spark):
         marks.append((k, k % 4 == 0))
     rows += [(900, None, "en", "a"), (901, "", "en", "a"), (902, prose(rng, 4000), "en", "a"), (None, "nasty", "en", "a"), (0, rows[0][1], "en", "a")]
     labels = spark.createDataFrame([(i, 1, int(y)) for i, y in marks if i % 3] + [(5, None, None), (None, 1, 1)], "doc_id long, quality int, toxic int")
-    options = replace(toxicity.Toxicity(), least_docs=3, shrink=0.02, rate=0.1)
+    options = replace(toxicity.Toxicity(), least_docs=3, rate=0.1, batch=10)  # small batches, for enough steps on few documents
     docs = docs_of(spark, rows)
     model = toxicity.train(docs, labels, options)
     got = {r.doc_id: r for r in toxicity.score_documents(docs, model, options).collect()}
@@ -301,7 +301,10 @@ def test_pattern_spans_equal_brute_force_and_random_strings_are_found(spark, cor
     texts = ["é𝄞 token = \"abcdefgh1\" x", "token: short", "secret=api_key: abcdefghij", "AKIAAAAABBBBCCCCDD AKIA12", "f" * 31 + " " + "0a" * 20, "Password='0123456789abcdef0123456789abcdef'",
              f"deploy {key} now", "token=a token=bbbbbbbbb", "passwd\" : x.y/z+9=-_ end"]
     rows = [*corpus, *[(100 + k, t, "en", "a") for k, t in enumerate(texts)], (200, "token=abcdefgh " * 700, "en", "a")]
-    got = by_id(secrets.find_secrets(docs_of(spark, rows)), "base", "all")
+    names = ["".join(rng.choice(SYLLABLES).capitalize() for _ in range(6)) + rng.choice(["", "_2", "-v1"]) for _ in range(400)]
+    samples = spark.createDataFrame([(n, False) for n in names] + [(None, True), ("unmarked", None)], "token string, random boolean")
+    docs = docs_of(spark, rows)
+    got = by_id(secrets.find_secrets(docs, ratios=secrets.train(docs, samples=samples)), "base", "all")
     for i, t, *_ in rows:
         assert brute_secrets(t or "") in [[tuple(s) for s in base] for base, _ in got[i]], i
     assert (7, 3, 47) in [tuple(s) for s in got[106][0][1]]
