@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from tidegauge.llm import (
-    decontaminate, language_id, line_dedup, mixing, ngram_join, quality, secrets, suffix_tree, toxicity, url_filter,
+    collocations, decontaminate, language_id, line_dedup, mixing, ngram_join, quality, runs, secrets, suffix_tree, toxicity,
+    url_filter, warc,
 )
 from tidegauge.plans.registry import Query
 
-MODULES = (quality, toxicity, url_filter, decontaminate, suffix_tree, ngram_join, secrets, line_dedup, language_id, mixing)
+MODULES = (quality, toxicity, url_filter, decontaminate, suffix_tree, ngram_join, secrets, line_dedup, language_id, mixing,
+           collocations, runs, warc)
 
 
 def queries() -> dict[str, Query]:
