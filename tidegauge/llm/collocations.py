@@ -36,7 +36,7 @@ LONGEST = 4  # words of a phrase
 SCALE = 2_000_000  # of the score
 COVERED = 80  # percent of a phrase's occurrences that lie in one longer phrase, from which on it is dropped
 FILTER_BITS = 1 << 28  # 32 MB
-PART_BYTES = 8 << 20
+PART_BYTES = 3 << 20
 SALTS = 1024
 
 BREAKS = b".,;:!?\n\x0b\x0c\r"
