@@ -314,7 +314,9 @@ class WarcReader(DataSourceReader):
                 block.skip()
                 place += row["content_length"]
 
-    def read(self, partition: Stretch) -> Iterator[pa.RecordBatch]:
+    def read(self, partition: Stretch | None) -> Iterator[pa.RecordBatch]:
+        if partition is None:  # no archive was planned
+            return
         names = self.schema.names
         opened = {"payload", "payload_length"} & set(names)
         rows, size = [], 0
@@ -426,11 +428,12 @@ def page_records(pages: DataFrame, least: int = 0) -> DataFrame:
     )
 
 
-def write_pages(pages: DataFrame, path: str, least: int = 0) -> None:
+def write_pages(pages: DataFrame, path: str, least: int = 0, **options: int) -> None:
+    """Archive ``page_records``; ``options`` are those of the format."""
     register(pages.sparkSession)
     records = page_records(pages, least)
     slim = records.withColumn("payload", F.when(F.col("warc_type") == "response", F.col("payload")))
-    slim.write.format("warc").mode("append").save(path)
+    slim.write.format("warc").options(**options).mode("append").save(path)
 
 
 def read_pages(spark: SparkSession, path: str) -> DataFrame:
