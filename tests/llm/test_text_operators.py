@@ -252,7 +252,7 @@ def test_urls_are_judged_by_the_longest_rule(spark):
 
 def test_scores_equal_brute_force(spark, corpus):
     train = F.coalesce(F.col("doc_id") % 3 != 0, F.lit(False))
-    tree = replace(suffix_tree.Tree(), depth=4, frequency=1e-3, gain=1.0, frequent=5e-3)
+    tree = suffix_tree.Tree(frequency=1e-3, entry=1e-3, gain=1.0, frequent=5e-3)
     got = suffix_tree.score_texts(docs_of(spark, corpus), train, tree).collect()
     lowered = [(i, (t or "").encode().lower().split()) for i, t, *_ in corpus]
     counts = Counter(w for i, ws in lowered if i is not None and i % 3 for w in [*ws, b"\n"])
@@ -267,16 +267,79 @@ def test_scores_equal_brute_force(spark, corpus):
         assert r.score < 0
 
 
-def test_the_tree_is_a_distribution_and_learns_spelling(spark):
-    words = spark.createDataFrame([("abab", 9), ("abac", 5), ("bab", 2), ("new", 0)], "word string, n long")
-    model = suffix_tree.grow_tree(words, replace(suffix_tree.Tree(), depth=3, frequency=1e-9, gain=0.01, weight=0.5))
-    import pandas as pd
-
-    one = model.log10_words(pd.Series(["abab", "zzzz"]))
-    assert one[0] > one[1] + 3
-    letters = [chr(c) for c in range(33, 127)]
-    total = sum(10 ** model.log10_words(pd.Series(letters)))
-    assert 0 < total < 1
+def brute_tree(tree, train):
+    """{context: counts} of the kept contexts, and the probability of a token after the tokens before it."""
+    tokens = [["<", *words, ">"] for words in train]
+    single = Counter(w for ts in tokens for w in ts[1:])
+    n, v = sum(single.values()), len(single)
+    least = lambda share: max(tree.least, share * n)
+    listed = {w for w, c in single.items() if c >= least(tree.frequent) and w != ">"}
+    shown = lambda w: w if w in listed or w == ">" else None
+    counts = {(): Counter(shown(w) for ts in tokens for w in ts[1:])}
+    levels = [{(): counts[()]}]
+    for k in range(1, tree.depth + 1):
+        found = {}
+        for ts in tokens:
+            for i in range(k, len(ts)):
+                context = tuple(ts[i - k:i])
+                if all(c in listed or c == "<" for c in context) and (k == 1 or context[1:] in levels[-1]):
+                    found.setdefault(context, Counter())[shown(ts[i])] += 1
+        levels.append({c: x for c, x in found.items() if sum(x.values()) >= least(tree.frequency)})
+        counts |= levels[-1]
+
+    def gain(c):
+        own, up = counts[c], counts[c[1:]]
+        a, b = sum(own.values()), sum(up.values())
+        return sum(x * math.log((x / a) / (up[w] / b)) for w, x in own.items())
+
+    kept = {c for c in counts if c and gain(c) >= tree.gain}
+    kept = {c for c in counts if c and any(d[len(d) - len(c):] == c for d in kept)}
+
+    def probability(before, w):
+        p = (single[w] + 0.1) / (n + 0.1 * (v + 1))
+        for k in range(1, tree.depth + 1):
+            c = tuple(before[-k:])
+            if len(before) < k or c not in kept:
+                break
+            own = counts[c]
+            stored = {x: m for x, m in own.items() if x is not None and m >= least(tree.entry)}
+            types, total = sum(m if x is None else 1 for x, m in own.items()), sum(own.values())
+            p = (stored.get(shown(w), 0) + (types + total - sum(stored.values())) * p) / (total + types)
+        return p
+
+    return kept, single, probability
+
+
+def test_tree_scores_equal_brute_force_and_probabilities_add_up(spark):
+    rng = random.Random(8)
+    follow = {w: rng.choices(SYLLABLES, k=2) for w in SYLLABLES}
+
+    def story(n):
+        words = [rng.choice(SYLLABLES)]
+        while len(words) < n:
+            expected = follow.get(words[-1], SYLLABLES)
+            words.append(rng.choice(expected) if rng.random() < 0.8 else rng.choice([*SYLLABLES, "Rare%d" % rng.randrange(400)]))
+        return words
+
+    rows = [(k, " ".join(story(rng.randrange(1, 60))), "en", "a") for k in range(150)]
+    rows += [(200, None, "en", "a"), (201, " \n ", "en", "a"), (202, "unseen words", "en", "a"), (2, rows[2][1], "en", "a"), (None, rows[3][1], "en", "a"), (203, " ".join(story(5000)), "en", "a")]
+    train = (F.col("doc_id") % 3 != 0) & (F.col("doc_id") < 200)
+    learned = [(t or "").lower().split() for i, t, *_ in rows if i is not None and i % 3 and i < 200]
+    for tree in (suffix_tree.Tree(depth=3, frequency=1e-3, entry=1e-3, frequent=2e-3, gain=3.0), suffix_tree.Tree(depth=2, least=1, gain=-1.0)):
+        kept, single, probability = brute_tree(tree, learned)
+        assert {len(c) for c in kept} == set(range(1, tree.depth + 1))
+        got = suffix_tree.score_texts(docs_of(spark, rows), train, tree).collect()
+        want = {}
+        for i, t, *_ in rows:
+            ts = ["<", *(t or "").lower().split(), ">"]
+            want.setdefault(i, []).append(sum(math.log10(probability(ts[:j], ts[j])) for j in range(1, len(ts))))
+        assert len(got) == len(rows)
+        for r in got:
+            assert any(abs(r.score - x) < 1e-6 * max(1, -x) for x in want[r.doc_id]), (r, want[r.doc_id])
+        for before in (["<"], ["<", "an"], ["<", "an", follow["an"][0], "er"], ["<", "rare1", "unseen"]):
+            assert sum(probability(before, w) for w in single) + probability(before, "never seen") == pytest.approx(1)
+        held = [r for r in got if r.doc_id is not None and r.doc_id % 3 == 0]
+        assert sum(r.score for r in held) > sum(r.base_score for r in held) + 50
 
 
 def test_nothing_to_learn_from(spark, corpus):

@@ -80,8 +80,9 @@ def train(docs: DataFrame, options: Secrets = Secrets(), doc_id: str = "doc_id",
     """Log-likelihood ratios of all character pairs.
 
     Labelled samples are the values that patterns matched (random), digests of ids in base 64 and 16 (random), and the
-    other key-like runs of at least 8 characters (ordinary); ``samples`` (token, random) adds more. The result has one
-    number for each pair of the fixed alphabet.
+    other key-like runs of at least 8 characters that occur in several documents (ordinary, each once: what people name
+    comes back, what a generator made does not); ``samples`` (token, random) adds more. The result has one number for
+    each pair of the fixed alphabet.
     """
     rows = _scanned(docs, doc_id, text)
     n_docs = max(1, docs.count())
@@ -91,8 +92,9 @@ def train(docs: DataFrame, options: Secrets = Secrets(), doc_id: str = "doc_id",
     numbered = rows.where(part).select("doc_id", F.explode(F.sequence(F.lit(1), F.lit(math.ceil(options.sample_docs / min(n_docs, options.sample_docs))))).alias("k"))
     digest = F.sha2(F.concat_ws(":", F.col("doc_id").cast("string"), "k"), 256)
     digests = numbered.select(F.explode(F.array(F.base64(F.unhex(digest)), digest)).alias("token"), F.lit(True).alias("random"))
-    words = rows.where(part).select(F.explode(F.regexp_extract_all("_text", F.lit(rf"(?<!{KEYLIKE}){KEYLIKE}{{8,}}"), F.lit(0))).alias("token"), F.col("_base.value").alias("_v"))
-    plain = words.where(~F.exists("_v", lambda v: v.contains(F.col("token")))).select("token", F.lit(False).alias("random"))
+    words = rows.where(part).select("doc_id", F.explode(F.regexp_extract_all("_text", F.lit(rf"(?<!{KEYLIKE}){KEYLIKE}{{8,}}"), F.lit(0))).alias("token"), F.col("_base.value").alias("_v"))
+    plain = words.where(~F.exists("_v", lambda v: v.contains(F.col("token")))).groupBy("token").agg(
+        F.min("doc_id").alias("_low"), F.max("doc_id").alias("_high")).where("_low < _high").select("token", F.lit(False).alias("random"))
     labelled = values.unionByName(digests).unionByName(plain)
     if samples is not None:
         labelled = labelled.unionByName(samples.select(F.col("token").cast("string"), F.col("random").cast("boolean")).where("token is not null and random is not null"))
@@ -102,9 +104,13 @@ def train(docs: DataFrame, options: Secrets = Secrets(), doc_id: str = "doc_id",
     for r in counted.toLocalIterator():
         counts[r.random][r.pair] = float(r["count"])
 
+    # pairs are smoothed with the shares of their second characters: what follows a rare character is not known to be anything
+    single = {label: [sum(row[k::n]) + options.smoothing for k in range(n)] for label, row in counts.items()}
+
     def log_share(label: bool, k: int) -> float:
-        row = counts[label][k // n * n : k // n * n + n]
-        return math.log((counts[label][k] + options.smoothing) / (sum(row) + options.smoothing * n))
+        row, alone = counts[label][k // n * n : k // n * n + n], single[label]
+        prior = options.smoothing * n * alone[k % n] / sum(alone)
+        return math.log((counts[label][k] + prior) / (sum(row) + options.smoothing * n))
 
     return [log_share(True, k) - log_share(False, k) for k in range(n * n)]
 
