@@ -107,3 +107,49 @@ def test_geojson_network(spark, tmp_path):
     keys = {r["key"]: r["spot"]["lat"] for r in lookups["key"].collect()}
     assert codes == {"1": 36.0, "2": 37.0}
     assert keys["세종"] == 36.0 and keys["금남댐"] == 36.0 and keys["금남"] == 36.0
+
+
+def cycler_lines(names, *rows):
+    return "\n".join([",".join(names), *(",".join(str(r.get(c, "")) for c in names) for r in rows)]) + "\n"
+
+
+def test_every_file_is_read_by_its_own_header(spark, tmp_path):
+    usual = list(S.CYCLER_CHANNELS)
+    row = dict.fromkeys(usual, 1) | {"Data_Point": 5, "Current(A)": 0.5, "Voltage(V)": 3.5}
+    (tmp_path / "CS2_1_2_3_10.csv").write_text(cycler_lines(usual, row, row | {"Current(A)": "NaN"}))
+    (tmp_path / "in").mkdir()
+    quoted = cycler_lines([*reversed(usual)], row)
+    head, _, rest = quoted.partition("\n")
+    (tmp_path / "in" / "b.csv").write_text('"Note, free",' + ",".join(f' "{c}"' for c in head.split(",")) + "\n" + "x," + rest)
+    (tmp_path / "in" / "c.csv").write_text("\ufeff" + cycler_lines(usual, row), encoding="utf-8")
+    (tmp_path / "empty.csv").write_text("")
+    got = R.read_cycler(spark, str(tmp_path)).orderBy("source_file", F.col("`Current(A)`").asc_nulls_last()).collect()
+    assert [r["source_file"] for r in got] == ["CS2_1_2_3_10.csv"] * 2 + ["b.csv", "c.csv"]
+    assert [r["Current(A)"] for r in got] == [0.5, None, 0.5, 0.5] and {r["Voltage(V)"] for r in got} == {3.5} and {r["Data_Point"] for r in got} == {5}
+    audit = {r["source_file"]: r for r in R.audit_headers(spark, str(tmp_path)).collect()}
+    assert len(audit) == 4 and [n for n, r in audit.items() if r["missing_columns"]] == ["empty.csv"]
+    assert not audit["empty.csv"]["has_header"] and audit["empty.csv"]["missing_columns"] == ",".join(sorted(usual))
+    assert audit["CS2_1_2_3_10.csv"]["file_order"] == 1 and audit["b.csv"]["file_order"] == 2
+
+
+def test_the_manifest_opens_only_new_and_changed_files(spark, tmp_path):
+    from tidegauge.sources import manifest as M
+
+    landing, kept = tmp_path / "landing", str(tmp_path / "manifest")
+    landing.mkdir()
+    (landing / "a.csv").write_text("x,y\n1,2\n")
+    (landing / "b.csv").write_text("")
+    assert M.update_manifest(spark, str(landing), kept) == 2 and M.update_manifest(spark, str(landing), kept) == 0
+    (landing / "c.csv").write_text('" p ","q""r"\n')
+    (landing / "a.csv").write_text("y,x,z\n1,2,3\n")
+    assert M.update_manifest(spark, str(landing), kept) == 2
+    (landing / "b.csv").unlink()
+    got = {r["source_file"]: r["header"] for r in M.landed_files(spark, str(landing), kept).collect()}
+    assert got == {"a.csv": ["y", "x", "z"], "c.csv": ["p", 'q"r']}
+
+
+def test_header_audit_reads_quotes_and_marks_like_the_reader(spark):
+    files = [("/l/a.csv", '\ufeff"Data_Point" , "Voltage(V)"\r\n1,2'), ("/l/b.csv", "Data_Point"), ("/l/c.csv", ""), ("/l/d.csv", None)]
+    audit = R.header_audit(spark.createDataFrame(files, "path string, value string"), ["Data_Point", "Voltage(V)"])
+    got = {r["source_file"]: (r["has_header"], r["missing_columns"]) for r in audit.collect()}
+    assert got == {"a.csv": (True, ""), "b.csv": (True, "Voltage(V)"), "c.csv": (False, "Data_Point,Voltage(V)"), "d.csv": (False, "Data_Point,Voltage(V)")}

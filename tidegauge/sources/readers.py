@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-import csv
+import uuid
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidegauge.functions.columns import file_date, finite, number, parsed_date
+from tidegauge.session import ensure_checkpoint_dir
 from tidegauge.sources import schemas as S
+from tidegauge.sources.manifest import header_fields, landed_files, ordered_files
 
 
 class MissingColumnsError(ValueError):
@@ -57,13 +59,13 @@ def weather(records: DataFrame) -> DataFrame:
 
 
 def read_measurements(spark: SparkSession, path: str) -> DataFrame:
-    """Files that each hold one JSON array of records."""
-    raw = spark.read.schema(S.text_schema(list(S.MEASUREMENT_FIELDS))).option("multiLine", True)
+    """Files that each hold one JSON array of records, in subfolders too."""
+    raw = spark.read.schema(S.text_schema(list(S.MEASUREMENT_FIELDS))).option("multiLine", True).option("recursiveFileLookup", True)
     return measurements(raw.json(path))
 
 
 def read_weather(spark: SparkSession, path: str) -> DataFrame:
-    raw = spark.read.schema(S.text_schema(list(S.WEATHER_FIELDS))).option("multiLine", True)
+    raw = spark.read.schema(S.text_schema(list(S.WEATHER_FIELDS))).option("multiLine", True).option("recursiveFileLookup", True)
     return weather(raw.json(path))
 
 
@@ -83,45 +85,32 @@ def read_export(spark: SparkSession, path: str) -> DataFrame:
     return positional_export(spark.read.schema(S.text_schema(S.EXPORT_COLUMNS)).csv(path, header=False))
 
 
-def file_heads(spark: SparkSession, path: str) -> DataFrame:
-    """(path, value): the first line of every landed file, null for an empty one."""
-    lines = spark.read.option("recursiveFileLookup", True).text(path).select(
-        F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("start"), "value"
-    )
-    # the block that starts a file is read in order, so its first row has the least id
-    heads = lines.withColumn("_id", F.monotonically_increasing_id()).filter("start = 0").groupBy("path").agg(
-        F.min_by("value", "_id").alias("value"))
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select(F.col("_metadata.file_path").alias("path"))
-    return files.join(heads, "path", "left")
-
-
-def _landed_by_header(spark: SparkSession, path: str, required: Sequence[str]) -> list[tuple[list[str], list[str]]]:
-    """Groups of files with one header each. Raises if a file lacks a required column, naming both."""
-    groups: dict[str, list[str]] = {}
-    for row in file_heads(spark, path).orderBy("path").toLocalIterator():  # one row a file
-        if row.value:
-            groups.setdefault(row.value, []).append(row.path)
-    out = []
-    for head, paths in groups.items():
-        columns = [c.strip() for c in next(csv.reader([head.lstrip("\ufeff")]))]
+def landed_headers(files: DataFrame, required: Sequence[str]) -> list[tuple[list[str], list[str]]]:
+    """Groups of files with one header each: (names, paths). Raises if a file lacks a required column, naming both.
+
+    ``files`` has path and header (``landed_files``); files without a header line are left out.
+    """
+    grouped = files.filter("header is not null").groupBy("header").agg(F.sort_array(F.collect_list("path")).alias("paths"))
+    out = [(list(row.header), list(row.paths)) for row in grouped.collect()]  # names of files, one group a layout
+    for columns, paths in out:
         if lacking := sorted(set(required) - set(columns)):
             raise MissingColumnsError(f"Missing required columns: {lacking} in {paths[0]}")
-        out.append((columns, paths))
-    return out
+    return sorted(out, key=lambda group: group[1][0])
 
 
-def read_cycler(spark: SparkSession, path: str, file_format: str = "csv") -> DataFrame:
+def read_cycler(spark: SparkSession, path: str, file_format: str = "csv", manifest: str | None = None) -> DataFrame:
     """Only the required channels of every file, with the file name and the date in it.
 
     Each text file is read by its own header, whatever the order of its columns; files with equal headers are read
-    together. Empty files have no rows. NaN becomes NULL.
+    together. The headers come from ``manifest``, a folder in which they are kept from one call to the next. Empty
+    files have no rows. NaN becomes NULL.
     """
     name = F.col("_metadata.file_name")
 
     def channels(frame: DataFrame, text: bool) -> DataFrame:
-        def typed(c: str, kind: str) -> Column:
+        def typed(c: str, kind: T.DataType) -> Column:
             column = F.col(f"`{c}`")
-            if kind != "double":
+            if not isinstance(kind, T.DoubleType):
                 return column.try_cast(kind)
             return number(column) if text else finite(column.try_cast(kind))
 
@@ -130,7 +119,7 @@ def read_cycler(spark: SparkSession, path: str, file_format: str = "csv") -> Dat
     if file_format != "csv":
         return channels(require_columns(spark.read.format(file_format).load(path), list(S.CYCLER_CHANNELS)), False)
     frame = None
-    for columns, paths in _landed_by_header(spark, path, list(S.CYCLER_CHANNELS)):
+    for columns, paths in landed_headers(landed_files(spark, path, manifest or _own_manifest(spark)), list(S.CYCLER_CHANNELS)):
         positions = [f"_c{i}" if columns.index(c) != i else c for i, c in enumerate(columns)]  # of repeated names the first counts
         part = channels(spark.read.schema(S.text_schema(positions)).option("header", True).csv(paths), True)
         frame = part if frame is None else frame.unionByName(part)
@@ -139,27 +128,36 @@ def read_cycler(spark: SparkSession, path: str, file_format: str = "csv") -> Dat
     return frame
 
 
+def _own_manifest(spark: SparkSession) -> str:
+    """A manifest for one call, in the shared folder."""
+    return f"{ensure_checkpoint_dir(spark)}/manifests/{uuid.uuid4().hex}"
+
+
 def header_audit(files: DataFrame, required: Sequence[str], path: str = "path", text: str = "value") -> DataFrame:
-    """One row per file: order, date, whether it has a header line, required columns it lacks."""
-    header = F.split(F.split_part(F.col(text), F.lit("\n"), F.lit(1)), r"\s*,\s*")
+    """One row per file: order, date, whether it has a header line, required columns it lacks.
+
+    The header is the first line of ``text``, read as ``read_cycler`` reads it: quotes and a byte-order mark do not count.
+    """
+    line = F.split_part(F.regexp_replace(F.col(text), "\r", ""), F.lit("\n"), F.lit(1))
     name = F.element_at(F.split(F.col(path), "/"), -1)
     wanted = F.array(*[F.lit(c) for c in required])
+    header = header_fields(line)
     return files.select(
         name.alias("source_file"),
         file_date(name).alias("file_date"),
-        (F.length(F.trim(F.col(text))) > 0).alias("has_header"),
-        F.array_join(F.array_sort(F.array_except(wanted, header)), ",").alias("missing_columns"),
+        header.isNotNull().alias("has_header"),
+        F.array_join(F.array_sort(F.array_except(wanted, F.coalesce(header, F.array().cast("array<string>")))), ",").alias("missing_columns"),
     )
 
 
-def audit_headers(spark: SparkSession, path: str, required: Sequence[str] = tuple(S.CYCLER_CHANNELS)) -> DataFrame:
-    """``header_audit`` over landed text files, empty ones too; only each file's first line is kept.
+def audit_headers(spark: SparkSession, path: str, required: Sequence[str] = tuple(S.CYCLER_CHANNELS), manifest: str | None = None) -> DataFrame:
+    """``header_audit`` over landed text files, empty ones too, from the heads kept in ``manifest``.
 
     Adds ``file_order``, the place of a file by the date in its name, then by name.
     """
-    heads = file_heads(spark, path).select("path", F.coalesce("value", F.lit("")).alias("value"))
-    order = Window.orderBy(F.col("file_date").asc_nulls_last(), "source_file")  # one row a file
-    return header_audit(heads, required).withColumn("file_order", F.row_number().over(order))
+    files = landed_files(spark, path, manifest or _own_manifest(spark))
+    audit = header_audit(files.select("path", F.coalesce("head", F.lit("")).alias("value")), required)
+    return ordered_files(audit)
 
 
 def modelling_series(df: DataFrame) -> DataFrame:
@@ -199,7 +197,8 @@ NETWORK_SCHEMA = T.StructType([
 
 
 def read_network(spark: SparkSession, path: str) -> DataFrame:
-    raw = spark.read.schema(NETWORK_SCHEMA).option("multiLine", True).json(path)
+    """All GeoJSON files under ``path``, in subfolders too."""
+    raw = spark.read.schema(NETWORK_SCHEMA).option("multiLine", True).option("recursiveFileLookup", True).json(path)
     return network_points(raw.select(F.col("_metadata.file_path").alias("file"), "features"))
 
 

@@ -56,8 +56,10 @@ EXPORT_COLUMNS = [
     "water_body_type", "site_name", "site_detail_name", "date", *MEASURES,
     "mc_rr", "mc_la", "mc_yr", "mc_lf", "mc_ly",
 ]
+# The two water body types of the export, river and lake.
 WATER_BODY_TYPES = ["하천", "호소"]
 
+# Column order of the site master file.
 SITE_COLUMNS = [
     "station_type", "site_code", "site_name", "survey_location",
     "address", "agency", "major_basin", "mid_basin",
@@ -76,6 +78,7 @@ CYCLER_CHANNELS = {
     "Discharge_Capacity(Ah)": T.DoubleType(),
 }
 
+# Columns of the labelled series and of the scenario table.
 SERIES_COLUMNS = [
     "cell_id", "cycle", "capacity_ah", "initial_capacity", "soh",
     "eol_threshold", "eol_confirmation_cycles", "eol_cycle", "is_modeling_cycle",
