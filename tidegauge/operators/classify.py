@@ -7,7 +7,7 @@ from dataclasses import dataclass, replace
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier
-from pyspark.ml.feature import Imputer, StringIndexer, VectorAssembler
+from pyspark.ml.feature import Imputer, StringIndexer, StringIndexerModel, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from tidegauge.functions.columns import ordinal_stage, stage_from_probabilities
 from tidegauge.operators.scoring import evaluate
 from tidegauge.operators.splits import Fold, inner_time_validation, seasonal_score
-from tidegauge.session import settle
+from tidegauge.session import ensure_checkpoint_dir, settle
 from tidegauge.sources.sinks import read_card, write_card
 
 STAGE_THRESHOLDS = (1000, 10000)
@@ -23,15 +23,22 @@ STAGE_THRESHOLDS = (1000, 10000)
 
 @dataclass(frozen=True)
 class Learner:
-    """Boosting parameters; ``rounds`` is the most trees, early stopping may keep fewer."""
+    """Boosting parameters. ``rounds`` is the most trees; early stopping keeps those up to the best round.
+
+    A search ends ``patience`` rounds after the last better one. Every node looks at ``feature_share`` of the features,
+    every tree at ``subsample`` of the rows.
+    """
 
     numeric: Sequence[str]
     categorical: Sequence[str] = ()
-    rounds: int = 100
+    rounds: int = 1000
+    patience: int = 50
     depth: int = 5
     step: float = 0.05
     leaf_rows: int = 30
     subsample: float = 0.8
+    feature_share: float = 0.8
+    bins: int = 255
     seed: int = 42
 
 
@@ -45,11 +52,13 @@ def _stages(learner: Learner) -> list:
     return stages
 
 
-def _boosting(learner: Learner, target: str) -> GBTClassifier:
+def _boosting(learner: Learner, target: str, rounds: int, prepared: PipelineModel) -> GBTClassifier:
+    """The booster; a category needs a bin of its own, so many categories raise the number of bins."""
+    most = max([0, *(len(labels) + 1 for s in prepared.stages if isinstance(s, StringIndexerModel) for labels in s.labelsArray)])
     return GBTClassifier(
-        featuresCol="features", labelCol=target, weightCol="_weight", maxIter=learner.rounds, maxDepth=learner.depth,
+        featuresCol="features", labelCol=target, weightCol="_weight", maxIter=rounds, maxDepth=learner.depth,
         stepSize=learner.step, minInstancesPerNode=learner.leaf_rows, subsamplingRate=learner.subsample,
-        seed=learner.seed, maxBins=64,
+        featureSubsetStrategy=str(learner.feature_share), seed=learner.seed, maxBins=max(learner.bins, most),
     )
 
 
@@ -73,24 +82,72 @@ def usable_numeric(train: DataFrame, numeric: Sequence[str]) -> list[str]:
     return [c for c in numeric if filled[c] > 0]
 
 
-def train_boosted(train: DataFrame, learner: Learner, target: str, order: Sequence[str]) -> PipelineModel:
-    """Fit on the older rows and stop early on the newest fifth."""
+def best_round(curve: Sequence[float], patience: int) -> tuple[int, bool]:
+    """(rounds to keep, whether the search may end): the first best round before ``patience`` rounds without a better one."""
+    best = 0
+    for i, loss in enumerate(curve):
+        if loss < curve[best]:
+            best = i
+        elif i - best >= patience:
+            return best + 1, True
+    return best + 1, False
+
+
+@dataclass(frozen=True)
+class Tuned:
+    """A model cut at its best round, and the validation loss of every round tried."""
+
+    model: PipelineModel
+    curve: tuple[float, ...]
+    rounds: int
+
+
+def tune_boosted(train: DataFrame, learner: Learner, target: str, order: Sequence[str]) -> Tuned:
+    """Fit on the older rows and keep the trees up to the round with the least loss on the newest fifth.
+
+    Boosting is deterministic, so a longer run starts with the trees of a shorter one. Runs of doubling length are
+    judged round by round (``evaluateEachIteration``, one pass over the validation rows) until the loss has not fallen for
+    ``patience`` rounds or the most rounds are reached; the kept ones are then fitted on their own.
+    """
     learner = replace(learner, numeric=usable_numeric(train, learner.numeric))
     typed = inner_time_validation(_typed(train, learner), order[0], list(order[1:]))
     ready = settle(_weighted(typed, target, ~F.col("is_validation")))
-    boosting = _boosting(learner, target).setValidationIndicatorCol("is_validation")
+    ensure_checkpoint_dir(train.sparkSession)  # long runs cut their lineage there
     prepared = Pipeline(stages=_stages(learner)).fit(ready.filter("not is_validation"))
-    model = boosting.fit(prepared.transform(ready))
-    return PipelineModel([*prepared.stages, model])
+    inputs = settle(prepared.transform(ready).select("features", target, "_weight", "is_validation"))
+    older, newer = inputs.filter("not is_validation"), inputs.filter("is_validation")
+    tried = min(learner.rounds, max(2 * learner.patience, 2))
+    while True:
+        model = _boosting(learner, target, tried, prepared).fit(older)
+        curve = tuple(model.evaluateEachIteration(newer))
+        kept, ended = best_round(curve, learner.patience)
+        if ended or tried >= learner.rounds:
+            break
+        tried = min(learner.rounds, 2 * tried)
+    if kept < tried:
+        model = _boosting(learner, target, kept, prepared).fit(older)
+    return Tuned(PipelineModel([*prepared.stages, model]), curve, kept)
+
+
+def train_boosted(train: DataFrame, learner: Learner, target: str, order: Sequence[str]) -> PipelineModel:
+    """The model of ``tune_boosted``."""
+    return tune_boosted(train, learner, target, order).model
 
 
 def train_production(train: DataFrame, learner: Learner, target: str, order: Sequence[str]) -> PipelineModel:
     """Find the number of trees with early stopping, then refit that many on all rows."""
-    tuned = train_boosted(train, learner, target, order)
+    rounds = tune_boosted(train, learner, target, order).rounds
     learner = replace(learner, numeric=usable_numeric(train, learner.numeric))
     ready = settle(_weighted(_typed(train, learner), target, F.lit(True)))
-    final = _boosting(learner, target).setMaxIter(max(tuned.stages[-1].getNumTrees, 1))
-    return Pipeline(stages=[*_stages(learner), final]).fit(ready)
+    prepared = Pipeline(stages=_stages(learner)).fit(ready)
+    model = _boosting(learner, target, rounds, prepared).fit(prepared.transform(ready))
+    return PipelineModel([*prepared.stages, model])
+
+
+def loss_curve(tuned: Tuned, spark: SparkSession) -> DataFrame:
+    """(round, loss, kept): the validation loss of every round tried, and whether its tree is in the model."""
+    rows = [(i + 1, float(loss), i < tuned.rounds) for i, loss in enumerate(tuned.curve)]
+    return spark.createDataFrame(rows, "round int, loss double, kept boolean")
 
 
 def probability(model: PipelineModel, df: DataFrame, learner: Learner, name: str) -> DataFrame:
@@ -161,6 +218,7 @@ def save_model(model: PipelineModel, path: str, train: DataFrame, learner: Learn
     facts: dict[str, object] = {
         "features": [*learner.numeric, *learner.categorical], "categorical_features": list(learner.categorical),
         "seed": learner.seed, "rounds": model.stages[-1].getNumTrees, "depth": learner.depth, "step": learner.step,
+        "feature_share": learner.feature_share, "subsample": learner.subsample, "leaf_rows": learner.leaf_rows,
         **{f"cv_{k}": round(float(v), 4) for k, v in (metrics or {}).items()},
     }
     aggregates = train.agg(
@@ -174,6 +232,27 @@ def load_model(spark: SparkSession, path: str) -> tuple[PipelineModel, DataFrame
     return PipelineModel.load(f"{path}/model"), read_card(spark, f"{path}/card")
 
 
+def save_stage_models(models: Sequence[PipelineModel], path: str, train: DataFrame, learner: Learner, label: str, day: str,
+                      thresholds: Sequence[float] = STAGE_THRESHOLDS, tau: float = 0.5,
+                      metrics: dict[str, float] | None = None) -> None:
+    """Save the models of both thresholds, each beside its own card, and one card that says how they make a stage."""
+    for i, (model, threshold) in enumerate(zip(models, thresholds)):
+        reached = train.withColumn("_reached", (F.col(label) >= threshold).cast("int"))
+        save_model(model, f"{path}/stage_{i + 1}", reached, learner, "_reached", day, metrics)
+    pair = train.agg(F.count("*").alias("n_train_rows"), *[
+        F.count_if(F.col(label) >= t).alias(f"rows_from_{i + 1}") for i, t in enumerate(thresholds)])
+    write_card(train.sparkSession, f"{path}/card", {
+        "stage_thresholds": [float(t) for t in thresholds], "tau": tau, "models": [f"stage_{i + 1}" for i in range(len(models))],
+        "rule": "stage = (p_low >= tau) + (min(p_high, p_low) >= tau)", "features": [*learner.numeric, *learner.categorical],
+    }, pair)
+
+
+def load_stage_models(spark: SparkSession, path: str) -> tuple[list[PipelineModel], DataFrame]:
+    """The models of a stage pair from the lowest threshold up, and the pair's card."""
+    card = read_card(spark, f"{path}/card")
+    return [load_model(spark, f"{path}/{name}")[0] for name in card.first()["models"]], card
+
+
 def serve_stages(rows: DataFrame, low: PipelineModel, high: PipelineModel, learner: Learner,
                  label: str | None = None, thresholds: Sequence[float] = STAGE_THRESHOLDS) -> DataFrame:
     """Stage and probabilities for each row; with ``label`` also the actual stage and whether it was hit."""
