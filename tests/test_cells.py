@@ -63,6 +63,36 @@ def test_duplicate_files_by_ordered_content(spark):
     assert [tuple(r) for r in C.duplicate_files(prints, "f").collect()] == [("c", "b")]
 
 
+def test_missing_cells_count_in_a_fingerprint(spark):
+    rows = [("a", 1, None, "x"), ("b", 1, "x", None), ("c", 1, "x", None), ("d", 1, "", "x"), ("e", 1, "1:x", None), ("f", 2, None, "x")]
+    prints = C.fingerprints(spark.createDataFrame(rows, "f string, n int, v string, w string"), "f", "n", ["v", "w"])
+    assert [tuple(r) for r in C.duplicate_files(prints, "f").collect()] == [("c", "b")]
+
+
+def test_the_first_file_owns_its_content_whatever_its_name(spark):
+    rows = [("a", 1, "x"), ("b", 1, "x"), ("c", 1, "x"), ("d", 1, "x")]
+    prints = C.fingerprints(spark.createDataFrame(rows, "f string, n int, v string"), "f", "n", ["v"])
+    placed = prints.join(spark.createDataFrame([("a", 3), ("b", 2), ("c", 2), ("d", None)], "f string, place int"), "f")
+    assert sorted(tuple(r) for r in C.duplicate_files(placed, "f", "place").collect()) == [("a", "b"), ("c", "b"), ("d", "b")]
+
+
+def test_numbers_run_on_from_file_to_file(spark):
+    rows = [("c", "z", 1, k) for k in (1, 2, 3)] + [("c", "a", 2, k) for k in (1, 2)] + [("c", "m", None, 1), ("d", "q", 5, 9)]
+    got = C.across_files(spark.createDataFrame(rows, "cell string, file string, place int, local int"), "cell", "file", "place", "local")
+    numbered = {(r["file"], r["local"]): r["cycle"] for r in got.collect()}
+    assert numbered == {("z", 1): 1, ("z", 2): 2, ("z", 3): 3, ("a", 1): 4, ("a", 2): 5, ("m", 1): 6, ("q", 9): 1}
+
+
+def test_pairs_without_any_row_break_the_contract(spark):
+    from tidegauge.operators import checks as K
+
+    scenarios = spark.createDataFrame([("s", 2), ("t", 1)], "scenario_id string, horizon int")
+    forecasts = spark.createDataFrame([("s", "m", 1), ("s", "m", 2), ("t", "m", 1), ("s", "n", 1)], "scenario_id string, model string, step int")
+    for models, more in ((None, []), (["m", "n", "o"], [("s", "o", 0), ("t", "o", 0)])):
+        got = K.wrong_row_counts(forecasts, scenarios, ["scenario_id"], "model", models)
+        assert sorted((r["scenario_id"], r["model"], r["found"]) for r in got.collect()) == sorted([("s", "n", 1), ("t", "n", 0), *more])
+
+
 def series_of(spark, rows):
     return S.with_positions(H.health_labels(spark.createDataFrame(rows, SCHEMA)).filter("is_modeling_cycle"))
 
@@ -126,7 +156,37 @@ def test_ridge_recursion_matches_a_plain_loop(spark, strict):
         np.testing.assert_allclose(mine, expected, rtol=1e-6)
 
 
-def test_forest_recursion_matches_the_fitted_forest(spark):
+def test_ridge_looks_at_the_cycle_of_the_row_it_predicts(spark):
+    """Excluded cycles leave holes; on the feature ``cycle`` alone the forecast is a shrunken line through real cycles."""
+    rng = np.random.default_rng(11)
+    rows = [(cell, i, v, bool(rng.random() > 0.2)) for cell, i, v, _ in fading(n=320, seed=8)]
+    series = series_of(spark, rows).cache()
+    scenarios = S.rolling_scenarios(series, min_train=60).cache()
+    got = M.ridge_forecasts(series, scenarios, names=("cycle",)).toPandas()
+    kept = [(i, v) for _, i, v, modelling in rows if modelling]
+    cycles, values = np.array([c for c, _ in kept], dtype=float), np.array([v for _, v in kept])
+    assert not got.empty and (np.diff(cycles) > 1).any()
+    for s in scenarios.collect():
+        n = s["origin_position"] + 1
+        w, b = ridge(cycles[:n, None], values[:n], 1.0, True)
+        mine = got[got["scenario_id"] == s["scenario_id"]].sort_values("step")["y_raw"].to_numpy()
+        np.testing.assert_allclose(mine, w[0] * cycles[n:n + s["horizon"]] + b, rtol=1e-9)
+
+
+def test_moments_of_slices_keep_their_digits(spark):
+    """Values far from zero: raw products would lose the differences."""
+    rng = np.random.default_rng(5)
+    x, y = 1e8 + rng.normal(size=90), 1e8 + rng.normal(size=90)
+    frame = pd.DataFrame({"cell_id": "c", "cycle": np.arange(90), "x": x, "y": y})
+    origins = spark.createDataFrame([("c", 20), ("c", 21), ("c", 70)], "cell_id string, forecast_origin int")
+    got = {r["forecast_origin"]: r for r in M.origin_moments(spark.createDataFrame(frame), origins, ["x"], "y").collect()}
+    for origin, row in got.items():
+        a, b = x[:origin + 1], y[:origin + 1]
+        assert row["_n"] == origin + 1
+        np.testing.assert_allclose(row["_products"], [((a - a.mean()) ** 2).sum(), ((a - a.mean()) * (b - b.mean())).sum(), ((b - b.mean()) ** 2).sum()], rtol=1e-6)
+
+
+def test_iterated_forecasts_equal_a_loop_over_transform(spark):
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.regression import RandomForestRegressor
 
@@ -134,17 +194,18 @@ def test_forest_recursion_matches_the_fitted_forest(spark):
     frame = pd.DataFrame(rng.normal(size=(300, 9)), columns=list(M.PERIOD_FEATURES))
     frame["cycle_norm"] = rng.random(300)
     frame["y"] = frame["lag_1"] * 2 + frame["rolling_mean_5"] + rng.normal(0, 0.1, 300)
-    df = VectorAssembler(inputCols=list(M.PERIOD_FEATURES), outputCol="features").transform(spark.createDataFrame(frame))
-    model = RandomForestRegressor(labelCol="y", numTrees=7, maxDepth=4, seed=1).fit(df)
-    histories = rng.normal(size=(6, 10))
-    rows = spark.createDataFrame([(h.tolist(), 3) for h in histories], "history array<double>, horizon int")
-    got = np.stack(rows.select(M._forest_path(M._forest_arrays(model))("history", "horizon")).toPandas().iloc[:, 0].to_numpy())
-    for h, path in zip(histories, got):
-        past = h.tolist()
+    assembler = VectorAssembler(inputCols=list(M.PERIOD_FEATURES), outputCol="features")
+    df = assembler.transform(spark.createDataFrame(frame)).cache()
+    models = {name: RandomForestRegressor(labelCol="y", numTrees=5, maxDepth=4, seed=i).fit(df) for i, name in enumerate("ab")}
+    rows = [(rng.normal(size=10).tolist(), h, name) for h in (1, 3, 7) for name in "ab"]
+    got = M.iterated_forecasts(spark.createDataFrame(rows, "history array<double>, horizon int, slot string"), models, "slot")
+    paths = {(r["slot"], r["horizon"]): r["raw"] for r in got.collect()}
+    for history, horizon, name in rows:
+        past, path = list(history), paths[name, horizon]
+        assert len(path) == horizon
         for value in path:
             vector = spark.createDataFrame([tuple(float(x) for x in period_row(past, 1.0))], list(M.PERIOD_FEATURES))
-            assembled = VectorAssembler(inputCols=list(M.PERIOD_FEATURES), outputCol="features").transform(vector)
-            assert value == pytest.approx(model.transform(assembled).first()["prediction"])
+            assert value == pytest.approx(models[name].transform(assembler.transform(vector)).first()["prediction"])
             past.append(max(value, 0.0))
 
 
@@ -161,7 +222,7 @@ def test_baselines(spark):
     series = series_of(spark, fading(seed=9)).cache()
     scenarios = S.rolling_scenarios(series, min_train=60).cache()
     values = np.array([r[2] for r in fading(seed=9)])
-    got = M.baseline_forecasts(series, scenarios, max_rows=40).toPandas()
+    got = M.baseline_forecasts(series, scenarios).toPandas()
     for s in scenarios.collect():
         recent = values[s["origin_position"] - 19: s["origin_position"] + 1]
         a, b = np.polyfit(np.arange(20), recent, 1)
@@ -170,6 +231,13 @@ def test_baselines(spark):
         assert part["LinearTrend", 5] == pytest.approx(a * 24 + b)
 
 
+def test_baselines_run_no_window_over_the_series(spark):
+    series = spark.createDataFrame([("c1", i, 1.0) for i in range(50)], "cell_id string, pos int, capacity_ah double")
+    scenarios = spark.createDataFrame([("c1", 30, 3)], "cell_id string, origin_position int, horizon int")
+    plan = M.baseline_forecasts(series, scenarios)._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "CartesianProduct" not in plan
+
+
 def test_both_percentage_errors(spark):
     df = spark.createDataFrame([(0.0, 0.0), (1.0, 3.0)], "a double, p double")
     percent = df.agg(*E.error_columns("a", "p")).first()

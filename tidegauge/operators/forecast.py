@@ -1,23 +1,25 @@
-"""Forecasts of all series at once: baselines from one pass of window frames, and recursive models."""
+"""Forecasts of all series at once: baselines from the rows before each origin, and recursive models."""
 
 from __future__ import annotations
 
-import uuid
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
+from functools import reduce
 
 import numpy as np
 import pandas as pd
+from pyspark.ml import Transformer
 from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.functions import array_to_vector
 from pyspark.ml.regression import RandomForestRegressor
-from pyspark.sql import Column, DataFrame, SparkSession, WindowSpec
+from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidegauge.functions.columns import floored
 from tidegauge.operators.ordered import over_series
-from tidegauge.operators.scenarios import training_rows
-from tidegauge.session import ensure_checkpoint_dir, settle
+from tidegauge.session import settle
 
+# Names of models and features, and the lengths of their windows.
 BASELINES = ("Persistence", "MovingAverage", "LinearTrend")
 WINDOW = 20
 HISTORY = 10
@@ -30,34 +32,37 @@ STRICT_FEATURES = (
 )
 
 
-def origin_statistics(series: DataFrame, cell: str, value: str, window: int = WINDOW,
-                      max_rows: int | None = None) -> DataFrame:
-    """What every baseline needs, for every possible origin: last value, recent mean and deviation, recent line."""
+def rows_before(series: DataFrame, origins: DataFrame, cell: str, value: str, count: int) -> DataFrame:
+    """The last ``count`` rows up to each origin: (cell, origin_position, pos, value).
 
-    def build(w: WindowSpec) -> dict[str, Column]:
-        recent = w.rowsBetween(-(window - 1), 0)
-        at = F.col("pos").cast("double")
-        return {
-            "last_value": F.col(value),
-            "recent_mean": F.avg(value).over(recent),
-            "recent_std": F.stddev_samp(value).over(recent),
-            "slope": F.regr_slope(F.col(value), at).over(recent),
-            "intercept": F.regr_intercept(F.col(value), at).over(recent),
-        }
+    The few origins are unrolled to the positions they want and meet the series in an equi-join on (cell, pos);
+    no window runs over the rest of the series, and a long cell is spread over all tasks.
+    """
+    wanted = origins.select(cell, "origin_position").distinct().withColumn(
+        "pos", F.explode(F.sequence(F.greatest(F.col("origin_position") - (count - 1), F.lit(0)), F.col("origin_position")))
+    )
+    return wanted.join(series.select(cell, "pos", value), [cell, "pos"])
 
-    slim = series.select(cell, "pos", value)
-    return over_series(slim, [cell], ["pos"], build, back=window - 1, max_rows=max_rows).drop(value)
+
+def origin_statistics(series: DataFrame, origins: DataFrame, cell: str, value: str, window: int = WINDOW) -> DataFrame:
+    """What every baseline needs at each origin: last value, recent mean and deviation, recent line."""
+    at = F.col("pos").cast("double")
+    return rows_before(series, origins, cell, value, window).groupBy(cell, "origin_position").agg(
+        F.max(F.when(F.col("pos") == F.col("origin_position"), F.col(value))).alias("last_value"),
+        F.avg(value).alias("recent_mean"), F.stddev_samp(value).alias("recent_std"),
+        F.regr_slope(F.col(value), at).alias("slope"), F.regr_intercept(F.col(value), at).alias("intercept"),
+    )
 
 
 def baseline_forecasts(
     series: DataFrame, scenarios: DataFrame, value: str = "capacity_ah", cell: str = "cell_id",
-    window: int = WINDOW, models: Sequence[str] = BASELINES, max_rows: int | None = None,
+    window: int = WINDOW, models: Sequence[str] = BASELINES,
 ) -> DataFrame:
     """Persistence, moving average and linear trend for every scenario and step, clipped at zero.
 
-    Only origin rows are looked up; training rows are never copied per scenario.
+    Only the rows just before an origin are looked up; training rows are never copied per scenario.
     """
-    statistics = origin_statistics(series, cell, value, window, max_rows).withColumnRenamed("pos", "origin_position")
+    statistics = origin_statistics(series, scenarios, cell, value, window)
     stepped = scenarios.join(statistics, [cell, "origin_position"]).withColumn(
         "step", F.explode(F.sequence(F.lit(1), F.col("horizon")))
     )
@@ -119,14 +124,14 @@ def strict_features(w: WindowSpec, value: str, pos: str) -> dict[str, Column]:
 
 
 def supervised(series: DataFrame, cell: str, value: str, strict: bool, pos: str = "pos",
-               max_rows: int | None = None) -> DataFrame:
-    """Feature table with incomplete rows dropped.
+               max_rows: int | None = None, names: Sequence[str] | None = None) -> DataFrame:
+    """Feature table without rows that lack one of the features (``names``, by default all).
 
     ``cycle_norm`` depends on the longest cycle a model may see, so it is added per origin by the caller.
     """
     build = (lambda w: strict_features(w, value, pos)) if strict else (lambda w: period_features(w, value))
     wide = over_series(series, [cell], [pos], build, back=HISTORY, max_rows=max_rows)
-    names = [n for n in (STRICT_FEATURES if strict else PERIOD_FEATURES) if n in wide.columns]
+    names = [n for n in names or (STRICT_FEATURES if strict else PERIOD_FEATURES) if n in wide.columns]
     return wide.dropna(subset=[*names, value])
 
 
@@ -136,22 +141,52 @@ def scaled_position(series: DataFrame, keys: Sequence[str], cycle: str = "cycle"
     return series.join(longest, list(keys)).withColumn(name, F.col(cycle) / F.col("_longest")).drop("_longest")
 
 
-def ridge_models(training: DataFrame, keys: Sequence[str], features: Sequence[str], value: str,
-                 alpha: float = 1.0, scaled: bool = True) -> DataFrame:
-    """One ridge model per key from sums of products, so a series is never gathered in one place.
+def origin_moments(
+    features: DataFrame, origins: DataFrame, names: Sequence[str], value: str, cell: str = "cell_id", cycle: str = "cycle",
+) -> DataFrame:
+    """Count, means and co-moments of the rows each origin of a cell may learn from (cycle <= origin).
 
-    Spark adds up the normal equations (a fixed number of sums per key, combined on the map side); a
-    vectorised helper centres and solves the small systems. ``scaled`` penalises standardised features.
+    Every row is counted once, in the slice of its cell between two origins; the few slices are then added up over the
+    origins they precede. Co-moments are taken about means, in the slices as in their sums, so no digits cancel.
+    ``cycle_norm`` stands for cycle / origin and is scaled when slices are added.
     """
-    p = len(features)
-    columns = [F.col(c).cast("double") for c in [*features, value]]
+    p = len(names)
     pairs = [(i, j) for i in range(p + 1) for j in range(i, p + 1)]
-    sums = training.groupBy(*keys).agg(
-        F.count("*").cast("double").alias("_n"),
-        F.array(*[F.sum(columns[i] * columns[j]) for i, j in pairs]).alias("_products"),
-        F.array(*[F.avg(c) for c in columns]).alias("_means"),
+    columns = [F.col(cycle if c == "cycle_norm" else c).cast("double") for c in [*names, value]]
+    listed = origins.groupBy(cell).agg(F.array_sort(F.collect_set("forecast_origin")).alias("_origins"))
+    slice_no = F.size(F.filter("_origins", lambda o: o < F.col(cycle)))  # the first origin that sees the row
+    slices = features.join(listed, cell).withColumn("_slice", slice_no).filter(F.col("_slice") < F.size("_origins")).groupBy(cell, "_slice").agg(
+        F.count("*").cast("double").alias("_k"), F.array(*[F.avg(c) for c in columns]).alias("_m"),
+        F.array(*[F.covar_pop(columns[i], columns[j]) * F.count("*") for i, j in pairs]).alias("_c"),
+    )
+    every = listed.select(cell, F.posexplode("_origins").alias("_place", "forecast_origin"))
+    seen = settle(every.join(slices, cell).filter(F.col("_slice") <= F.col("_place")))
+    keys = [cell, "forecast_origin"]
+    centers = seen.groupBy(*keys).agg(
+        F.sum("_k").alias("_n"), F.array(*[F.sum(F.col("_k") * F.get("_m", F.lit(i))) / F.sum("_k") for i in range(p + 1)]).alias("_means"))
+
+    def off(i: int) -> Column:
+        return F.get("_m", F.lit(i)) - F.get("_means", F.lit(i))
+
+    def scale(i: int) -> Column:
+        return F.col("forecast_origin").cast("double") if i < p and names[i] == "cycle_norm" else F.lit(1.0)
+
+    summed = seen.join(centers, keys).groupBy(*keys, "_n", "_means").agg(F.array(*[
+        F.sum(F.get("_c", F.lit(at)) + F.col("_k") * off(i) * off(j)) for at, (i, j) in enumerate(pairs)]).alias("_products"))
+    return summed.select(
+        *keys, "_n", F.array(*[F.get("_means", F.lit(i)) / scale(i) for i in range(p + 1)]).alias("_means"),
+        F.array(*[F.get("_products", F.lit(at)) / (scale(i) * scale(j)) for at, (i, j) in enumerate(pairs)]).alias("_products"),
     )
 
+
+def ridge_models(moments: DataFrame, keys: Sequence[str], features: int, alpha: float = 1.0, scaled: bool = True) -> DataFrame:
+    """One ridge model per row of ``origin_moments``: coefficients, the intercept last.
+
+    Spark has added up the normal equations; a vectorised helper solves the small systems. ``scaled`` penalises
+    standardised features.
+    """
+    p = features
+
     @F.pandas_udf(T.ArrayType(T.DoubleType()))
     def solve(count: pd.Series, products: pd.Series, means: pd.Series) -> pd.Series:
         upper = np.triu_indices(p + 1)
@@ -159,7 +194,6 @@ def ridge_models(training: DataFrame, keys: Sequence[str], features: Sequence[st
         full[:, upper[0], upper[1]] = np.stack(products.to_numpy())
         full[:, upper[1], upper[0]] = full[:, upper[0], upper[1]]
         center = np.stack(means.to_numpy())
-        full -= count.to_numpy()[:, None, None] * center[:, :, None] * center[:, None, :]
         gram, cross = full[:, :p, :p], full[:, :p, p]
         deviation = np.sqrt(np.einsum("kii->ki", gram) / count.to_numpy()[:, None]) if scaled else np.ones(cross.shape)
         deviation = np.where(deviation == 0, 1.0, deviation)
@@ -168,7 +202,20 @@ def ridge_models(training: DataFrame, keys: Sequence[str], features: Sequence[st
         intercept = center[:, p] - (slopes * center[:, :p]).sum(axis=1)
         return pd.Series(list(np.column_stack([slopes, intercept])))
 
-    return sums.select(*keys, solve("_n", "_products", "_means").alias("coefficients"))
+    return moments.select(*keys, solve("_n", "_products", "_means").alias("coefficients"))
+
+
+def target_cycles(series: DataFrame, scenarios: DataFrame, cell: str = "cell_id", cycle: str = "cycle") -> DataFrame:
+    """(cell, origin_position, cycles): the cycles of the rows behind each origin, in order, as far as any horizon reaches.
+
+    Excluded cycles leave holes, so the row ``step`` places behind an origin need not be ``step`` cycles behind it.
+    """
+    reach = scenarios.groupBy(cell, "origin_position").agg(F.max("horizon").alias("_reach"))
+    wanted = reach.select(cell, "origin_position", F.explode(
+        F.sequence(F.col("origin_position") + 1, F.col("origin_position") + F.col("_reach"))).alias("pos"))
+    found = wanted.join(series.select(cell, "pos", cycle), [cell, "pos"])
+    rows = F.array_sort(F.collect_list(F.struct("pos", cycle)))  # at most the longest horizon
+    return found.groupBy(cell, "origin_position").agg(F.transform(rows, lambda x: x[cycle]).alias("cycles"))
 
 
 def _strict_row(history: Column, cycle: Column) -> list[Column]:
@@ -186,31 +233,29 @@ def _strict_row(history: Column, cycle: Column) -> list[Column]:
 
 def ridge_forecasts(
     series: DataFrame, scenarios: DataFrame, value: str = "capacity_ah", cell: str = "cell_id", cycle: str = "cycle",
-    alpha: float = 1.0, strict: bool = True, max_rows: int | None = None,
+    alpha: float = 1.0, strict: bool = True, max_rows: int | None = None, names: Sequence[str] | None = None,
 ) -> DataFrame:
     """Recursive ridge forecasts, one model per cell and origin.
 
-    ``strict`` picks full-window features with a standardising model; otherwise short windows are accepted,
-    the position is scaled by the origin and features are penalised as they are. A forecast feeds its own predictions back, but needs only the last ten values: each scenario row carries
-    them in an array and folds over its steps inside the JVM. No step loop, no growing plan.
+    ``strict`` picks full-window features with a standardising model; otherwise short windows are accepted, the
+    position is scaled by the origin and features are penalised as they are. ``names`` picks some of the features. A
+    forecast feeds its own predictions back, but needs only the last ten values and the cycles of the rows to
+    predict: each scenario row carries both in arrays and folds over its steps inside the JVM. No step loop, no growing plan.
     """
-    features = supervised(series, cell, value, strict, max_rows=max_rows)
-    names = STRICT_FEATURES if strict else PERIOD_FEATURES
+    every = STRICT_FEATURES if strict else PERIOD_FEATURES
+    names = tuple(names or every)
+    features = supervised(series, cell, value, strict, max_rows=max_rows, names=names)
     origins = scenarios.select(cell, "forecast_origin", "origin_position").distinct()
-    train = training_rows(features, origins, cell, cycle)
-    if not strict:
-        train = train.withColumn("cycle_norm", F.col(cycle) / F.col("forecast_origin"))
-    models = ridge_models(train, [cell, "forecast_origin"], names, value, alpha, scaled=strict)
-    tails = origins.join(tail_values(series, cell, value, max_rows), [cell, "origin_position"])
-    base = scenarios.join(models, [cell, "forecast_origin"]).join(
-        tails.select(cell, "forecast_origin", "history"), [cell, "forecast_origin"]
-    )
+    models = ridge_models(origin_moments(features, origins, names, value, cell, cycle), [cell, "forecast_origin"], len(names), alpha, scaled=strict)
+    base = scenarios.join(models, [cell, "forecast_origin"]).join(tail_values(series, origins, cell, value), [cell, "origin_position"]).join(
+        target_cycles(series, scenarios, cell, cycle), [cell, "origin_position"])
+    picked = [every.index(n) for n in names]
 
     def advance(state: Column, step: Column) -> Column:
         history = state["history"]
-        row = _strict_row(history, F.col("forecast_origin") + step) if strict else _period_row(history)
-        weights = [F.element_at("coefficients", i + 1) for i in range(len(row) + 1)]
-        prediction = sum((w * x for w, x in zip(weights, row)), weights[-1])
+        row = _strict_row(history, F.get("cycles", step - 1)) if strict else _period_row(history)
+        weights = [F.element_at("coefficients", i + 1) for i in range(len(picked) + 1)]
+        prediction = sum((w * row[at] for w, at in zip(weights, picked)), weights[-1])
         clipped = F.greatest(prediction, F.lit(0.0))
         return F.struct(
             F.concat(F.slice(state["history"], 2, HISTORY - 1), F.array(clipped)).alias("history"),
@@ -225,13 +270,14 @@ def ridge_forecasts(
     )
 
 
-def tail_values(series: DataFrame, cell: str, value: str, max_rows: int | None = None) -> DataFrame:
-    """The last ten values up to every position."""
-    return over_series(
-        series.select(cell, "pos", value), [cell], ["pos"],
-        lambda w: {"history": F.collect_list(value).over(w.rowsBetween(-(HISTORY - 1), 0))},
-        back=HISTORY - 1, max_rows=max_rows,
-    ).select(cell, F.col("pos").alias("origin_position"), "history")
+def tail_values(series: DataFrame, origins: DataFrame, cell: str, value: str) -> DataFrame:
+    """(cell, origin_position, history): the last ten values up to each origin, oldest first."""
+    rows = F.array_sort(F.collect_list(F.struct("pos", value)))
+    return rows_before(series, origins, cell, value, HISTORY).groupBy(cell, "origin_position").agg(
+        F.transform(rows, lambda x: x[value]).alias("history"))
+
+
+STEPS_PER_WRITE = 5
 
 
 def forest_forecasts(
@@ -242,8 +288,7 @@ def forest_forecasts(
     """Recursive random-forest forecasts, one forest per origin slot, trained on all cells together.
 
     ``scenarios`` carries ``slot``, the place of its origin in the backtest (the same few slots for every
-    cell). A slot's forest sees each cell only up to that cell's own origin. A fitted forest is small, so it
-    travels to the scenario rows and every row runs through its own steps there: one narrow pass per slot.
+    cell). A slot's forest sees each cell only up to that cell's own origin.
     """
     features = supervised(series, cell, value, strict=False, max_rows=max_rows)
     origins = scenarios.select(cell, slot, "forecast_origin", "origin_position").distinct()
@@ -255,80 +300,59 @@ def forest_forecasts(
     visible = settle(visible.withColumn("cycle_norm", F.col(cycle) / F.col("_o.forecast_origin")).select(
         f"_o.{slot}", value, *PERIOD_FEATURES
     ))
-    assembler = VectorAssembler(inputCols=list(PERIOD_FEATURES), outputCol="features")
     learner = RandomForestRegressor(
         featuresCol="features", labelCol=value, numTrees=trees, maxDepth=depth, minInstancesPerNode=leaf_rows, seed=seed,
+        featureSubsetStrategy="all", maxMemoryInMB=1024,
     )
-    base = settle(scenarios.join(tail_values(series, cell, value, max_rows), [cell, "origin_position"]))
-    results = None
-    for name in slots:
-        model = learner.fit(assembler.transform(visible.filter(F.col(slot) == name)).select("features", value))
-        step_through = _forest_path(_forest_arrays(model))
-        path = base.filter(F.col(slot) == name).withColumn("_path", step_through("history", "horizon"))
-        results = path if results is None else results.unionByName(path)
-    keep = scenarios.columns
-    return results.select(*keep, F.posexplode("_path").alias("_i", "y_raw")).select(
-        *keep, (F.col("_i") + 1).alias("step"), F.lit("RandomForestRegressor").alias("model_name"),
+    assembler = VectorAssembler(inputCols=list(PERIOD_FEATURES), outputCol="features")
+    models = {name: learner.fit(assembler.transform(visible.filter(F.col(slot) == name)).select("features", value)) for name in slots}
+    start = scenarios.join(tail_values(series, origins, cell, value), [cell, "origin_position"])
+    return iterated_forecasts(start, models, slot).select(
+        *scenarios.columns, F.posexplode("raw").alias("_i", "y_raw")).select(
+        *scenarios.columns, (F.col("_i") + 1).alias("step"), F.lit("RandomForestRegressor").alias("model_name"),
         "y_raw", floored(F.col("y_raw"), 0.0).alias("y_pred"),
     )
 
 
-def _forest_arrays(model) -> dict[str, np.ndarray]:
-    """Split and leaf tables of a fitted forest, one row per tree; at most 2^(depth+1) nodes each."""
-    spark = SparkSession.active()
-    path = f"{ensure_checkpoint_dir(spark)}/models/{uuid.uuid4().hex}"
-    model.write().save(path)
-    split = F.col("nodeData.split")
-    nodes = spark.read.parquet(f"{path}/data").select(
-        "treeID", "nodeData.id", "nodeData.prediction", "nodeData.leftChild", "nodeData.rightChild",
-        split["featureIndex"].alias("feature"), F.get(split["leftCategoriesOrThreshold"], 0).alias("threshold"),
-    ).toPandas()
-    shape = (nodes["treeID"].max() + 1, nodes["id"].max() + 1)
-    tables = {
-        "feature": np.zeros(shape, dtype=np.int32), "threshold": np.full(shape, np.inf),
-        "left": np.zeros(shape, dtype=np.int32), "right": np.zeros(shape, dtype=np.int32), "value": np.zeros(shape),
-    }
-    at = (nodes["treeID"].to_numpy(), nodes["id"].to_numpy())
-    leaf = nodes["leftChild"].to_numpy() < 0
-    own = nodes["id"].to_numpy()
-    tables["feature"][at] = np.where(leaf, 0, nodes["feature"])
-    tables["threshold"][at] = np.where(leaf, np.inf, nodes["threshold"].fillna(np.inf))
-    # a leaf leads to itself, so every tree can be walked the same number of times
-    tables["left"][at] = np.where(leaf, own, nodes["leftChild"])
-    tables["right"][at] = np.where(leaf, own, nodes["rightChild"])
-    tables["value"][at] = nodes["prediction"]
-    return tables
-
-
-def _forest_path(tables: dict[str, np.ndarray]):
-    """Vectorised recursion over a batch of scenario rows: last values and horizon in, predictions out."""
-    def predict(rows: np.ndarray) -> np.ndarray:
-        tree = np.arange(tables["left"].shape[0])[None, :]
-        node = np.zeros((len(rows), tree.shape[1]), dtype=np.int32)
-        line = np.arange(len(rows))[:, None]
-        while True:
-            goes_left = rows[line, tables["feature"][tree, node]] <= tables["threshold"][tree, node]
-            child = np.where(goes_left, tables["left"][tree, node], tables["right"][tree, node])
-            if (child == node).all():
-                return tables["value"][tree, node].mean(axis=1)
-            node = child
+def iterated_forecasts(start: DataFrame, models: Mapping[str, Transformer], slot: str, features: Sequence[str] = PERIOD_FEATURES) -> DataFrame:
+    """Let fitted models predict step after step from their own predictions; adds ``raw``, the predictions of every row.
 
-    @F.pandas_udf(T.ArrayType(T.DoubleType()))
-    def path(history: pd.Series, horizon: pd.Series) -> pd.Series:
-        past = np.stack(history.to_numpy()).astype(float)
-        steps = []
-        for _ in range(int(horizon.max())):
-            lags = past[:, [-1, -2, -3, -5, -10]]
-            rows = np.column_stack([
-                lags, past[:, -5:].mean(axis=1), past.mean(axis=1), past.std(axis=1, ddof=1), np.ones(len(past)),
-            ])
-            raw = predict(rows)
-            steps.append(raw)
-            past = np.column_stack([past[:, 1:], np.maximum(raw, 0.0)])
-        table = np.column_stack(steps)
-        return pd.Series([table[i, :h] for i, h in enumerate(horizon.to_numpy())])
-
-    return path
+    ``start`` has one row per series to continue, with ``history`` (its last ten values), ``horizon`` and ``slot``, the
+    model it belongs to. These are the state: each step turns the carried values into features, asks
+    ``model.transform`` for all rows of the model at once and carries the clipped prediction on. Every few steps the state is
+    written, so that plans stay short and a lost executor repeats only those steps.
+    """
+    state = settle(start.withColumn("raw", F.expr("cast(array() as array<double>)")))
+    longest, width = state.agg(F.max("horizon")).first()[0] or 0, max(1, state.rdd.getNumPartitions())
+    kept = [c for c in state.columns if c not in ("history", "raw")]
+
+    def advance(rows: DataFrame, model: Transformer, step: int) -> DataFrame:
+        row = dict(zip(PERIOD_FEATURES, _period_row(F.col("history"))))
+        scored = model.transform(rows.select("*", array_to_vector(F.array(*[row[n] for n in features])).alias("features")))
+        going, clipped = F.col("horizon") >= step, F.greatest("prediction", F.lit(0.0))
+        return scored.select(
+            *kept, F.when(going, F.concat(F.slice("history", 2, HISTORY - 1), F.array(clipped))).otherwise(F.col("history")).alias("history"),
+            F.when(going, F.concat("raw", F.array("prediction"))).otherwise(F.col("raw")).alias("raw"),
+        )
+
+    for first in range(1, longest + 1, STEPS_PER_WRITE):
+        parts = []
+        for name, model in models.items():
+            part = state.filter(F.col(slot) == name)
+            for step in range(first, min(first + STEPS_PER_WRITE, longest + 1)):
+                part = advance(part, model, step)
+            parts.append(part)
+        state = settle(reduce(DataFrame.unionByName, parts).coalesce(width))  # else each write would have a part per model and part
+    return state
+
+
+def _spread(values: Column, mean: Column, count: int) -> Column:
+    """Sample deviation of an array, as a fold: spelled out term by term it would fill the plan."""
+    return F.sqrt(F.aggregate(values, F.lit(0.0), lambda s, v: s + (v - mean) * (v - mean)) / (count - 1))
+
+
+def _mean(values: Column, count: int) -> Column:
+    return F.aggregate(values, F.lit(0.0), lambda s, v: s + v) / count
 
 
 def _period_row(history: Column) -> list[Column]:
@@ -337,10 +361,8 @@ def _period_row(history: Column) -> list[Column]:
     def last(k: int) -> Column:
         return F.element_at(history, -k)
 
-    five, ten = [last(k) for k in range(1, 6)], [last(k) for k in range(1, 11)]
-    mean10 = sum(ten[1:], ten[0]) / 10
-    spread = [F.pow(v - mean10, 2) for v in ten]
+    mean10 = _mean(history, HISTORY)
     return [
-        *[last(k) for k in (1, 2, 3, 5, 10)], sum(five[1:], five[0]) / 5, mean10,
-        F.sqrt(sum(spread[1:], spread[0]) / 9), F.lit(1.0),
+        *[last(k) for k in (1, 2, 3, 5, 10)], _mean(F.slice(history, -5, 5), 5), mean10,
+        _spread(history, mean10, HISTORY), F.lit(1.0),
     ]

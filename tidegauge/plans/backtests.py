@@ -303,6 +303,46 @@ def forecast_row_contract(spark, sf_dir):
     return K.wrong_row_counts(forecasts, scenarios, ["cell_id", "scenario_id"], "model_name")
 
 
+@query("missing_forecast_rows", f"""WITH {B.SQL_FORECASTS},
+given AS (SELECT * FROM forecasts WHERE NOT (model_name = 'LinearTrend' AND scenario_id LIKE 'eol%lead10%') AND NOT (model_name = 'Persistence' AND step = 2 AND horizon = 20)),
+frame AS (SELECT cell_id, scenario_id, horizon, model_name FROM scenarios, (SELECT DISTINCT model_name FROM forecasts)),
+found AS (SELECT cell_id, scenario_id, model_name, count(*) AS n FROM given GROUP BY 1, 2, 3)
+SELECT f.cell_id, f.scenario_id, f.horizon, f.model_name, coalesce(n, 0) AS found
+FROM frame f LEFT JOIN found g ON g.cell_id = f.cell_id AND g.scenario_id = f.scenario_id AND g.model_name = f.model_name WHERE coalesce(n, 0) <> horizon""")
+def missing_forecast_rows(spark, sf_dir):
+    """The contract over forecasts of which some scenarios lack a step and some have no row of one model at all."""
+    forecasts, scenarios, _ = B.baseline_table(spark, sf_dir)
+    model = F.col("model_name")
+    whole = (model == "LinearTrend") & F.col("scenario_id").like("eol%lead10%")
+    part = (model == "Persistence") & (F.col("step") == 2) & (F.col("horizon") == 20)
+    return K.wrong_row_counts(forecasts.filter(~whole & ~part), scenarios, ["cell_id", "scenario_id"], "model_name", M.BASELINES)
+
+
+@query("differing_truth_found", f"""WITH {B.SQL_FORECASTS}
+SELECT cell_id, scenario_id, step, min(t) AS low, max(t) AS high, count(*) AS n FROM (
+  SELECT *, CASE WHEN model_name = 'MovingAverage' AND step = 3 THEN y_true_capacity + 1 ELSE y_true_capacity END AS t FROM forecasts)
+GROUP BY 1, 2, 3 HAVING min(t) <> max(t)""")
+def differing_truth_found(spark, sf_dir):
+    """One model scored against another truth at one step: the contract names these steps."""
+    forecasts, _, _ = B.baseline_table(spark, sf_dir)
+    off = (F.col("model_name") == "MovingAverage") & (F.col("step") == 3)
+    altered = forecasts.withColumn("y_true_capacity", F.when(off, F.col("y_true_capacity") + 1).otherwise(F.col("y_true_capacity")))
+    return K.differing_truth(altered, ["cell_id", "scenario_id", "step"], "y_true_capacity")
+
+
+@query("broken_quantiles_found", f"""WITH {B.SQL_INTERVALS}
+SELECT cell_id, scenario_id, model_name, step FROM intervals WHERE y_pred_capacity_q10 IS NOT NULL AND step % 5 = 0
+UNION ALL SELECT cell_id, scenario_id, model_name, step FROM intervals WHERE model_name = 'Persistence' AND step = 1""")
+def broken_quantiles_found(spark, sf_dir):
+    """Bands turned over at every fifth step, and a negative middle: the contract names these rows."""
+    intervals, _, _ = B.interval_table(spark, sf_dir)
+    fifth, negative = F.col("step") % 5 == 0, (F.col("model_name") == "Persistence") & (F.col("step") == 1)
+    q10, q50, q90 = (f"y_pred_capacity_{q}" for q in ("q10", "q50", "q90"))
+    altered = intervals.withColumns({
+        q10: F.when(fifth, F.col(q90) + 1).otherwise(F.col(q10)), q50: F.when(negative, F.lit(-1.0)).otherwise(F.col(q50))})
+    return K.broken_quantiles(altered, q10, q50, q90).select("cell_id", "scenario_id", "model_name", "step")
+
+
 @query("quantile_order_contract", f"""WITH {B.SQL_INTERVALS}
 SELECT cell_id, scenario_id, model_name, step FROM intervals
 WHERE coalesce(y_pred_capacity_q10 > y_pred_capacity_q50 OR y_pred_capacity_q50 > y_pred_capacity_q90, false)""")
@@ -375,6 +415,65 @@ def target_variants(spark, sf_dir):
     ))
 
 
+def _named_targets(spark, sf_dir):
+    """(series by cell and target, scenarios by cell and target, long targets beside the raw value)."""
+    series, smooth = _variants(spark, sf_dir)
+    columns = {"capacity_raw": "capacity_ah", "capacity_ewm_span_9": "ewm", "capacity_roll_median_7": "median7"}
+    long = settle(E.target_variants(smooth, columns, ["cell_id", "pos", "cycle", "capacity_ah"]))
+    plans = B.scenarios_of(series).withColumn("target_name", F.explode(F.array(*[F.lit(n) for n in columns])))
+    both = F.struct("cell_id", "target_name")
+    return long.withColumn("series_id", both), plans.withColumn("series_id", both)
+
+
+def _variant_errors(forecasts, long):
+    scored = forecasts.withColumn("pos", F.col("origin_position") + F.col("step")).join(
+        long.select("series_id", "pos", "target", "capacity_ah"), ["series_id", "pos"])
+    return B.rounded(scored.groupBy("target_name", "scenario_type", "model_name").agg(
+        F.count("*").alias("n"), *E.error_columns("target", "y_pred", "own_", percent=False),
+        *E.error_columns("capacity_ah", "y_pred", "raw_", percent=False)))
+
+
+def _error_sql(actual: str, prefix: str) -> str:
+    return (f"{r(f'avg(abs(y - {actual}))')} AS {prefix}_mae, {r(f'sqrt(avg((y - {actual}) ** 2))')} AS {prefix}_rmse, "
+            f"{r(f'avg(coalesce(2 * abs(y - {actual}) / nullif(abs(y) + abs({actual}), 0), 0))')} AS {prefix}_smape")
+
+
+@query("smoothed_target_ridge", f"""WITH RECURSIVE {B.SQL_SCENARIOS},
+smooth(cell_id, pos, ewm) AS (
+  SELECT cell_id, pos, capacity_ah FROM series WHERE pos = 0
+  UNION ALL
+  SELECT s.cell_id, s.pos, 0.2::DOUBLE * s.capacity_ah + 0.8::DOUBLE * m.ewm FROM smooth m JOIN series s ON s.cell_id = m.cell_id AND s.pos = m.pos + 1),
+wide AS (
+  SELECT s.cell_id, s.pos, s.cycle, capacity_ah AS raw_value, capacity_ah AS capacity_raw, ewm AS capacity_ewm_span_9,
+         median(capacity_ah) OVER (PARTITION BY s.cell_id ORDER BY s.pos ROWS BETWEEN 6 PRECEDING AND CURRENT ROW) AS capacity_roll_median_7
+  FROM series s JOIN smooth USING (cell_id, pos)),
+long AS (SELECT * FROM (UNPIVOT wide ON capacity_raw, capacity_ewm_span_9, capacity_roll_median_7 INTO NAME target_name VALUE target)),
+fits AS (
+  SELECT c.cell_id, c.forecast_origin, l.target_name, avg(l.cycle) AS mx, avg(l.target) AS my,
+         covar_pop(l.target, l.cycle) / var_pop(l.cycle) * count(*) / (count(*) + 1.0) AS w
+  FROM (SELECT DISTINCT cell_id, forecast_origin FROM scenarios) c JOIN long l ON l.cell_id = c.cell_id AND l.cycle <= c.forecast_origin GROUP BY 1, 2, 3),
+predicted AS (
+  SELECT c.scenario_type, l.target_name, greatest(f.my + f.w * (l.cycle - f.mx), 0) AS y, l.target, l.raw_value
+  FROM scenarios c JOIN fits f USING (cell_id, forecast_origin), LATERAL (SELECT unnest(range(1, c.horizon + 1)) AS step) t
+  JOIN long l ON l.cell_id = c.cell_id AND l.pos = c.origin_position + t.step AND l.target_name = f.target_name)
+SELECT target_name, scenario_type, 'RidgeRegression' AS model_name, count(*) AS n, {_error_sql('target', 'own')}, {_error_sql('raw_value', 'raw')}
+FROM predicted GROUP BY 1, 2""")
+def smoothed_target_ridge(spark, sf_dir):
+    """A learned model on raw and smoothed targets, scored against its own target and the raw value; on one feature it has a closed form."""
+    long, plans = _named_targets(spark, sf_dir)
+    return _variant_errors(M.ridge_forecasts(long, plans, "target", "series_id", names=("cycle",)), long)
+
+
+@query("smoothed_target_models")
+def smoothed_target_models(spark, sf_dir):
+    """Recursive ridge and forest forecasts of the same targets, with their whole features."""
+    long, plans = _named_targets(spark, sf_dir)
+    ridge = M.ridge_forecasts(long, plans, "target", "series_id", strict=False)
+    slotted = plans.withColumn("slot", F.concat_ws("/", "target_name", F.regexp_extract("scenario_id", r"(pre_\d+|lead\d+)", 1)))
+    forest = M.forest_forecasts(long, slotted.filter("target_name <> 'capacity_raw'"), value="target", cell="series_id").drop("slot")
+    return _variant_errors(ridge.unionByName(forest), long)
+
+
 @query("ridge_forecasts")
 def ridge_forecasts(spark, sf_dir):
     series = B.modelling_series(spark, sf_dir)
@@ -389,16 +488,45 @@ def ridge_forecasts_unscaled(spark, sf_dir):
     return E.leaderboard(E.scenario_errors(M.with_truth(forecasts, series), KEYS), ["scenario_type", "model_name"])
 
 
-FOREST_TREES = 20
+@query("ridge_on_cycle", f"""WITH {B.SQL_SCENARIOS},
+fits AS (
+  SELECT c.cell_id, c.forecast_origin, avg(s.cycle) AS x, avg(s.capacity_ah) AS y,
+         covar_pop(s.capacity_ah, s.cycle) / var_pop(s.cycle) * count(*) / (count(*) + 1.0) AS w
+  FROM (SELECT DISTINCT cell_id, forecast_origin FROM scenarios) c
+  JOIN series s ON s.cell_id = c.cell_id AND s.cycle <= c.forecast_origin GROUP BY 1, 2)
+SELECT c.cell_id, c.scenario_id, t.step, s.cycle, {r('f.y + f.w * (s.cycle - f.x)')} AS y_raw
+FROM scenarios c JOIN fits f USING (cell_id, forecast_origin), LATERAL (SELECT unnest(range(1, c.horizon + 1)) AS step) t
+JOIN series s ON s.cell_id = c.cell_id AND s.pos = c.origin_position + t.step""")
+def ridge_on_cycle(spark, sf_dir):
+    """Ridge on one feature has a closed form: the slope shrinks by n / (n + alpha). Excluded cycles leave holes in every horizon."""
+    series = B.modelling_series(spark, sf_dir)
+    forecasts = M.ridge_forecasts(series, B.scenarios_of(series), names=("cycle",))
+    return B.rounded(M.with_truth(forecasts, series).select("cell_id", "scenario_id", "step", "cycle", "y_raw"))
 
 
-@query("forest_forecasts")
-def forest_forecasts(spark, sf_dir):
-    """One forest per origin slot (four origins before the event, three leads up to it), all cells and steps."""
+def _forest(spark, sf_dir):
     series = B.modelling_series(spark, sf_dir)
     slot = F.regexp_extract("scenario_id", r"(pre_\d+|lead\d+)", 1)
     scenarios = B.scenarios_of(series).withColumn("slot", slot)
-    forecasts = settle(M.with_truth(M.forest_forecasts(series, scenarios, trees=FOREST_TREES), series))
+    return settle(M.with_truth(M.forest_forecasts(series, scenarios), series)), scenarios, series
+
+
+@query("forest_forecasts")
+def forest_forecasts(spark, sf_dir):
+    """One forest per origin slot (four origins before the event, three leads up to it), all cells and steps."""
+    forecasts, scenarios, _ = _forest(spark, sf_dir)
     metrics = D.decision_metrics(D.evaluate_decisions(forecasts, scenarios), ["model_name"])
     leaders = E.leaderboard(E.scenario_errors(forecasts, KEYS, percent=False), ["scenario_type", "model_name"])
     return leaders.join(metrics, "model_name")
+
+
+@query("forest_forecast_rows", f"""WITH {B.SQL_SCENARIOS}
+SELECT c.cell_id, c.scenario_id, t.step, s.cycle, s.capacity_ah AS y_true_capacity, true AS within_training
+FROM scenarios c, LATERAL (SELECT unnest(range(1, c.horizon + 1)) AS step) t
+JOIN series s ON s.cell_id = c.cell_id AND s.pos = c.origin_position + t.step""")
+def forest_forecast_rows(spark, sf_dir):
+    """Every scenario step is forecast once, and a forest's mean of training values cannot leave their range."""
+    forecasts, _, series = _forest(spark, sf_dir)
+    bounds = series.agg(F.min("capacity_ah").alias("low"), F.max("capacity_ah").alias("high")).first()
+    within = F.col("y_raw").between(bounds["low"] - 1e-9, bounds["high"] + 1e-9)
+    return forecasts.select("cell_id", "scenario_id", "step", "cycle", "y_true_capacity", within.alias("within_training"))
