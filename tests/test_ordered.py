@@ -70,6 +70,47 @@ def test_exponential_mean_matches_recurrence(spark, span, max_rows):
     np.testing.assert_allclose(got, frame["v"].ewm(span=span, adjust=False).mean().to_numpy(), rtol=1e-9)
 
 
+@pytest.mark.parametrize("max_rows", [None, 100])
+def test_exponential_mean_decays_over_missing_values(spark, max_rows):
+    rng = np.random.default_rng(9)
+    frames = [pd.DataFrame({"k": "short", "t": range(3), "v": [1.0, np.nan, 2.0]}), pd.DataFrame({"k": "none", "t": range(4), "v": np.nan})]
+    long = rng.normal(50, 20, 6000)
+    long[:5] = np.nan
+    long[rng.random(6000) < 0.4] = np.nan
+    long[2000:4500] = np.nan  # longer than any block
+    frames.append(pd.DataFrame({"k": "long", "t": np.arange(6000), "v": long}))
+    frames.append(pd.DataFrame({"k": None, "t": range(6), "v": [np.nan, 3.0, np.nan, np.nan, 1.0, 2.0]}))
+    data = pd.concat(frames, ignore_index=True)
+    df = spark.createDataFrame(data).withColumn("v", F.nanvl("v", F.lit(None)))
+    for span in (2, 9, 50):
+        got = O.exponential_mean(df, ["k"], ["t"], "v", "e", span=span, max_rows=max_rows).toPandas()
+        assert len(got) == len(data)
+        for part in frames:
+            key = part["k"].iloc[0]
+            mine = got[got["k"].isna() if key is None else got["k"] == key].sort_values("t")["e"].to_numpy(dtype=float)
+            np.testing.assert_allclose(mine, part["v"].ewm(span=span, adjust=False).mean().to_numpy(), rtol=1e-9)
+            if key == "short" and span == 9:
+                np.testing.assert_allclose(mine, [1, 1, 1.04 / 0.84])
+
+
+def test_spearman_of_pairs_with_different_missing_rows(spark):
+    from tidegauge.operators.audit import spearman
+
+    rng = np.random.default_rng(4)
+    data = pd.DataFrame(rng.integers(0, 9, (400, 4)).astype(float), columns=list("abcd"))
+    for c, share in (("a", 0.2), ("c", 0.5)):
+        data.loc[rng.random(400) < share, c] = np.nan
+    data["e"] = np.nan
+    df = spark.createDataFrame(data).select(*[F.nanvl(c, F.lit(None)).alias(c) for c in data])
+    pairs = {x + y: (x, y) for x in "abcde" for y in "abcde" if x <= y}
+    got = {r["pair"]: r for r in spearman(df, pairs).collect()}
+    assert set(got) == {p for p in pairs if "e" not in p}
+    for p, row in got.items():
+        both = data[list(p)].dropna() if p[0] != p[1] else data[[p[0]]].dropna()
+        x, y = both[p[0]].rank(), both[p[1]].rank()
+        assert row["n"] == len(both) and row["rho"] == pytest.approx(np.corrcoef(x, y)[0, 1])
+
+
 def test_plain_window_needs_one_shuffle(spark, skewed):
     plan = O.over_series(skewed, ["k"], ["t"], build)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1

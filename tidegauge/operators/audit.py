@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import functions as F
@@ -98,14 +99,13 @@ def coverage(master: DataFrame, df: DataFrame, key: str, kind: str) -> DataFrame
 
 def describe(values: DataFrame, column: str) -> DataFrame:
     """Count, mean, deviation and quartiles of one column."""
+    values = settle(values.select(column))
     basics = values.agg(
         F.count(column).alias("n"), F.avg(column).alias("mean"), F.stddev_samp(column).alias("std"),
         F.min(column).alias("min"), F.max(column).alias("max"),
     )
     quartiles = exact_quantiles(values, [], column, {"q25": 0.25, "q50": 0.5, "q75": 0.75})
-    return basics.select("*", *[
-        quartiles.select(q).scalar().alias(q) for q in ("q25", "q50", "q75")
-    ])
+    return basics.join(quartiles, F.lit(True), "left")  # one row each
 
 
 def rows_per_key(df: DataFrame, key: str) -> DataFrame:
@@ -197,31 +197,50 @@ def clip_normalised(df: DataFrame, columns: Sequence[str], low: float = 0.05, hi
 def spearman(df: DataFrame, pairs: Mapping[str, tuple[str, str]]) -> DataFrame:
     """Rank correlation of column pairs over the rows where both are present, average ranks on ties.
 
-    Equal (x, y) rows are counted first, ranks come from counts of distinct values, and the correlation
-    is a weighted sum. No step ranks rows in a single task.
+    Pairs that are complete in the same rows share their ranks, so a column is ranked once for each such set of rows, from
+    counts of its distinct values, and a row is read once with the ranks of all its columns beside it: all pairs are
+    sums of one aggregate. Which columns are missing together takes at most two to the number of columns counts.
     """
-    cells = [
-        F.struct(F.lit(name).alias("pair"), F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))
-        for name, (x, y) in pairs.items()
-    ]
-    long = df.select(F.explode(F.array(*cells)).alias("c")).select("c.*").dropna()
-    joint = settle(long.groupBy("pair", "x", "y").agg(F.count("*").alias("n")))
-    sides = joint.select("pair", F.explode(F.array(
-        F.struct(F.lit("x").alias("side"), F.col("x").alias("v"), "n"),
-        F.struct(F.lit("y").alias("side"), F.col("y").alias("v"), "n"),
-    )).alias("s")).select("pair", "s.*").groupBy("pair", "side", "v").agg(F.sum("n").alias("n"))
-    ranks = running_totals(sides, ["pair", "side"], ["v"], {"through": F.col("n")}).withColumn(
-        "rank", F.col("through") - (F.col("n") - 1) / 2
-    )
-    totals = joint.groupBy("pair").agg(((F.sum("n") + 1) / 2).alias("mid"))
-    x = ranks.filter("side = 'x'").select("pair", F.col("v").alias("x"), F.col("rank").alias("rank_x"))
-    y = ranks.filter("side = 'y'").select("pair", F.col("v").alias("y"), F.col("rank").alias("rank_y"))
-    a, b, n = F.col("rank_x") - F.col("mid"), F.col("rank_y") - F.col("mid"), F.col("n")
-    return (
-        joint.join(x, ["pair", "x"]).join(y, ["pair", "y"]).join(totals, "pair")
-        .groupBy("pair")
-        .agg(F.sum("n").alias("n"), ratio(F.sum(n * a * b), F.sqrt(F.sum(n * a * a) * F.sum(n * b * b))).alias("rho"))
-    )
+    columns = sorted({c for pair in pairs.values() for c in pair})
+    place = {c: i for i, c in enumerate(columns)}
+    values = df.select(*[F.col(c).cast("double").alias(f"_v{i}") for c, i in place.items()])
+    mask = reduce(lambda a, b: a + b, [F.when(F.col(f"_v{i}").isNotNull(), 1 << i).otherwise(0) for i in place.values()])
+    rows = settle(values.withColumn("_mask", mask))
+    sizes = {r["_mask"]: r["n"] for r in rows.groupBy("_mask").agg(F.count("*").alias("n")).collect()}
+
+    complete = {name: tuple(sorted(m for m in sizes if m >> place[x] & 1 and m >> place[y] & 1)) for name, (x, y) in pairs.items()}
+    complete = {name: masks for name, masks in complete.items() if masks}
+    if not complete:
+        return df.sparkSession.createDataFrame([], "pair string, n long, rho double")
+    sets = {masks: i for i, masks in enumerate(sorted(set(complete.values())))}
+    wanted = sorted({(place[c], sets[masks]) for name, masks in complete.items() for c in pairs[name]})
+    masks_of = {i: list(masks) for masks, i in sets.items()}
+
+    cells = F.array(*[F.struct(F.lit(i).alias("column"), F.col(f"_v{i}").alias("value"), F.col("_mask").alias("mask")) for i in place.values()])
+    counts = rows.select(F.explode(cells).alias("c")).select("c.*").filter("value is not null").groupBy("column", "mask", "value").agg(F.count("*").alias("n"))
+    serves = F.array_compact(F.array(*[F.when((F.col("column") == i) & F.col("mask").isin(masks_of[s]), F.lit(s)) for i, s in wanted]))
+    by_set = counts.select("column", "value", "n", F.explode(serves).alias("set")).groupBy("column", "set", "value").agg(F.sum("n").alias("n"))
+    ranked = settle(running_totals(by_set, ["column", "set"], ["value"], {"through": F.col("n")}).select(
+        "column", "set", "value", (F.col("through") - (F.col("n") - 1) / 2).alias("rank")))
+    for i in place.values():
+        own = [s for column, s in wanted if column == i]
+        if not own:
+            continue
+        ranks = ranked.filter(F.col("column") == i).groupBy(F.col("value").alias(f"_k{i}")).agg(
+            *[F.max(F.when(F.col("set") == s, F.col("rank"))).alias(f"_r{i}_{s}") for s in own])
+        rows = rows.join(ranks, F.col(f"_v{i}") == F.col(f"_k{i}"), "left")
+
+    sums = []
+    for at, (name, masks) in enumerate(complete.items()):
+        s, (i, j) = sets[masks], (place[c] for c in pairs[name])
+        middle, inside = (sum(sizes[m] for m in masks) + 1) / 2, F.col("_mask").isin(list(masks))
+        a, b = (F.when(inside, F.col(f"_r{c}_{s}") - middle) for c in (i, j))
+        sums += [F.sum(a * b).alias(f"_ab{at}"), F.sum(a * a).alias(f"_aa{at}"), F.sum(b * b).alias(f"_bb{at}")]
+    out = F.array(*[
+        F.struct(F.lit(name).alias("pair"), F.lit(sum(sizes[m] for m in masks)).cast("long").alias("n"),
+                 ratio(F.col(f"_ab{at}"), F.sqrt(F.col(f"_aa{at}") * F.col(f"_bb{at}"))).alias("rho"))
+        for at, (name, masks) in enumerate(complete.items())])
+    return rows.agg(*sums).select(F.explode(out).alias("o")).select("o.*")
 
 
 def lag_pairs(panel: DataFrame, key: str, day: str, value: str, lags: Sequence[int] = (1, 2, 3, 4, 5),

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
@@ -153,41 +154,61 @@ def over_series(
     return short.unionByName(own)
 
 
+AGE = 300.0  # a block of an exponential mean: what is older than a whole block weighs less than exp(-300)
+
+
 def exponential_mean(
     df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], value: str, name: str,
     span: int = 9, max_rows: int | None = None,
 ) -> DataFrame:
     """Causal exponentially weighted mean (first value seeds it) without walking a series row by row.
 
-    The recurrence is linear, so a block of rows is a weighted prefix sum plus the mean carried in from the
-    block before. Blocks are short enough that the growing weights stay finite and long enough that anything
-    older than the previous block weighs less than one part in 1e250.
+    Weights decay by position, so a value behind missing ones counts for more; a row whose value is missing repeats the
+    mean before it, and rows before the first value have none. ``order`` should be total within a key.
+
+    Each value takes the mean to (d m + alpha x) / (d + alpha) with d = (1 - alpha)^gap. That is linear, so along the
+    running sum of the decays' logarithms (the age) a block of it is a weighted prefix sum plus what the block before
+    passes on; anything older is below one part in 1e130. Blocks hold at most AGE / -log(1 - alpha) values, whatever the
+    key. With ``max_rows`` the keys may have any length, else one key's rows are sorted in one task.
     """
     alpha = 2.0 / (span + 1)
-    keep = 1.0 - alpha
-    block_rows = max(2, int(600 / -math.log(keep)))
-    present = df.filter(F.col(value).isNotNull())
+    log_keep = math.log(1.0 - alpha)
+    known = F.col(value).isNotNull()
+    ones, seen = F.lit(1).cast("long"), F.when(known, 1).otherwise(0).cast("long")
     if max_rows is None:
-        positioned = present.withColumn("_pos", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
+        along = Window.partitionBy(*keys).orderBy(*order)
+        upto = along.rowsBetween(Window.unboundedPreceding, 0)
+        placed = df.withColumns({"_pos": F.row_number().over(along).cast("long"), "_seen": F.sum(seen).over(upto)})
+        present = placed.filter(known)
+        nth = Window.partitionBy(*keys).orderBy("_pos")
+        present = present.withColumn("_gap", F.col("_pos") - F.lag("_pos").over(nth))
     else:
-        positioned = row_numbers(present, keys, order, "_pos")
-    share = F.when(F.col("_pos") == 1, F.col(value)).otherwise(F.lit(alpha) * F.col(value))
-    blocks = positioned.select(
-        "*",
-        F.floor((F.col("_pos") - 1) / block_rows).cast("long").alias("_block"),
-        F.pmod(F.col("_pos") - 1, F.lit(block_rows)).cast("double").alias("_j"),
-        share.alias("_share"),
-    )
-    upto = Window.partitionBy(*keys, "_block").orderBy("_j").rowsBetween(Window.unboundedPreceding, 0)
-    local = blocks.withColumn(
-        "_local", F.sum(F.col("_share") * F.pow(F.lit(keep), -F.col("_j"))).over(upto) * F.pow(F.lit(keep), F.col("_j"))
-    )
-    tails = blocks.groupBy(*keys, "_block").agg(
-        F.sum(F.col("_share") * F.pow(F.lit(keep), F.lit(block_rows - 1.0) - F.col("_j"))).alias("_carry")
-    )
-    tails = tails.select(*[F.col(k).alias(f"_b_{k}") for k in keys], (F.col("_block") + 1).alias("_next"), "_carry")
-    same = F.col("_block") == F.col("_next")
-    for key in keys:
-        same = same & F.col(key).eqNullSafe(F.col(f"_b_{key}"))
-    carried = F.coalesce(F.col("_carry"), F.lit(0.0)) * F.pow(F.lit(keep), F.col("_j") + 1)
-    return local.join(tails, same, "left").select(*df.columns, (F.col("_local") + carried).alias(name))
+        placed = settle(running_totals(df, keys, order, {"_pos": ones, "_seen": seen}))
+        holes = placed.filter(~known).groupBy(*keys, (F.col("_seen") + 1).alias("_next")).agg(F.count("*").alias("_holes"))
+        present = _null_safe_left(placed.filter(known), holes, [*keys, "_seen"], [*keys, "_next"])
+        present = present.withColumn("_gap", F.when(F.col("_seen") > 1, 1 + F.coalesce("_holes", F.lit(0)))).drop("_holes")
+
+    decay = F.exp(F.col("_gap") * F.lit(log_keep))
+    share = F.when(F.col("_gap").isNull(), F.col(value)).otherwise(F.lit(alpha) * F.col(value) / (decay + F.lit(alpha)))
+    # minus the logarithm of what is left of the mean before
+    fading = F.when(F.col("_gap").isNull(), F.lit(0.0)).otherwise(F.log(decay + F.lit(alpha)) - F.col("_gap") * F.lit(log_keep))
+    present = present.select(*keys, "_seen", share.alias("_share"), fading.alias("_fading"))
+    if max_rows is None:
+        aged = present.withColumn("_age", F.sum("_fading").over(
+            Window.partitionBy(*keys).orderBy("_seen").rowsBetween(Window.unboundedPreceding, 0)))
+    else:
+        aged = running_totals(present, keys, ["_seen"], {"_age": F.col("_fading")})
+    blocks = aged.withColumn("_block", F.floor(F.col("_age") / AGE)).withColumn("_rest", F.col("_age") - F.col("_block") * AGE)
+    inside = Window.partitionBy(*keys, "_block").orderBy("_seen").rowsBetween(Window.unboundedPreceding, 0)
+    local = blocks.withColumn("_local", F.sum(F.col("_share") * F.exp("_rest")).over(inside) * F.exp(-F.col("_rest")))
+    tails = blocks.groupBy(*keys, (F.col("_block") + 1).alias("_next")).agg(F.sum(F.col("_share") * F.exp(F.col("_rest") - AGE)).alias("_carry"))
+    means = _null_safe_left(local, tails, [*keys, "_block"], [*keys, "_next"]).select(
+        *keys, "_seen", (F.col("_local") + F.coalesce("_carry", F.lit(0.0)) * F.exp(-F.col("_rest"))).alias(name))
+    return _null_safe_left(placed, means, [*keys, "_seen"], [*keys, "_seen"]).select(*df.columns, name)
+
+
+def _null_safe_left(left: DataFrame, right: DataFrame, left_keys: Sequence[str], right_keys: Sequence[str]) -> DataFrame:
+    """Left join in which NULL keys are equal; the right side's keys are dropped."""
+    renamed = right.select(*[F.col(k).alias(f"_r{i}") for i, k in enumerate(right_keys)], *[c for c in right.columns if c not in right_keys])
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_r{i}")) for i, k in enumerate(left_keys)])
+    return left.join(renamed, same, "left").drop(*[f"_r{i}" for i in range(len(right_keys))])
