@@ -25,7 +25,7 @@ def dataset(spark):
     return assemble_dataset(panel, spec, "v").cache()
 
 
-LEARNER = L.Learner(numeric=("cur_v", "v_lag1", "v_rollmean3", "cur_hollow"), categorical=("kind",), rounds=6, depth=3, step=0.2, leaf_rows=5)
+LEARNER = L.Learner(numeric=("cur_v", "v_lag1", "v_rollmean3", "cur_hollow"), categorical=("kind",), rounds=6, patience=3, depth=3, step=0.2, leaf_rows=5)
 
 
 def test_cross_validation_beats_the_seasonal_rule(dataset):
@@ -63,3 +63,29 @@ def test_stage_cross_validation(dataset):
 def test_importance_names_the_inputs(spark, dataset):
     got = L.importance(L.train_boosted(dataset, LEARNER, "target", ["day", "site"]), spark).collect()
     assert {r["feature"] for r in got} == {"cur_v", "v_lag1", "v_rollmean3", "kind"} and got[0]["importance"] > 0
+
+
+def test_the_best_round_within_the_patience():
+    assert L.best_round([3, 2, 1, 2, 2, 0], 2) == (3, True)
+    assert L.best_round([3, 2, 1, 2, 2, 0], 3) == (6, False)
+    assert L.best_round([1, 1, 1, 1], 3) == (1, True) and L.best_round([2], 5) == (1, False)
+
+
+def test_kept_trees_are_those_up_to_the_least_loss(spark, dataset):
+    from dataclasses import replace
+
+    learner = replace(LEARNER, rounds=24, patience=4, depth=2)
+    tuned = L.tune_boosted(dataset, learner, "target", ["day", "site"])
+    best = min(range(len(tuned.curve)), key=lambda i: tuned.curve[i])
+    assert tuned.rounds == best + 1 == tuned.model.stages[-1].getNumTrees and 1 < tuned.rounds
+    assert len(tuned.curve) in (8, 16, 24) and (len(tuned.curve) == 24 or len(tuned.curve) > best + learner.patience)
+    rows = L.loss_curve(tuned, spark).orderBy("round").collect()
+    assert [r["loss"] for r in rows] == list(tuned.curve) and [r["kept"] for r in rows] == [i <= best for i in range(len(rows))]
+
+
+def test_many_categories_get_a_bin_each(spark, dataset):
+    from dataclasses import replace
+
+    wide = dataset.withColumn("many", F.concat(F.lit("c"), (F.dayofyear("day") % 300).cast("string")))
+    tuned = L.tune_boosted(wide, replace(LEARNER, categorical=("many",), bins=4, rounds=2), "target", ["day", "site"])
+    assert tuned.model.stages[-1].getNumTrees <= 2

@@ -1,4 +1,6 @@
 import datetime as dt
+import random
+import statistics
 
 import pandas as pd
 import pytest
@@ -20,22 +22,35 @@ def panel(spark, rows):
 SPEC = P.FeatureSpec(key="site", day="day", current=("v",), lagged=("v",), rolled=("v",), windows=(2, 3), deltas=("v",))
 
 
-def test_next_value_label(spark):
-    df = panel(spark, [("X", "2023-08-01", 500.0), ("X", "2023-08-08", 1500.0), ("X", "2023-08-15", 800.0), ("X", "2023-08-22", 2000.0)])
-    got = P.build_targets(df, "site", "day", "v").orderBy("day").collect()
-    assert [r["label_value"] for r in got] == [1500.0, 800.0, 2000.0]
-    assert [r["target"] for r in got] == [1, 0, 1]
-    assert all(r["label_date"] > r["day"] for r in got)
+def irregular(seed=0, sites=4, visits=40):
+    """Own cases: visits at random distances, some without a value, some exactly at the threshold."""
+    rng = random.Random(seed)
+    rows = []
+    for s in range(sites):
+        at = dt.date(2031, 1 + s, 3)
+        for _ in range(visits):
+            rows.append((f"p{s}", at.isoformat(), rng.choice([None, 640.0, 1000.0, 999.5, rng.uniform(0, 2600)])))
+            at += dt.timedelta(days=rng.choice([1, 3, 4, 5, 9, 10, 11, 40]))
+    rng.shuffle(rows)
+    return rows
 
 
-def test_horizon_window_excludes_short_and_long_gaps(spark):
-    df = panel(spark, [("X", "2023-08-01", 1.0), ("X", "2023-08-03", 1.0), ("X", "2023-09-02", 1.0)])
-    assert P.build_targets(df, "site", "day", "v").count() == 0
+def labels_by_hand(rows, threshold=1000, low=4, high=10):
+    out = {}
+    for s in {r[0] for r in rows}:
+        own = sorted((day(d), v) for t, d, v in rows if t == s)
+        for (d, _), (d2, v2) in zip(own, own[1:]):
+            if v2 is not None and low <= (d2 - d).days <= high:
+                out[s, d] = (d2, v2, int(v2 >= threshold))
+    return out
 
 
-def test_threshold_is_inclusive(spark):
-    df = panel(spark, [("X", "2023-08-01", 1.0), ("X", "2023-08-08", 1000.0)])
-    assert P.build_targets(df, "site", "day", "v").first()["target"] == 1
+def test_labels_equal_those_made_by_hand(spark):
+    rows = irregular()
+    want = labels_by_hand(rows)
+    got = {(r["site"], r["day"]): (r["label_date"], r["label_value"], r["target"]) for r in P.build_targets(panel(spark, rows), "site", "day", "v").collect()}
+    assert got == want and any(v == 1000.0 and t == 1 for _, v, t in want.values()) and any(v == 999.5 and t == 0 for _, v, t in want.values())
+    assert {(d2 - d).days for (_, d), (d2, _, _) in want.items()} == {4, 5, 9, 10}
 
 
 def test_missing_next_value_is_not_skipped(spark):
@@ -51,19 +66,22 @@ def test_unknown_code_is_removed(spark):
     assert A.unknown(df, master, "site").first().asDict() == {"site": "5555A44", "row_count": 1}
 
 
-def test_lags_and_past_rolling(spark):
-    df = panel(spark, [("X", f"2023-08-0{i + 1}", 10.0 * (i + 1)) for i in range(5)])
-    got = P.build_features(df, SPEC).toPandas().sort_values("day").reset_index(drop=True)
-    assert got["v_lag1"].isna()[0] and got["v_lag1"][1:].tolist() == [10.0, 20.0, 30.0, 40.0]
-    assert got["v_rollmean2"][3] == 25.0
-    assert pd.isna(got["v_rollstd2"][1]) and got["v_rollstd2"][2] == pytest.approx(50 ** 0.5)
-    assert got["v_delta1"][1:].tolist() == [10.0] * 4
-
-
-def test_days_since_previous(spark):
-    df = panel(spark, [("X", "2023-06-01", 1.0), ("X", "2023-06-08", 1.0), ("X", "2023-06-18", 1.0)])
-    got = P.build_features(df, SPEC).orderBy("day").collect()
-    assert [r["days_since_prev"] for r in got] == [None, 7, 10]
+def test_features_equal_those_made_by_hand(spark):
+    rows = irregular(seed=3)
+    got = {(r["site"], r["day"]): r for r in P.build_features(panel(spark, rows), SPEC).collect()}
+    assert len(got) == len(rows)
+    for s in {r[0] for r in rows}:
+        own = sorted((day(d), v) for t, d, v in rows if t == s)
+        for i, (d, v) in enumerate(own):
+            row = got[s, d]
+            past = [x for _, x in own[:i]]
+            assert row["v_lag1"] == (past[-1] if past else None)
+            assert row["days_since_prev"] == ((d - own[i - 1][0]).days if i else None)
+            assert row["v_delta1"] == (None if not past or past[-1] is None or v is None else v - past[-1])
+            for n in (2, 3):
+                known = [x for x in past[-n:] if x is not None]
+                assert row[f"v_rollmean{n}"] == (pytest.approx(statistics.mean(known)) if known else None)
+                assert row[f"v_rollstd{n}"] == (pytest.approx(statistics.stdev(known)) if len(known) > 1 else None)
 
 
 def test_future_rows_do_not_change_features(spark):

@@ -151,3 +151,35 @@ def test_sample_is_stable(spark):
     df = spark.range(500)
     first = {r[0] for r in P.stable_sample(df, ["id"], 50, 1).collect()}
     assert first == {r[0] for r in P.stable_sample(df.repartition(7), ["id"], 50, 1).collect()} and len(first) == 50
+
+
+def test_seasonal_scores_come_from_sums_of_earlier_years_and_other_folds(spark):
+    import datetime as dt
+    import random
+
+    rng = random.Random(4)
+    rows = [(k, dt.date(2019, 1, 1) + dt.timedelta(days=rng.randrange(1400)), rng.randrange(2), rng.randrange(1, 4)) for k in range(900)]
+    rows = [r for r in rows if not (r[1].year < 2021 and r[1].month == 7)]  # a month without history
+    df = spark.createDataFrame(rows, "site int, day date, y int, fold int")
+
+    def rate(train, month):
+        own = [y for _, d, y, _ in train if d.month == month]
+        return sum(own) / len(own) if own else sum(y for _, _, y, _ in train) / len(train)
+
+    got = {r["site"]: (r["fold"], r["seasonal"]) for r in V.seasonal_scores_by_year(df.drop("fold"), "day", "y", 2021, 10).collect()}
+    want = {k: (d.year, rate([r for r in rows if r[1].year < d.year], d.month)) for k, d, _, _ in rows if d.year >= 2021}
+    assert set(got) == set(want) and all(got[k][0] == want[k][0] and abs(got[k][1] - want[k][1]) < 1e-12 for k in want)
+    got = {r["site"]: r["seasonal"] for r in V.seasonal_scores_by_group(df, "day", "y").collect()}
+    assert all(abs(got[k] - rate([r for r in rows if r[3] != fold], d.month)) < 1e-12 for k, d, _, fold in rows)
+
+
+def test_year_scores_read_their_table_once_for_the_sums(spark, tmp_path):
+    import datetime as dt
+
+    rows = [(k, dt.date(2020 + k % 4, 1 + k % 12, 1), k % 2) for k in range(200)]
+    spark.createDataFrame(rows, "site int, day date, y int").write.parquet(f"{tmp_path}/t")
+    table = spark.read.parquet(f"{tmp_path}/t")
+    scored = V.seasonal_scores_by_year(table, "day", "y", 2021, 10)
+    plan = scored._jdf.queryExecution().optimizedPlan().toString()
+    assert sum("day#" in line and "Relation" in line for line in plan.splitlines()) == 1
+    assert V.year_folds(table, "day", 2021, 10)._jdf.queryExecution().optimizedPlan().toString().count("Relation") == 1

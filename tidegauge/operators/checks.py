@@ -33,10 +33,19 @@ def differing_truth(forecasts: DataFrame, keys: Sequence[str], truth: str) -> Da
     ).filter(F.col("low") != F.col("high"))
 
 
-def wrong_row_counts(forecasts: DataFrame, scenarios: DataFrame, keys: Sequence[str], model: str) -> DataFrame:
-    """Scenario and model pairs whose rows do not match the horizon."""
-    counted = forecasts.groupBy(*keys, model).agg(F.count("*").alias("found"))
-    return counted.join(scenarios.select(*keys, "horizon"), list(keys)).filter(F.col("found") != F.col("horizon"))
+def wrong_row_counts(forecasts: DataFrame, scenarios: DataFrame, keys: Sequence[str], model: str,
+                     models: Sequence[str] | None = None) -> DataFrame:
+    """Scenario and model pairs whose rows do not match the horizon, pairs without any rows among them.
+
+    Every scenario is expected of every one of ``models``; without the list, of every model in ``forecasts`` (their names
+    are few and are listed first).
+    """
+    if models is None:
+        models = sorted(row[0] for row in forecasts.select(model).distinct().collect() if row[0] is not None)
+    frame = scenarios.select(*keys, "horizon").distinct().withColumn(model, F.explode(F.array(*[F.lit(m) for m in models])))
+    counted = forecasts.groupBy(*keys, model).agg(F.count("*").alias("_found"))
+    return frame.join(counted, [*keys, model], "left").withColumn("found", F.coalesce("_found", F.lit(0))).drop("_found").filter(
+        F.col("found") != F.col("horizon"))
 
 
 def broken_quantiles(forecasts: DataFrame, low: str, mid: str, high: str) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, WindowSpec
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from tidegauge.functions.columns import truth
@@ -91,30 +91,58 @@ def own_amount(cycles: DataFrame, keys: Sequence[str], order: str, counter: str,
     return over_series(cycles, keys, [order], build, back=1, max_rows=max_rows)
 
 
+def cell_texts(columns: Sequence[str]) -> Column:
+    """A row's cells as one text in which missing cells and the borders of cells show: NULL is '-', else length:text."""
+    def cell(c: str) -> Column:
+        text = F.col(f"`{c}`").cast("string")
+        return F.when(text.isNull(), F.lit("-")).otherwise(F.concat(F.length(text).cast("string"), F.lit(":"), text))
+
+    return F.concat(*[cell(c) for c in columns])
+
+
 def fingerprints(rows: DataFrame, file: str, order: str, columns: Sequence[str]) -> DataFrame:
-    """Content fingerprint per file: row count and two order-sensitive sums of row hashes.
+    """Content fingerprint per file: row count and two sums over 60 bits each of the rows' MD5.
 
-    The position is hashed with the row, so equal rows in another order give another fingerprint while the
-    sums themselves combine in any order, on the map side. The file name stays outside.
+    The position is digested with the row, so equal rows in another order give another fingerprint while the
+    sums themselves combine in any order, on the map side. Missing cells are marked, so rows whose NULLs trade places
+    differ. The file name stays outside.
     """
-    hashed = F.xxhash64(order, *columns)
-    return rows.groupBy(file).agg(
-        F.count("*").alias("rows"),
-        F.sum(hashed.cast("decimal(38,0)")).alias("hash_sum"),
-        F.bit_xor(F.xxhash64(F.lit(7), order, *columns)).alias("hash_xor"),
-    )
+    digest = F.md5(cell_texts([order, *columns]).cast("binary"))
+
+    def total(first: int) -> Column:
+        return F.sum(F.conv(F.substring(digest, first, 15), 16, 10).cast("decimal(38,0)"))
+
+    return rows.groupBy(file).agg(F.count("*").alias("rows"), total(1).alias("hash_sum"), total(16).alias("hash_rest"))
 
 
-def duplicate_files(prints: DataFrame, file: str) -> DataFrame:
-    """Files whose content an earlier file already has, with that file."""
-    content = ["rows", "hash_sum", "hash_xor"]
-    owners = prints.groupBy(*content).agg(F.min(file).alias("duplicate_of"), F.count("*").alias("_copies"))
+def duplicate_files(prints: DataFrame, file: str, order: str | None = None) -> DataFrame:
+    """Files whose content an earlier file already has, with that file.
+
+    ``order`` is the column that says which file came first (its place, or a date); files of one place, and all without
+    ``order``, go by name.
+    """
+    content = ["rows", "hash_sum", "hash_rest"]
+    place = F.struct(F.col(order).isNull(), order, file) if order else F.struct(file)
+    owners = prints.groupBy(*content).agg(F.min_by(file, place).alias("duplicate_of"), F.count("*").alias("_copies"))
     repeated = owners.filter("_copies > 1").drop("_copies")
     return prints.join(repeated, content).filter(F.col(file) != F.col("duplicate_of")).select(
         F.col(file).alias("duplicate_file"), "duplicate_of"
     )
 
 
+def across_files(cycles: DataFrame, cell: str, file: str, file_order: str, local: str, name: str = "cycle") -> DataFrame:
+    """Number a cell's cycles 1..n through its files: by ``file_order``, then by ``local`` inside a file.
+
+    Cycles are ranked inside their file only; the few files of a cell are then shifted by the cycles of the files
+    before them. A file has one ``file_order``; files of one place go by name.
+    """
+    inside = over_series(cycles, [cell, file], [local], lambda w: {"_place": F.row_number().over(w)})
+    sizes = cycles.groupBy(cell, file).agg(F.min(file_order).alias("_order"), F.count("*").alias("_n"))
+    before = Window.partitionBy(cell).orderBy(F.col("_order").asc_nulls_last(), file).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select(cell, file, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
+    return inside.join(offsets, [cell, file]).withColumn(name, (F.col("_offset") + F.col("_place")).cast("int")).drop("_place", "_offset")
+
+
 def number_cycles(cycles: DataFrame, cell: str, order: Sequence[str], name: str = "cycle",
                   max_rows: int | None = None) -> DataFrame:
     """Gap-free numbering 1..n per cell over (file order, local cycle)."""

@@ -77,5 +77,6 @@ def risk_table(scored: DataFrame, keys: Sequence[str], probability: str, contrib
 
 
 def stable_sample(df: DataFrame, keys: Sequence[str], n: int, seed: int = 0) -> DataFrame:
-    """At most n rows, the same ones on every run."""
-    return df.orderBy(F.xxhash64(F.lit(seed), *keys), *keys).limit(n)
+    """At most n rows, the same ones on every run: those with the least digest of seed and key."""
+    digest = F.md5(F.concat_ws(":", F.lit(seed).cast("string"), *[F.col(k).cast("string") for k in keys]).cast("binary"))
+    return df.orderBy(digest, *keys).limit(n)

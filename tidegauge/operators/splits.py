@@ -2,27 +2,33 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidegauge.functions.columns import ratio
 from tidegauge.operators.ordered import row_numbers, running_totals
 from tidegauge.session import settle
 
 
+def _usable(per_year: DataFrame, start: int, min_test: int) -> DataFrame:
+    """(fold, test_rows) from a small table (year, n)."""
+    first = F.min("year").over(Window.partitionBy())  # one row a year
+    return per_year.withColumn("_first", first).filter(
+        (F.col("year") >= start) & (F.col("n") >= min_test) & (F.col("year") > F.col("_first"))
+    ).select(F.col("year").alias("fold"), F.col("n").alias("test_rows"))
+
+
 def year_folds(dataset: DataFrame, day: str, start: int = 2022, min_test: int = 100) -> DataFrame:
     """One row per usable test year: from ``start`` on, with enough rows and some earlier year to learn from."""
-    sizes = dataset.groupBy(F.year(day).alias("year")).agg(F.count("*").alias("n"))
-    first = dataset.agg(F.min(F.year(day))).scalar()
-    return sizes.filter((F.col("year") >= start) & (F.col("n") >= min_test) & (F.col("year") > first)).select(
-        F.col("year").alias("fold"), F.col("n").alias("test_rows")
-    )
+    return _usable(dataset.groupBy(F.year(day).alias("year")).agg(F.count("*").alias("n")), start, min_test)
 
 
 def year_splits(dataset: DataFrame, day: str, start: int = 2022, min_test: int = 100) -> DataFrame:
     """Expanding-window folds as a long table: every row once per fold it serves, as train or test.
 
-    There are as many folds as years, so they travel as one array instead of a range join.
+    There are as many folds as years, so they travel as one array instead of a range join. Statistics of the train rows
+    need no such table: see ``seasonal_scores_by_year``.
     """
     folds = year_folds(dataset, day, start, min_test).agg(F.collect_list("fold")).scalar()
     own = F.year(day)
@@ -131,13 +137,33 @@ def seasonal_score(train: DataFrame, test: DataFrame, day: str, target: str) ->
     ).drop("_month", "_rate")
 
 
-def seasonal_scores_by_fold(splits: DataFrame, day: str, target: str, fold: str = "fold") -> DataFrame:
-    """The same for a long split table, all folds in one pass: test rows with their fold's seasonal score."""
-    train, test = splits.filter("role = 'train'"), splits.filter("role = 'test'")
-    by_month = train.groupBy(fold, F.month(day).alias("_month")).agg(F.sum(target).alias("_sum"), F.count("*").alias("_n"))
-    overall = by_month.groupBy(fold).agg((F.sum("_sum") / F.sum("_n")).alias("_all"))
-    rates = by_month.select(fold, "_month", (F.col("_sum") / F.col("_n")).alias("_rate"))
-    return (
-        test.withColumn("_month", F.month(day)).join(rates, [fold, "_month"], "left").join(overall, fold, "left")
-        .withColumn("seasonal", F.coalesce("_rate", "_all")).drop("_month", "_rate", "_all")
-    )
+def seasonal_scores_by_year(dataset: DataFrame, day: str, target: str, start: int = 2022, min_test: int = 100) -> DataFrame:
+    """Test rows of all usable years with ``fold`` and their seasonal score: the rate of their month in all earlier years.
+
+    Sums per (year, month) are added up over the years before, so no train row is copied into a fold and the dataset is
+    read once for the sums and once for the test rows.
+    """
+    cells = settle(dataset.groupBy(F.year(day).alias("year"), F.month(day).alias("_month")).agg(
+        F.sum(target).alias("_sum"), F.count("*").alias("n")))
+    earlier = Window.partitionBy("_month").orderBy("year").rangeBetween(Window.unboundedPreceding, -1)
+    years = cells.groupBy("year").agg(F.sum("_sum").alias("_sum"), F.sum("n").alias("n"))
+    before = Window.partitionBy().orderBy("year").rangeBetween(Window.unboundedPreceding, -1)  # one row a year
+    overall = years.select(F.col("year").alias("fold"), (F.sum("_sum").over(before) / F.sum("n").over(before)).alias("_all"))
+    rates = cells.select(F.col("year").alias("fold"), "_month", (F.sum("_sum").over(earlier) / F.sum("n").over(earlier)).alias("_rate"))
+    known = rates.join(overall, "fold").join(_usable(years, start, min_test).select("fold"), "fold", "left_semi")
+    tests = dataset.withColumns({"fold": F.year(day), "_month": F.month(day)})
+    return tests.join(known, ["fold", "_month"]).withColumn("seasonal", F.coalesce("_rate", "_all")).drop("_month", "_rate", "_all")
+
+
+def seasonal_scores_by_group(dataset: DataFrame, day: str, target: str, fold: str = "fold") -> DataFrame:
+    """The same for group folds: every row with its month's rate in the other folds, which is all rows less its own fold's."""
+    cells = settle(dataset.groupBy(fold, F.month(day).alias("_month")).agg(F.sum(target).alias("_sum"), F.count("*").alias("_n")))
+    own, month, every = Window.partitionBy(fold), Window.partitionBy("_month"), Window.partitionBy()  # over folds x 12 rows
+
+    def other(name: str, whole: WindowSpec, part: Column) -> Column:
+        return F.sum(name).over(whole) - part
+
+    rate = ratio(other("_sum", month, F.col("_sum")), other("_n", month, F.col("_n")))
+    overall = ratio(other("_sum", every, F.sum("_sum").over(own)), other("_n", every, F.sum("_n").over(own)))
+    rates = cells.select(fold, "_month", F.coalesce(rate, overall).alias("seasonal"))
+    return dataset.withColumn("_month", F.month(day)).join(rates, [fold, "_month"]).drop("_month")

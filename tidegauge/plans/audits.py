@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidegauge.operators import audit as A
+from tidegauge.operators.ordered import row_numbers
 from tidegauge.operators.preprocess import stable_sample
 from tidegauge.plans import tables as B
 from tidegauge.plans.registry import query
@@ -221,6 +222,12 @@ def rank_correlation_matrix(spark, sf_dir):
     return B.rounded(A.spearman(B.table(spark, sf_dir, "lineitem").select(*MATRIX), PAIRS))
 
 
-@query("seeded_sample")
+@query("seeded_sample", f"WITH {B.SQL_MEASURES} SELECT * FROM measures ORDER BY md5('0:' || event_id), event_id LIMIT 2500")
 def seeded_sample(spark, sf_dir):
     return stable_sample(B.event_measures(spark, sf_dir), ["event_id"], 2500, seed=0)
+
+
+@query("sorted_panel", f"WITH {B.SQL_PANEL} SELECT site, day, value, row_number() OVER (ORDER BY site, day) AS position FROM panel")
+def sorted_panel(spark, sf_dir):
+    """The panel in order of its keys; the order shows as a position, found slice by slice."""
+    return row_numbers(B.event_panel(spark, sf_dir).select("site", "day", "value"), [], ["site", "day"], "position")

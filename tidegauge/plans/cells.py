@@ -127,9 +127,50 @@ def duplicate_files(spark, sf_dir):
     return C.duplicate_files(C.fingerprints(_document_lines(spark, sf_dir), "doc_id", "line_no", ["line"]), "doc_id")
 
 
-@query("content_fingerprints")
+def _cell_sql(c: str) -> str:
+    return f"CASE WHEN {c} IS NULL THEN '-' ELSE length(CAST({c} AS VARCHAR)) || ':' || CAST({c} AS VARCHAR) END"
+
+
+@query("duplicate_files_by_date", """SELECT doc_id AS duplicate_file, owner AS duplicate_of
+FROM (SELECT doc_id, max(doc_id) OVER (PARTITION BY text) AS owner FROM documents WHERE text IS NOT NULL) WHERE doc_id <> owner""")
+def duplicate_files_by_date(spark, sf_dir):
+    """Files that came in the reverse order of their names: the one that came first owns the content."""
+    prints = C.fingerprints(_document_lines(spark, sf_dir), "doc_id", "line_no", ["line"]).withColumn("file_order", -F.col("doc_id"))
+    return C.duplicate_files(prints, "doc_id", "file_order")
+
+
+@query("content_fingerprints", f"""WITH {B.SQL_ROWS},
+digests AS (
+  SELECT cell_id, md5({' || '.join(_cell_sql(c) for c in ('test_time', 'step', 'charge_or_none', 'discharge_or_none'))}) AS d FROM (
+    SELECT cell_id, test_time, step, CASE WHEN step % 2 = 0 THEN charge END AS charge_or_none,
+           CASE WHEN step % 2 = 1 THEN charge END AS discharge_or_none FROM cycler))
+SELECT cell_id, count(*) AS rows, CAST(sum(('0x' || substr(d, 1, 15))::BIGINT) AS VARCHAR) AS hash_sum,
+       CAST(sum(('0x' || substr(d, 16, 15))::BIGINT) AS VARCHAR) AS hash_rest FROM digests GROUP BY 1""")
 def content_fingerprints(spark, sf_dir):
-    return C.fingerprints(B.cycler_rows(spark, sf_dir), "cell_id", "test_time", ["step", "current", "voltage", "charge", "discharge"])
+    """Every row misses one of two cells; which one it is counts."""
+    even = F.col("step") % 2 == 0
+    rows = B.cycler_rows(spark, sf_dir).withColumns({"some": F.when(even, F.col("charge")), "other": F.when(~even, F.col("charge"))})
+    prints = C.fingerprints(rows, "cell_id", "test_time", ["step", "some", "other"])
+    return prints.select("cell_id", "rows", F.col("hash_sum").cast("string").alias("hash_sum"), F.col("hash_rest").cast("string").alias("hash_rest"))
+
+
+@query("cycles_across_files", f"""WITH {SQL_SUMMARY},
+placed AS (
+  SELECT source_file AS cell_id, year(local_cycle) AS year, local_cycle AS day, charge_duration_sec,
+         row_number() OVER (PARTITION BY source_file ORDER BY year(local_cycle), local_cycle) AS cycle FROM summary),
+based AS (
+  SELECT *, CASE WHEN count(charge_duration_sec) OVER p >= 3 THEN median(charge_duration_sec) OVER p END AS med
+  FROM placed WINDOW p AS (PARTITION BY cell_id ORDER BY cycle ROWS BETWEEN 10 PRECEDING AND 1 PRECEDING))
+SELECT cell_id, 'file_' || (9999 - year) AS source_file, day, CAST(cycle AS INT) AS cycle, {r('med', 5)} AS charge_duration_sec_median FROM based""")
+def cycles_across_files(spark, sf_dir):
+    """A cell's cycles come in one file a year, whose names sort backwards; numbers and medians run on from file to file."""
+    year = F.year("local_cycle")
+    cycles = _summary(spark, sf_dir).select(
+        F.col("source_file").alias("cell_id"), F.concat(F.lit("file_"), 9999 - year).alias("source_file"), year.alias("file_order"),
+        "local_cycle", "charge_duration_sec")
+    numbered = C.across_files(cycles, "cell_id", "source_file", "file_order", "local_cycle")
+    based = C.duration_baselines(numbered, "cell_id", "cycle", ["charge_duration_sec"])
+    return B.rounded(based.select("cell_id", "source_file", F.col("local_cycle").alias("day"), "cycle", "charge_duration_sec_median"), 5)
 
 
 @query("processing_summary", f"""WITH {SQL_CYCLE_TABLE},
@@ -239,6 +280,23 @@ def exponential_mean_query(spark, sf_dir):
     return B.rounded(smooth.select("cell_id", "cycle", "ewm"))
 
 
+@query("exponential_mean_with_gaps", f"""WITH RECURSIVE {B.SQL_HEALTH_CYCLES},
+smooth(cell_id, cycle, ewm, weight) AS (
+  SELECT cell_id, cycle, CASE WHEN is_modeling_cycle THEN capacity_ah END, 1.0::DOUBLE FROM cycles WHERE cycle = 1
+  UNION ALL
+  SELECT c.cell_id, c.cycle,
+         CASE WHEN NOT is_modeling_cycle THEN s.ewm WHEN s.ewm IS NULL THEN c.capacity_ah
+              ELSE (0.8::DOUBLE * s.weight * s.ewm + 0.2::DOUBLE * c.capacity_ah) / (0.8::DOUBLE * s.weight + 0.2::DOUBLE) END,
+         CASE WHEN is_modeling_cycle THEN 1.0::DOUBLE ELSE 0.8::DOUBLE * s.weight END
+  FROM smooth s JOIN cycles c ON c.cell_id = s.cell_id AND c.cycle = s.cycle + 1)
+SELECT cell_id, cycle, {r('ewm')} AS ewm FROM smooth""")
+def exponential_mean_with_gaps(spark, sf_dir):
+    """The capacity of excluded cycles counts as missing: their rows stay and weights go on decaying over them."""
+    holed = B.health_cycles(spark, sf_dir).withColumn("known", F.when(F.col("is_modeling_cycle"), F.col("capacity_ah")))
+    smooth = exponential_mean(holed, ["cell_id"], ["cycle"], "known", "ewm", span=9, max_rows=200)
+    return B.rounded(smooth.select("cell_id", "cycle", "ewm"))
+
+
 @query("trailing_median", f"""WITH {B.SQL_HEALTH_CYCLES}
 SELECT cell_id, cycle, {r('median(capacity_ah) OVER (PARTITION BY cell_id ORDER BY cycle ROWS BETWEEN 6 PRECEDING AND CURRENT ROW)')} AS smooth FROM cycles""")
 def trailing_median(spark, sf_dir):

@@ -27,7 +27,7 @@ def _dataset(spark, sf_dir):
 
 
 def _splits(spark, sf_dir):
-    return V.year_splits(_dataset(spark, sf_dir), "day", B.ORDER_START, B.ORDER_MIN_TEST)
+    return V.year_splits(settle(_dataset(spark, sf_dir)), "day", B.ORDER_START, B.ORDER_MIN_TEST)
 
 
 SQL_SPLITS = B.SQL_ORDER_DATASET + f""",
@@ -97,8 +97,9 @@ splits AS (
   FROM dataset d JOIN filled p ON p.site = d.site AND p.rn > 0, (SELECT unnest([1, 2, 3, 4, 5]) AS fold) f),
 {BASELINE_CTES}, {_evaluate_sql('fold, method', 'long')} SELECT * FROM evaluated""")
 def group_fold_metrics(spark, sf_dir):
-    splits = V.site_splits(_dataset(spark, sf_dir), "site")
-    scored = V.seasonal_scores_by_fold(splits, "day", "target").withColumn("persistence", F.coalesce("cur_price", F.lit(0.0)))
+    dataset = settle(_dataset(spark, sf_dir))
+    folded = dataset.join(V.group_folds(dataset, "site").select("site", "fold"), "site")
+    scored = V.seasonal_scores_by_group(folded, "day", "target").withColumn("persistence", F.coalesce("cur_price", F.lit(0.0)))
     scored = scored.withColumn("seasonal", F.round("seasonal", 9))
     return B.rounded(L.fold_metrics(scored, "target", ("persistence", "seasonal")))
 
@@ -117,7 +118,7 @@ def inner_time_validation(spark, sf_dir):
 
 
 def _baselines(spark, sf_dir):
-    scored = V.seasonal_scores_by_fold(_splits(spark, sf_dir), "day", "target")
+    scored = V.seasonal_scores_by_year(settle(_dataset(spark, sf_dir)), "day", "target", B.ORDER_START, B.ORDER_MIN_TEST)
     # rounding keeps equal rates equal whatever order they were summed in
     return scored.withColumn("persistence", F.coalesce("cur_price", F.lit(0.0))).withColumn("seasonal", F.round("seasonal", 9))
 
@@ -298,6 +299,42 @@ def risk_table(spark, sf_dir):
     return P.risk_table(_fitted(spark, sf_dir).withColumn("p", p), ["site", "day"], "p", SCALED)
 
 
+FEATURES = {  # more features than a row of the risk table names
+    "price": "cur_price", "urgency": "CAST(0.5 AS DOUBLE) * cur_urgency", "horizon": "horizon_days",
+    "month": "(month(day) - 6) / CAST(10 AS DOUBLE)", "code": "(kind_code - 3) / CAST(4 AS DOUBLE)",
+}
+
+
+def _named_top_sql() -> str:
+    cells = ", ".join(f"{{'w': -abs({c}), 'p': {i}, 't': '{c}(' || CASE WHEN {c} > 0 THEN '+' ELSE '-' END || ')'}}" for i, c in enumerate(FEATURES))
+    return f"array_to_string(list_transform(list_sort([{cells}])[1:3], lambda x: x.t), ', ')"
+
+
+@query("risk_table_of_five", f"""WITH {SQL_FITTED},
+named AS (SELECT site, day, {', '.join(f'round({sql}, 9) AS {c}' for c, sql in FEATURES.items())} FROM fitted),
+scored AS (SELECT *, 1 / (1 + exp(-price - 0.2 * urgency)) AS p FROM named)
+SELECT site, day, round_even(p, 3) AS prob, {_named_top_sql()} AS top_features FROM scored ORDER BY p DESC, site, day LIMIT 15""")
+def risk_table_of_five(spark, sf_dir):
+    """Five contributions a row, of which the table names the three strongest."""
+    named = _fitted(spark, sf_dir).select("site", "day", *[F.round(F.expr(sql), 9).alias(c) for c, sql in FEATURES.items()])
+    p = 1 / (1 + F.exp(-F.col("price") - F.lit(0.2) * F.col("urgency")))
+    return P.risk_table(named.withColumn("p", p), ["site", "day"], "p", tuple(FEATURES))
+
+
+@query("feature_leakage_found", f"""WITH {B.SQL_PANEL},
+{panels.FEATURE_SQL},
+later AS (SELECT site, day, CASE WHEN day >= DATE '2024-01-15' THEN value * 3 ELSE value END AS value, temp FROM panel),
+{panels.FEATURE_SQL.replace('features AS', 'altered AS').replace('FROM panel', 'FROM later')}
+SELECT site, day, 1 AS surplus FROM (SELECT * FROM features WHERE day <= DATE '2024-01-15' EXCEPT ALL SELECT * FROM altered WHERE day <= DATE '2024-01-15')""")
+def feature_leakage_found(spark, sf_dir):
+    """The same check where the day itself is altered too: the rows of that day must show."""
+    cutoff = F.lit("2024-01-15").cast("date")
+    panel = settle(B.event_panel(spark, sf_dir))
+    altered = panel.withColumn("value", F.when(F.col("day") >= cutoff, F.col("value") * 3).otherwise(F.col("value")))
+    before, after = (build_features(p, B.EVENT_SPEC) for p in (panel, altered))
+    return leaked_rows(before, after, "day", cutoff).filter("surplus > 0").select("site", "day", "surplus")
+
+
 @query("feature_leakage", f"""WITH {B.SQL_PANEL},
 {panels.FEATURE_SQL},
 later AS (SELECT site, day, CASE WHEN day > DATE '2024-01-15' THEN value * 3 ELSE value END AS value, temp FROM panel),
@@ -314,12 +351,9 @@ def feature_leakage(spark, sf_dir):
 
 # --- fitted models ---
 
-ROUNDS = 5
-
-
 def _learner(dataset) -> L.Learner:
     inputs = [c for c in model_inputs(dataset, "site", "day") if c not in ("kind", "basin")]
-    return L.Learner(numeric=tuple(inputs), categorical=("kind", "basin"), rounds=ROUNDS, depth=4, step=0.1)
+    return L.Learner(numeric=tuple(inputs), categorical=("kind", "basin"), patience=8, depth=4, step=0.1)
 
 
 def _folds(dataset):
@@ -363,23 +397,68 @@ def feature_set_ablation(spark, sf_dir):
     ))
 
 
-@query("served_stages")
-def served_stages(spark, sf_dir):
-    """Two production models are fitted, stored, loaded again and asked for every customer's latest row."""
+def _stage_models(spark, sf_dir):
+    """Two production models fitted, stored as a pair with their cards, and loaded again."""
     dataset = settle(B.order_dataset(spark, sf_dir))
     learner = _learner(dataset)
     path = f"{ensure_checkpoint_dir(spark)}/models/{uuid.uuid4().hex}"
-    models = []
-    for name, threshold in zip(("low", "high"), B.ORDER_STAGES):
-        labelled = dataset.withColumn("reached", (F.col("label_value") >= threshold).cast("int"))
-        model = L.train_production(labelled, learner, "reached", ["day", "site"])
-        L.save_model(model, f"{path}/{name}", labelled, learner, "reached", "day")
-        models.append(L.load_model(spark, f"{path}/{name}")[0])
+    models = [L.train_production(dataset.withColumn("reached", (F.col("label_value") >= t).cast("int")), learner, "reached", ["day", "site"])
+              for t in B.ORDER_STAGES]
+    scored = L.probability(models[0], dataset, learner, "p")
+    metrics = S.evaluate(scored, [], "target", "p").first().asDict()
+    L.save_stage_models(models, path, dataset, learner, "label_value", "day", B.ORDER_STAGES,
+                        metrics={k: metrics[k] for k in ("pr_auc", "roc_auc") if metrics[k] is not None})
+    loaded, card = L.load_stage_models(spark, path)
+    return dataset, learner, loaded, card, path
+
+
+@query("served_stages")
+def served_stages(spark, sf_dir):
+    """Every customer's latest row, put to the stored stage models."""
+    dataset, learner, models, _, _ = _stage_models(spark, sf_dir)
     latest = latest_rows(dataset, ["site"], ["day"])
     served = L.serve_stages(latest, *models, learner, label="label_value", thresholds=B.ORDER_STAGES)
     return served.select("site", "day", "p_low", "p_high", "stage", "actual_stage", "hit")
 
 
+@query("served_history", f"""WITH {B.SQL_ORDER_DATASET}
+SELECT site, day, {_stage('label_value')} AS actual_stage, true AS agrees FROM dataset""")
+def served_history(spark, sf_dir):
+    """Every labelled past row beside its actual stage; stage, probabilities and hit must agree with each other."""
+    dataset, learner, models, _, _ = _stage_models(spark, sf_dir)
+    served = L.serve_stages(dataset, *models, learner, label="label_value", thresholds=B.ORDER_STAGES)
+    stage = (F.col("p_low") >= 0.5).cast("int") + (F.col("p_high") >= 0.5).cast("int")
+    agrees = (F.col("p_high") <= F.col("p_low")) & F.col("p_low").between(0, 1) & (F.col("stage") == stage) & (F.col("hit") == (F.col("stage") == F.col("actual_stage")))
+    return served.select("site", "day", "actual_stage", agrees.alias("agrees"))
+
+
+@query("stage_model_cards", f"""WITH {B.SQL_ORDER_DATASET}
+SELECT stage, count(*) AS n_train_rows, CAST(min(day) AS VARCHAR) AS date_from, CAST(max(day) AS VARCHAR) AS date_to,
+       round(avg(CAST(label_value >= threshold AS INT)), 4) AS positive_rate, count(*) FILTER (label_value >= threshold) AS positives, true AS has_metrics
+FROM dataset, (VALUES (1, {B.ORDER_STAGES[0]}), (2, {B.ORDER_STAGES[1]})) t(stage, threshold) GROUP BY stage""")
+def stage_model_cards(spark, sf_dir):
+    """What the cards of the stored pair say of its training rows."""
+    _, _, _, pair, path = _stage_models(spark, sf_dir)
+    out = None
+    for i in (1, 2):
+        card = L.load_model(spark, f"{path}/stage_{i}")[1]
+        one = card.select(F.lit(i).alias("stage"), "n_train_rows", "date_from", "date_to", "positive_rate",
+                          F.lit({"cv_pr_auc", "cv_roc_auc", "features", "seed", "rounds"} <= set(card.columns)).alias("has_metrics"))
+        one = one.crossJoin(pair.select(F.col(f"rows_from_{i}").alias("positives")))  # one row each
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query("out_of_fold_rows_by_site", GREEDY_SQL + """
+SELECT d.site, d.day, p.pick AS fold, d.target, coalesce(cur_price, 0) AS persistence, true AS scored FROM dataset d JOIN filled p ON p.site = d.site AND p.rn > 0""")
+def out_of_fold_rows_by_site(spark, sf_dir):
+    """The classifier over site folds: every row is scored once, by the model that has not seen its site."""
+    dataset = settle(B.order_dataset(spark, sf_dir))
+    folded = dataset.join(V.group_folds(dataset, "site").select("site", "fold"), "site")
+    oof = L.cross_validate(folded, V.group_conditions(5), _learner(dataset), "target", "day", "site", "cur_price")
+    return oof.select("site", "day", "fold", "target", "persistence", F.col("model").between(0, 1).alias("scored"))
+
+
 @query("served_baseline_stages", f"""WITH {B.SQL_ORDER_DATASET},
 latest AS (SELECT * FROM dataset QUALIFY row_number() OVER (PARTITION BY site ORDER BY day DESC) = 1)
 SELECT site, day, {_stage('cur_price')} AS stage, {_stage('label_value')} AS actual_stage, ({_stage('cur_price')}) = ({_stage('label_value')}) AS hit FROM latest""")
@@ -396,3 +475,10 @@ def feature_importance(spark, sf_dir):
     learner = _learner(dataset)
     model = L.train_boosted(dataset, learner, "target", ["day", "site"])
     return L.importance(model, spark)
+
+
+@query("boosting_loss_curve")
+def boosting_loss_curve(spark, sf_dir):
+    """Validation loss of every round tried, and which rounds the model keeps."""
+    dataset = settle(B.order_dataset(spark, sf_dir))
+    return L.loss_curve(L.tune_boosted(dataset, _learner(dataset), "target", ["day", "site"]), spark)
