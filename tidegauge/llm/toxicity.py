@@ -180,11 +180,15 @@ def train(docs: DataFrame, labels: DataFrame, options: Toxicity = Toxicity()) ->
     chosen = marks.where(place < F.when(F.col("toxic") == 1, share[1]).when(F.col("toxic") == 0, share[0]).otherwise(0))
     # the sample is bounded by its parameter
     sample = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id").select("doc_id", "toxic", "text")
-    frame = sample.mapInArrow(_featurised(options), "doc_id long, toxic int, features array<int>, sentence array<int>").toArrow().sort_by([("doc_id", "ascending"), ("toxic", "ascending")])
+    featured = sample.mapInArrow(_featurised(options), "doc_id long, toxic int, features array<int>, sentence array<int>")
+    frame = featured.orderBy("doc_id", "toxic").toArrow()
     rows = [(y, f, s) for y, f, s in zip(frame.column("toxic").to_pylist(), _arrays(frame.column("features")), _arrays(frame.column("sentence")))]
     lift = [1 / max(share[k], 1e-9) for k in (0, 1)]
     mean = sum(totals.values()) / max(1e-9, sum(totals.get(k, 0) * share[k] for k in (0, 1))) if totals else 1.0
-    return fit(rows, (lift[0] / mean, lift[1] / mean), options)
+    model = fit(rows, (lift[0] / mean, lift[1] / mean), options)
+    del frame, rows
+    pa.default_memory_pool().release_unused()  # the driver has other work to do
+    return model
 
 
 def _arrays(column: pa.ChunkedArray) -> Iterator[np.ndarray]:
