@@ -148,21 +148,20 @@ def _count_batches(batches: Iterator[pa.RecordBatch], size: int, bits, limit: in
             yield counted(texts, langs)
 
 
-def _filter_places(batches: Iterator[pa.RecordBatch], n_bits: int) -> Iterator[pa.RecordBatch]:
+def _filter_places(batches: Iterator[pa.RecordBatch], size: int, n_bits: int) -> Iterator[pa.RecordBatch]:
+    """Places in the filter of phrases (lang, phrase) that all have ``size`` words."""
     for batch in batches:
-        place = []
-        for lang, phrase in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            size = phrase.count(" ") + 1
-            place.append(_Words([phrase.encode()], [lang]).hashes(size)[0])
-        both = np.concatenate(_places(np.array(place, dtype=np.uint64), n_bits)).astype(np.int64)
-        yield pa.record_batch([pa.array(both, pa.int64())], ["place"])
+        if batch.num_rows:
+            words = _Words([p.encode() for p in batch.column(1).to_pylist()], batch.column(0).to_pylist())
+            both = np.concatenate(_places(words.hashes(size)[::size], n_bits)).astype(np.int64)
+            yield pa.record_batch([pa.array(both, pa.int64())], ["place"])
 
 
-def _filter(frequent: DataFrame, most_bits: int):
-    """Broadcast bit filter over the phrases of ``frequent``; its size follows their number up to ``most_bits``."""
+def _filter(frequent: DataFrame, size: int, most_bits: int):
+    """Broadcast bit filter over the phrases of ``frequent``, of ``size`` words; as large as their number asks, up to ``most_bits``."""
     wanted = 16 * max(frequent.count(), 64)
     n_bits = min(most_bits, 1 << int(wanted - 1).bit_length())
-    places = frequent.select("lang", "phrase").mapInArrow(partial(_filter_places, n_bits=n_bits), "place long")
+    places = frequent.select("lang", "phrase").mapInArrow(partial(_filter_places, size=size, n_bits=n_bits), "place long")
     one = F.expr("shiftleft(1L, cast(place & 63 as int))")
     rows = places.groupBy(F.shiftright("place", 6).alias("word")).agg(F.bit_or(one).alias("bits")).toPandas()
     bits = np.zeros(n_bits // 64, dtype=np.int64)
@@ -188,7 +187,7 @@ def phrase_counts(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, m
             bits.destroy()
         out = counted if out is None else out.unionByName(counted)
         if size < longest:
-            bits = _filter(counted.where("size > 0"), most_bits)
+            bits = _filter(counted.where("size > 0"), size, most_bits)
     return out
 
 
