@@ -11,6 +11,8 @@ SMALL = "/root/testdata/sf0.001"
 CHOSEN = (
     "assembled_dataset", "order_gap_buckets", "column_profile", "cycle_quality_flags", "fade_summary", "group_folds",
     "quantile_decision_metrics", "stage_metrics", "nearest_station", "matched_coordinates", "measurement_records", "sink_parity",
+    "landed_cycler_files", "landed_measurements", "content_fingerprints", "cycles_across_files", "exponential_mean_with_gaps",
+    "group_fold_metrics", "rank_correlation_matrix", "ridge_on_cycle", "missing_forecast_rows", "feature_leakage_found",
 )
 pytestmark = pytest.mark.skipif(not os.path.isdir(SMALL), reason="test tables are not here")
 
