@@ -73,7 +73,9 @@ def _pairs(token: Column) -> Column:
     letters = F.array(*[F.lit(c) for c in ALPHABET])
     code = lambda i: F.coalesce(F.array_position(letters, F.substring(token, i, F.lit(1))), F.lit(0)).cast("int")
     codes = F.concat(F.array(F.lit(0)), F.transform(F.sequence(F.lit(1), F.length(token)), code), F.array(F.lit(0)))
-    return F.transform(F.sequence(F.lit(0), F.length(token)), lambda i: F.get(codes, i) * n + F.get(codes, i + 1))
+    # a lambda's argument is worked out once, what it captures for every element again
+    bound = F.transform(F.array(codes), lambda c: F.transform(F.sequence(F.lit(0), F.size(c) - 2), lambda i: F.get(c, i) * n + F.get(c, i + 1)))
+    return F.get(bound, F.lit(0))
 
 
 def train(docs: DataFrame, options: Secrets = Secrets(), doc_id: str = "doc_id", text: str = "text", samples: DataFrame | None = None) -> list[float]:
