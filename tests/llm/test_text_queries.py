@@ -9,7 +9,7 @@ from check import TABLES, canonical
 
 SMALL = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SMALL), reason="test tables are not here")
-WITH_SQL = ("op3_url_filters", "op6_ngram_jaccard_join", "op8_line_dedup", "op10_mixing_sources")
+WITH_SQL = ("op3_url_filters", "op6_ngram_jaccard_join", "op8_line_dedup", "op10_mixing_sources", "op11_phrase_collocations", "op13_warc")
 
 
 @pytest.mark.parametrize("name", WITH_SQL)
@@ -24,9 +24,9 @@ def test_query_equals_its_sql(spark, name):
     assert list(got.columns) == list(want.columns) and got.equals(want)
 
 
-def test_ten_operators_and_the_pipeline_are_registered():
+def test_all_operators_and_the_pipeline_are_registered():
     names = spark_entry.queries()
-    assert [sum(n.startswith(f"op{k}_") for n in names) for k in range(1, 11)] == [1] * 10 and "pipeline" in names
+    assert [sum(n.startswith(f"op{k}_") for n in names) for k in range(1, 14)] == [1] * 13 and "pipeline" in names
 
 
 def test_pipeline_stages_only_take_rows_away(spark):
