@@ -466,12 +466,9 @@ def smoothed_target_ridge(spark, sf_dir):
 
 @query("smoothed_target_models")
 def smoothed_target_models(spark, sf_dir):
-    """Recursive forecasts with whole features: ridge of all targets, forests of the exponential mean."""
+    """Recursive ridge forecasts of the same targets, with their whole features."""
     long, plans = _named_targets(spark, sf_dir)
-    ridge = M.ridge_forecasts(long, plans, "target", "series_id", strict=False)
-    slotted = plans.withColumn("slot", F.concat_ws("/", "target_name", F.regexp_extract("scenario_id", r"(pre_\d+|lead\d+)", 1)))
-    forest = M.forest_forecasts(long, slotted.filter("target_name = 'capacity_ewm_span_9'"), value="target", cell="series_id").drop("slot")
-    return _variant_errors(ridge.unionByName(forest), long)
+    return _variant_errors(M.ridge_forecasts(long, plans, "target", "series_id", strict=False), long)
 
 
 @query("ridge_forecasts")
