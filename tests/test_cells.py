@@ -238,6 +238,17 @@ def test_baselines_run_no_window_over_the_series(spark):
     assert "Window" not in plan and "CartesianProduct" not in plan
 
 
+def test_tables_that_grow_with_the_cells_are_not_broadcast(spark, tmp_path):
+    rows = [r for i in range(2) for r in fading(seed=i, cell=f"c{i}")]
+    series_of(spark, rows).write.parquet(f"{tmp_path}/series")
+    series = spark.read.parquet(f"{tmp_path}/series")
+    S.rolling_scenarios(series, min_train=60).write.parquet(f"{tmp_path}/scenarios")
+    scenarios = spark.read.parquet(f"{tmp_path}/scenarios")
+    for forecasts in (M.ridge_forecasts(series, scenarios), M.ridge_forecasts(series, scenarios, strict=False), M.baseline_forecasts(series, scenarios)):
+        plan = M.with_truth(forecasts, series)._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 def test_both_percentage_errors(spark):
     df = spark.createDataFrame([(0.0, 0.0), (1.0, 3.0)], "a double, p double")
     percent = df.agg(*E.error_columns("a", "p")).first()

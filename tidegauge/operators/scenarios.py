@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidegauge.operators.ordered import over_series, row_numbers
+from tidegauge.session import shuffled
 
 MIN_TRAIN_ROWS = 180
 HORIZONS = (10, 20, 30)
@@ -72,7 +73,7 @@ def rolling_scenarios(
         F.col(cell).alias("_cell"), F.col("pos").alias("_pos"), F.col(cycle).alias("_cycle"),
         F.col(capacity).alias("_capacity"), F.col("soh").alias("_soh"),
     )
-    seen = spots.join(rows, (F.col(cell) == F.col("_cell")) & (F.col("spot.at") == F.col("_pos")))
+    seen = spots.join(shuffled(rows), (F.col(cell) == F.col("_cell")) & (F.col("spot.at") == F.col("_pos")))
     key = [cell, "scenario_type", "number", "origin_position", "horizon", "rul_lead_horizon",
            "true_eol_cycle", "confirm", "threshold", "eol_pos"]
 
@@ -93,7 +94,7 @@ def rolling_scenarios(
     inside = F.size(F.filter("_run", lambda p: (p > F.col("origin_position")) & (p <= end)))
     usual_id = F.format_string("pre_%02d_o%d_h%d", "number", "forecast_origin", "horizon")
     crossing_id = F.format_string("eol_o%d_lead%d_h%d", "forecast_origin", "rul_lead_horizon", "horizon")
-    return placed.join(run, cell).select(
+    return placed.join(shuffled(run), cell).select(
         F.when(F.col("scenario_type") == "eol_crossing", crossing_id).otherwise(usual_id).alias("scenario_id"),
         "scenario_type", cell, "origin_position", "forecast_origin", "origin_capacity_ah", "origin_soh",
         (F.col("origin_soh") < F.col("threshold")).alias("origin_below_threshold"),

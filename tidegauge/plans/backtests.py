@@ -14,7 +14,7 @@ from tidegauge.operators.ordered import exponential_mean
 from tidegauge.plans import tables as B
 from tidegauge.plans.registry import query
 from tidegauge.plans.tables import r
-from tidegauge.session import settle
+from tidegauge.session import settle, shuffled
 
 SCENARIO_COLUMNS = (
     "scenario_id", "scenario_type", "cell_id", "origin_position", "forecast_origin", "origin_capacity_ah", "origin_soh",
@@ -408,7 +408,7 @@ def target_variants(spark, sf_dir):
         named.select("series_id", "pos", "target"), plans, "target", "series_id", window=10, models=("Persistence", "MovingAverage")
     )
     aimed = forecasts.withColumn("pos", F.col("origin_position") + F.col("step"))
-    scored = aimed.join(long, ["cell_id", "target_name", "pos"])
+    scored = aimed.join(shuffled(long), ["cell_id", "target_name", "pos"])
     return B.rounded(scored.groupBy("target_name", "scenario_type", "model_name").agg(
         F.count("*").alias("n"), F.avg(F.abs(F.col("y_pred") - F.col("target"))).alias("own_mae"),
         F.avg(F.abs(F.col("y_pred") - F.col("capacity_ah"))).alias("raw_mae"),
@@ -427,7 +427,7 @@ def _named_targets(spark, sf_dir):
 
 def _variant_errors(forecasts, long):
     scored = forecasts.withColumn("pos", F.col("origin_position") + F.col("step")).join(
-        long.select("series_id", "pos", "target", "capacity_ah"), ["series_id", "pos"])
+        shuffled(long.select("series_id", "pos", "target", "capacity_ah")), ["series_id", "pos"])
     return B.rounded(scored.groupBy("target_name", "scenario_type", "model_name").agg(
         F.count("*").alias("n"), *E.error_columns("target", "y_pred", "own_", percent=False),
         *E.error_columns("capacity_ah", "y_pred", "raw_", percent=False)))
