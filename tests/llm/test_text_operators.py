@@ -160,6 +160,23 @@ def test_leaks_are_found_and_clean_texts_left(spark, corpus):
     assert decontaminate.find_leaks(docs_of(spark, []), bench).count() == 0
 
 
+def test_latent_space_counts_the_passages_of_all_documents(spark):
+    rng = random.Random(5)
+    vocabulary = {w.encode(): k for k, w in enumerate("abcdefg")}
+    rows = [(i, " ".join(rng.choice("abcdefgxyz") for _ in range(rng.randrange(60)))) for i in range(1500)] + [(2000, None)]
+    want = Counter()
+    for _, text in rows:
+        words = (text or "").split()
+        for start in range(0, len(words), 16):
+            seen = Counter(vocabulary[w.encode()] for w in words[start:start + 16] if w.encode() in vocabulary)
+            want.update({(a, b): seen[a] * seen[b] for a in seen for b in seen if a <= b})
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    known = spark.sparkContext.broadcast(vocabulary)
+    got = docs.mapInArrow(decontaminate._corpus_counts(known, decontaminate.Leaks()), decontaminate.COUNTS).groupBy("first", "second").sum("n").collect()
+    assert {(a, b): n for a, b, n in got if b >= 0} == want
+    assert {a: n for a, b, n in got if b < 0} == {len(vocabulary): 1501} | {k: sum(w.decode() in (t or "") for _, t in rows) for w, k in vocabulary.items()}
+
+
 def test_common_subsequence_equals_the_table_of_prefixes():
     rng = random.Random(2)
     for _ in range(50):

@@ -1,7 +1,8 @@
 """Finding benchmark items in documents, paraphrased ones too, by latent semantic retrieval.
 
 Documents are cut into short overlapping passages, weighted by TF-IDF. The latent space comes from a randomised
-singular value decomposition of passages over the benchmark's vocabulary. A passage whose weight lies largely in that
+singular value decomposition of all documents' passages over the benchmark's vocabulary: how often two words share a
+passage is counted exactly, and those counts are multiplied, partition by partition. A passage whose weight lies largely in that
 vocabulary is compared with all items by cosine in the latent space; for each hit the longest common subsequence of the
 item and the surrounding words decides, together with a check that the item's end, its answer, is there as well.
 
@@ -24,13 +25,13 @@ from tidegauge.plans.registry import Query
 from tidegauge.session import settle
 
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
-SAMPLE_TASKS = 4
+PAIRS_KEPT = 2_000_000  # pairs of words that a task holds before it passes them on
 _MARKS = b""".,;:!?"'()[]{}|%*&#$<>"""
 
 
 @dataclass(frozen=True)
 class Leaks:
-    """Parameters. ``sample_docs`` bounds what the latent space is fitted on; every passage is searched."""
+    """Parameters. The latent space is fitted on the passages of all documents, and every passage is searched."""
 
     window: int = 16
     stride: int = 8
@@ -41,7 +42,6 @@ class Leaks:
     answer_share: float = 0.2
     block_items: int = 256
     block_words: int = 64_000
-    sample_docs: int = 1000
     seed: int = 7
 
 
@@ -69,12 +69,24 @@ def _windows(ends: np.ndarray, window: int, stride: int) -> tuple[np.ndarray, np
     return text, first, np.minimum(first + window, ends[text])
 
 
-def _document_counts(vocabulary):
-    """How many documents hold each word of the vocabulary; one row a word and task, the last for all documents."""
+COUNTS = "first int, second int, n long"
+
+
+def _corpus_counts(vocabulary, options: Leaks):
+    """How many documents hold each word of the vocabulary (``second`` -1; the last word: all documents), and how often two
+    words, ``first`` <= ``second``, share a passage, by occurrences."""
+
+    def rows(first: np.ndarray, second: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(first.astype(np.int32)), pa.array(second.astype(np.int32)), pa.array(n)], names=["first", "second", "n"])
+
+    def merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+        codes, at = np.unique(np.concatenate([c for c, _ in parts]), return_inverse=True)
+        return codes, np.bincount(at, weights=np.concatenate([n for _, n in parts]), minlength=len(codes)).astype(np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = vocabulary.value
-        counts = np.zeros(len(known) + 1, dtype=np.int64)
+        counts, span = np.zeros(len(known) + 1, dtype=np.int64), len(known) + 1
+        parts, held_pairs = [], 0
         for _, texts in chunks(batches):
             ids, ends = _word_ids(texts, known)
             owner = np.repeat(np.arange(len(ends)), np.diff(ends, prepend=0))
@@ -82,12 +94,37 @@ def _document_counts(vocabulary):
             pairs = np.unique(owner[held] * np.int64(len(known)) + ids[held])
             counts[:-1] += np.bincount(pairs % len(known), minlength=len(known))
             counts[-1] += len(texts)
+            _, first, last = _windows(ends, options.window, options.window)
+            parts.append(np.unique(_pair_codes(*_passage_rows(ids, first, last), span), return_counts=True))
+            held_pairs += len(parts[-1][0])
+            if held_pairs > PAIRS_KEPT:
+                parts = [merged(parts)]
+                held_pairs = len(parts[0][0])
+                if held_pairs > PAIRS_KEPT // 2:
+                    yield rows(parts[0][0] // span, parts[0][0] % span, parts[0][1])
+                    parts, held_pairs = [], 0
         at = np.nonzero(counts)[0]
-        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(counts[at])], names=["word", "n"])
+        yield rows(at, np.full(len(at), -1), counts[at])
+        if parts:
+            codes, n = merged(parts)
+            yield rows(codes // span, codes % span, n)
 
     return run
 
 
+def _pair_codes(words: np.ndarray, row: np.ndarray, span: int) -> np.ndarray:
+    """first * span + second for each two occurrences in one passage, an occurrence with itself included. Two occurrences
+    of the same word count in both orders."""
+    words, out = words.astype(np.int64), [words.astype(np.int64) * (span + 1)]
+    for apart in range(1, len(words)):
+        same = np.flatnonzero(row[apart:] == row[:-apart])
+        if not len(same):
+            break
+        a, b = words[same], words[same + apart]
+        out += [np.minimum(a, b) * span + np.maximum(a, b), a[a == b] * (span + 1)]
+    return np.concatenate(out)
+
+
 def _passage_rows(ids: np.ndarray, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Positions of the words of the given passages, and the passage of each."""
     size = last - first
@@ -108,19 +145,21 @@ def _project(words: np.ndarray, row: np.ndarray, n: int, idf: np.ndarray, basis:
     return out
 
 
-def _gram_times(vocabulary, weights, basis, options: Leaks):
-    """The passages' Gram matrix times ``basis``, summed over a task's sample documents: one row a word."""
+def _gram_times(weights, basis):
+    """The passages' Gram matrix, given by its counted entries, times ``basis``: one row a word of a task's entries."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         idf, q = weights.value, basis.value
-        total = np.zeros(q.shape, dtype=np.float32)
-        for _, texts in chunks(batches, limit=256 << 10):
-            ids, ends = _word_ids(texts, vocabulary.value)
-            _, first, last = _windows(ends, options.window, options.window)
-            words, row = _passage_rows(ids, first, last)
-            _add_gram(total, words, row, len(first), idf, q)
+        total = np.zeros(q.shape)
+        for batch in batches:
+            first, second, n = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(3))
+            entry, order = n * idf[first].astype(np.float64) * idf[second], np.argsort(first, kind="stable")
+            for start in range(0, len(order), 20_000):
+                o = order[start : start + 20_000]
+                edges = np.flatnonzero(np.diff(first[o], prepend=-1))
+                total[first[o][edges]] += np.add.reduceat(q[second[o]] * entry[o, None], edges, axis=0)
         at = np.flatnonzero(total.any(axis=1))
-        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(list(total[at]), pa.list_(pa.float32()))], names=["word", "row"])
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(list(total[at]), pa.list_(pa.float64()))], names=["word", "row"])
 
     return run
 
@@ -191,7 +230,7 @@ def _search(model, options: Leaks):
 
 
 def _summed(parts: DataFrame, shape: tuple[int, int]) -> np.ndarray:
-    """Add the rows of the ``SAMPLE_TASKS`` tasks, of the vocabulary's size each, word by word."""
+    """Add up rows word by word; a word's entries lie in one task, so there are about as many rows as words."""
     out = np.zeros(shape)
     for batch in parts.toArrow().to_batches():
         np.add.at(out, batch.column(0).to_numpy(), batch.column(1).flatten().to_numpy().reshape(batch.num_rows, -1))
@@ -202,10 +241,10 @@ def _find_block(docs: DataFrame, items: list[tuple[int, list[bytes]]], options:
     context = docs.sparkSession.sparkContext
     vocabulary = {w: k for k, w in enumerate(sorted({w for _, words in items for w in words}))}
     known = context.broadcast(vocabulary)
-    counted = docs.mapInArrow(_document_counts(known), "word int, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    counted = settle(docs.mapInArrow(_corpus_counts(known, options), COUNTS).groupBy("first", "second").agg(F.sum("n").alias("n")))
     df = np.zeros(len(vocabulary) + 1)
-    for row in counted.toLocalIterator():
-        df[row.word] = row.n
+    for row in counted.where("second < 0").toLocalIterator():
+        df[row.first] = row.n
     n_docs = df[-1]
     idf = np.log((n_docs + 1) / (df[:-1] + 0.5)).clip(0.05).astype(np.float32)
     unknown = float(np.log((n_docs + 1) / 0.5))
@@ -216,12 +255,12 @@ def _find_block(docs: DataFrame, items: list[tuple[int, list[bytes]]], options:
     rank = min(len(vocabulary), len(sequences))
     basis = np.random.default_rng(options.seed).standard_normal((len(vocabulary), min(len(vocabulary), rank + 8))).astype(np.float32)
     weights = context.broadcast(idf)
-    share = min(1.0, options.sample_docs / max(1.0, n_docs))
-    sample = settle(docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(share * 1_000_000)).repartition(SAMPLE_TASKS))
+    pairs = counted.where("second >= 0")
+    entries = pairs.unionByName(pairs.where("first < second").select(F.col("second").alias("first"), F.col("first").alias("second"), "n")).repartition("first")
     product = basis
     for _ in range(2):
         basis = np.linalg.qr(product)[0].astype(np.float32)
-        of_docs = _summed(sample.mapInArrow(_gram_times(known, weights, context.broadcast(basis), options), "word int, row array<float>"), basis.shape)
+        of_docs = _summed(entries.mapInArrow(_gram_times(weights, context.broadcast(basis)), "word int, row array<double>"), basis.shape)
         of_items = np.zeros(basis.shape, dtype=np.float32)
         _add_gram(of_items, ids, row, len(sequences), idf, basis)
         # items count as much as the passages of the corpus, so that the space keeps them apart
