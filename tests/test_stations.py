@@ -66,3 +66,12 @@ def test_precise_match_priority(spark):
         "site_code string, site_name string, survey_location string")
     got = {r["site_code"]: r["lat"] for r in S.match_precise(sites, S.network_lookups(points)).collect()}
     assert got == {"P1": 1.0, "Q": 2.0, "R": 1.0, "S": None, "T": None}
+
+
+def test_a_task_gets_a_bounded_number_of_points(spark, monkeypatch):
+    monkeypatch.setattr(S, "SPOTS_PER_TASK", 20)
+    points = spark.createDataFrame([(i, 35 + i * 0.01, 127 + i * 0.013) for i in range(100)], "p int, lat double, lon double")
+    stations = spark.createDataFrame([(1, 35.0, 127.0), (2, 35.9, 128.1)], "stn int, lat double, lon double")
+    got = S.nearest_station(points, stations, "stn", "stn")
+    assert "hashpartitioning(_spot#" in (plan := got._jdf.queryExecution().executedPlan().toString()) and "REPARTITION_BY_NUM" in plan
+    assert {r["p"]: r["stn"] for r in got.collect() if not 40 <= r["p"] <= 50} == {i: 1 if i < 45 else 2 for i in range(100) if not 40 <= i <= 50}

@@ -19,6 +19,7 @@ GRID_BITS = 24
 LEVEL_BITS = 2
 LEAF_STATIONS = 64
 SLACK = 1e-9
+SPOTS_PER_TASK = 4000  # each meets up to 64 cells at the first level
 
 
 def core_name(name: Column, words: Sequence[str] = FACILITY_WORDS) -> Column:
@@ -162,13 +163,16 @@ def nearest_station(
     depth = _leaf_depth(places)
 
     px, py, pz = unit_vector(F.col("_plat"), F.col("_plon"))
-    spots = points.select(F.col(lat).alias("_plat"), F.col(lon).alias("_plon")).dropna().distinct()
+    spots = settle(points.select(F.col(lat).alias("_plat"), F.col(lon).alias("_plon")).dropna().distinct().withColumn("_spot", F.monotonically_increasing_id()))
+    # sized by their few bytes, some tasks would get all spots and sort all their pairs with cells and stations
+    tasks = max(1, -(-spots.count() // SPOTS_PER_TASK))
+    spots = spots.repartition(tasks, "_spot")
     spots = spots.select("*", px.alias("px"), py.alias("py"), pz.alias("pz"))
     # at most 64 cells exist at the first level, whatever the station count
     roots = _boxes(places, LEVEL_BITS).agg(F.collect_list(F.struct("*"))).scalar()
     candidates = spots.withColumn("box", F.explode(roots))
-    point = ["_plat", "_plon", "px", "py", "pz"]
-    best = Window.partitionBy("_plat", "_plon")
+    point = ["_spot", "_plat", "_plon", "px", "py", "pz"]
+    best = Window.partitionBy("_spot")
     for level in range(LEVEL_BITS, depth + 1, LEVEL_BITS):
         if level > LEVEL_BITS:
             children = _boxes(places, level)
@@ -185,7 +189,7 @@ def nearest_station(
         _cell([F.col("_x"), F.col("_y"), F.col("_z")], depth).alias("_parent"), "_slat", "_slon", "_order", "_station"
     )
     distance = great_circle_km(F.col("_plat"), F.col("_plon"), F.col("_slat"), F.col("_slon"))
-    found = candidates.join(leaves, "_parent").groupBy("_plat", "_plon").agg(
+    found = candidates.repartition(tasks, "_parent").join(leaves.repartition(tasks, "_parent"), "_parent").groupBy("_spot", "_plat", "_plon").agg(
         F.min_by(F.struct("_station", distance.alias("_km")), F.struct(distance.alias("d"), F.col("_order"))).alias("_hit")
     )
     return points.join(found, (F.col(lat) == F.col("_plat")) & (F.col(lon) == F.col("_plon")), "left").select(
