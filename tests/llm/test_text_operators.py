@@ -454,3 +454,17 @@ def test_margins_are_met_and_draws_follow_probabilities(spark):
 def test_digest_of_no_span_is_that_of_the_empty_text(spark):
     row = spark.createDataFrame([(1,)], "a int").select(F.sha2(secrets._listed(secrets._none()), 256).alias("d")).first()
     assert row.d == hashlib.sha256(b"").hexdigest()
+
+
+def test_next_tokens_are_counted_for_states_only():
+    import numpy as np
+    import pyarrow as pa
+
+    from tidegauge.llm import suffix_tree as T
+
+    class Shared:
+        value = (pa.array([b"a", b"b", b"c"], pa.large_binary()), [np.array([0, 1]), np.array([1])])  # span 5: "a", "b", and "b a"
+
+    batch = pa.RecordBatch.from_arrays([pa.array(["b a c b a", "c a b"], pa.string())], names=["text"])
+    rows = [tuple(r.values()) for out in T._count_next(Shared)(iter([batch])) for r in out.to_pylist()]
+    assert sorted(rows) == [(0, 2, 1), (0, 4, 1)]  # "b a" before c and before the end

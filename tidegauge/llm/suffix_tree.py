@@ -129,22 +129,23 @@ def _walk(tokens: _Tokens, states: list[np.ndarray]) -> Iterator[tuple[int, np.n
         yield k, key, state
 
 
-COUNTS = "context long, symbol int, n long"
+COUNTS = "state long, symbol int, n long"
 
 
-def _count_contexts(shared):
-    """Next-token counts of the contexts one word longer than the states known; other tokens than listed ones are -1."""
+def _count_next(shared):
+    """Next-token counts of the states of the last level known; other tokens than listed ones are -1."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         listed, states = shared.value
         for _, texts in chunks(batches):
             tokens = _Tokens(texts, listed)
-            for k, key, _ in _walk(tokens, states):
-                if k <= len(states):
+            for k, _, state in _walk(tokens, states):
+                if k < len(states):
                     continue
-                use = np.flatnonzero(key >= 0)
-                both, n = np.unique(key[use] * (tokens.span + 1) + tokens.ids[use] + 1, return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(both // (tokens.span + 1)), pa.array((both % (tokens.span + 1) - 1).astype(np.int32)), pa.array(n)], names=["context", "symbol", "n"])
+                use = np.flatnonzero(state >= 0)
+                both, n = np.unique(state[use] * (tokens.span + 1) + tokens.ids[use] + 1, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(both // (tokens.span + 1)), pa.array((both % (tokens.span + 1) - 1).astype(np.int32)), pa.array(n)], names=["state", "symbol", "n"])
+                break
 
     return run
 
@@ -180,6 +181,25 @@ class Model:
         return np.where(tokens.place > 0, np.log10(p), 0.0)
 
 
+def _longer(counted: DataFrame, keys: np.ndarray, following: np.ndarray, after: np.ndarray, span: int, least: float) -> tuple[pd.DataFrame, np.ndarray, np.ndarray]:
+    """The contexts one word longer than the states of ``keys`` that occur at least ``least`` times.
+
+    Such a context is a state and its next word, and both it without its last word and it without its first word are as
+    frequent. So the counts of next tokens already tell all of them, and only their next tokens need to be counted.
+    ``following`` and ``after`` lead from a state one word shorter and its next word to the state of both.
+    """
+    often = counted.where((F.col("n") >= least) & F.col("symbol").between(0, span - 3)).toPandas()  # at most 1 / frequency rows
+    state, word = often["state"].to_numpy(dtype=np.int64), often["symbol"].to_numpy(dtype=np.int64)
+    suffix = after[_in_sorted(keys[state] // span * span + word, following)] if len(often) else state
+    key = suffix * span + keys[state] % span
+    order, pair = np.argsort(key), state * span + word
+    place = np.empty(len(order), dtype=np.int64)
+    place[order] = np.arange(len(order))
+    by_pair = np.argsort(pair)
+    frame = pd.DataFrame({"context": key[order], "total": often["n"].to_numpy(dtype=np.int64)[order]})
+    return frame, pair[by_pair], place[by_pair]
+
+
 def grow_tree(rows: DataFrame, words: DataFrame, totals: Totals, tree: Tree = Tree()) -> Model:
     """Train on the texts of ``rows``; ``words`` (word, n) has the numbers of all their words."""
     spark = rows.sparkSession
@@ -194,26 +214,30 @@ def grow_tree(rows: DataFrame, words: DataFrame, totals: Totals, tree: Tree = Tr
     shorter = spark.createDataFrame([(0, i, float(n), float(totals.tokens)) for i, n in [*known, (-1, rest)] if n > 0], "state long, symbol int, _n double, _total double")
     states: list[np.ndarray] = []
     levels: list[tuple[pd.DataFrame, DataFrame]] = []
-    for _ in range(tree.depth):
-        shared = context.broadcast((listed, states))
-        counted = settle(rows.select("text").mapInArrow(_count_contexts(shared), COUNTS).groupBy("context", "symbol").agg(F.sum("n").alias("n")))
-        shared.destroy()
-        other = F.col("symbol") < 0
-        sums = counted.groupBy("context").agg(
-            F.sum("n").alias("total"), F.sum(F.when(other, F.col("n")).otherwise(1)).alias("types")).where(F.col("total") >= share(tree.frequency))
-        frame = sums.orderBy("context").toPandas()  # at most 1 / frequency rows
+    least = share(tree.frequency)
+    # every word is followed by a token, so a word or text counts as often as the context it begins
+    begins = [(i, n) for i, n in [*known[:-1], (span - 2, totals.texts)] if n >= least]
+    frame = pd.DataFrame(begins, columns=["context", "total"], dtype=np.int64)
+    following, after = frame["context"].to_numpy(), np.arange(len(frame))  # state and next word, and the state they lead to
+    for depth in range(tree.depth):
         if frame.empty:
             break
         frame["state"] = np.arange(len(frame))
-        numbered = spark.createDataFrame(frame[["context", "state", "total"]])
-        level = settle(counted.join(F.broadcast(numbered), "context").select("state", F.floor(F.col("context") / span).alias("parent"), "symbol", "n", "total"))
+        states = [*states, frame["context"].to_numpy(dtype=np.int64)]
+        shared = context.broadcast((listed, states))
+        counted = settle(rows.select("text").mapInArrow(_count_next(shared), COUNTS).groupBy("state", "symbol").agg(F.sum("n").alias("n")))
+        shared.destroy()
+        numbered = spark.createDataFrame(frame[["state", "context", "total"]])
+        level = counted.join(F.broadcast(numbered), "state").select("state", F.floor(F.col("context") / span).alias("parent"), "symbol", "n", "total")
         parents = shorter.withColumnRenamed("state", "parent")
-        gains = level.join(parents, ["parent", "symbol"]).groupBy("state").agg(
-            F.sum(F.col("n") * F.log((F.col("n") / F.col("total")) / (F.col("_n") / F.col("_total")))).alias("gain")).toPandas()
-        frame["gain"] = frame["state"].map(gains.set_index("state")["gain"]).fillna(0.0)
+        facts = level.join(parents, ["parent", "symbol"], "left").groupBy("state").agg(
+            F.sum(F.col("n") * F.log((F.col("n") / F.col("total")) / (F.col("_n") / F.col("_total")))).alias("gain"),
+            F.sum(F.when(F.col("symbol") < 0, F.col("n")).otherwise(1)).alias("types")).toPandas().set_index("state")
+        frame["gain"], frame["types"] = frame["state"].map(facts["gain"]).fillna(0.0), frame["state"].map(facts["types"])
         levels.append((frame, level))
-        states = [*states, frame["context"].to_numpy(dtype=np.int64)]
         shorter = level.select("state", "symbol", F.col("n").cast("double").alias("_n"), F.col("total").cast("double").alias("_total"))
+        if depth + 1 < tree.depth:
+            frame, following, after = _longer(counted, states[-1], following, after, span, least)
 
     # a state keeps its suffixes
     kept = [frame["gain"].to_numpy() >= tree.gain for frame, _ in levels]
