@@ -276,3 +276,12 @@ def test_forecast_with_missing_health_predicts_nothing(spark):
     keys = ["cell_id", "scenario_id", "model_name"]
     assert D.predicted_eol(df, keys, {"e": "h"}).first()["e"] is None
     assert D.predicted_eol(df, keys, {"e": "h"}, strict_nulls=False).first()["e"] == 4
+
+
+def test_fits_of_slots_run_side_by_side(spark):
+    import threading
+
+    from tidegauge.session import side_by_side
+
+    met = threading.Barrier(3, timeout=20)  # passes only if all three wait at once
+    assert side_by_side(spark, [lambda i=i: (met.wait(), spark.range(i).count())[1] for i in (3, 1, 2)]) == [3, 1, 2]
