@@ -359,6 +359,53 @@ def test_tree_scores_equal_brute_force_and_probabilities_add_up(spark):
         assert sum(r.score for r in held) > sum(r.base_score for r in held) + 50
 
 
+def test_rare_next_tokens_and_rare_words_count_for_their_states(spark):
+    rng = random.Random(12)
+    words = [w for _ in range(30) for w in rng.choices(SYLLABLES, k=200)]
+    for k in range(0, len(words) - 40, 40):  # a word that is always followed by the same two, the second seen a few times in all
+        words[k:k + 3] = ["lead", "follow", "Odd%d" % (k // 160)]
+    rows = [(k, " ".join(words[k * 60:k * 60 + 60]), "en", "a") for k in range(100)] + [(2, " ".join(words[120:180]), "en", "a"), (200, None, "en", "a"), (201, "lead follow odd1 never lead odd1", "en", "a")]
+    train = (F.col("doc_id") % 3 != 0) & (F.col("doc_id") < 200)
+    learned = [["<", *(t or "").lower().split(), ">"] for i, t, *_ in rows if i % 3 and i < 200]
+    single = Counter(w for ts in learned for w in ts[1:])
+    n, v = sum(single.values()), len(single)
+    for tree in (suffix_tree.Tree(frequency=1e-3, frequent=8e-4, sent=4e-3, gain=1.0), suffix_tree.Tree(frequency=1e-3, frequent=8e-4, gain=1.0)):
+        kept, *_ = brute_tree(tree, [ts[1:-1] for ts in learned])
+        assert ("follow",) in kept and {len(c) for c in kept} == {1, 2, 3}
+        after = {c: Counter(ts[j] for ts in learned for j in range(len(c), len(ts)) if tuple(ts[j - len(c):j]) == c) for c in kept}
+        often = {w for w, c in single.items() if c >= tree.frequent * n}
+
+        def probability(before, w):
+            p = (single[w] + 0.1) / (n + 0.1 * (v + 1))
+            for k in range(1, tree.depth + 1):
+                own = after.get(tuple(before[-k:]))
+                if len(before) < k or own is None:
+                    break
+                types = sum(1 if x in often else m for x, m in own.items())
+                p = (own[w] + types * p) / (sum(own.values()) + types)
+            return p
+
+        want = {}
+        for i, t, *_ in rows:
+            ts = ["<", *(t or "").lower().split(), ">"]
+            want[i] = sum(math.log10(probability(ts[:j], ts[j])) for j in range(1, len(ts)))
+        got = suffix_tree.score_texts(docs_of(spark, rows), train, tree).collect()
+        assert len(got) == len(rows)
+        for r in got:
+            assert r.score == pytest.approx(want[r.doc_id], rel=1e-9), r
+        assert probability(["<", "lead", "follow"], "odd1") > 10 * single["odd1"] / n
+
+
+def test_groups_of_sorted_batches_are_not_split():
+    import pyarrow as pa
+
+    names = ["a", "a", "b", "b", "b", "b", "b", "c", "d", "d"]
+    for cuts in ([0, 1, 2, 10], [0, 4, 5, 6, 7, 8, 10], [0, 2, 2, 7, 10], [0, 10]):
+        batches = [pa.RecordBatch.from_arrays([pa.array(names[a:b], pa.string())], names=["met"]) for a, b in zip(cuts, cuts[1:])]
+        out = [b.column(0).to_pylist() for b in suffix_tree._whole_groups(iter(batches))]
+        assert sum(out, []) == names and all(x[-1] != y[0] for x, y in zip(out, out[1:]))
+
+
 def test_nothing_to_learn_from(spark, corpus):
     out = suffix_tree.score_texts(docs_of(spark, corpus), F.lit(False))
     assert out.count() == len(corpus) and out.where("train_tokens <> 0 or n_known <> 0").count() == 0

@@ -7,9 +7,10 @@ the shorter states, down to the smoothed shares of single tokens, so probabiliti
 
 States are numbered level by level: a context is its parent state (the context without its first word) and that first
 word, so its key is exact. Contexts hold frequent words only, at most ``1 / frequent``; a level has at most
-``1 / frequency`` states and ``1 / entry`` stored next tokens. What a state has seen beyond those counts for the
-shorter state. The tree is therefore of bounded size however large the corpus, and is sent to the tasks that score. The
-shares of rarer words have no such bound: texts meet them in a join.
+``1 / frequency`` states. States and the next tokens they have seen often, at most ``1 / sent`` a level, are sent to the
+tasks that score, and are of bounded size however large the corpus. Rarer words and rarer next tokens of a state have no
+such bound: all their occurrences, of training texts and others, meet by a shuffle, where they are counted and scored.
+Each such group is small, as it holds only what is rare.
 """
 
 from __future__ import annotations
@@ -43,7 +44,8 @@ class Tree:
 
     depth: int = 3
     frequency: float = 1e-5  # of a context
-    entry: float = 2e-6  # of a context with a next token
+    entry: float = 0.0  # of a context with a next token, for the context to tell it from those never seen after it; 0: all are told
+    sent: float = 2e-6  # of a context with a next token that is sent to the tasks; rarer ones are counted where they meet
     frequent: float = 2e-6  # of a word in a context
     least: int = 2  # occurrences of any of these
     gain: float = 12.0  # least divergence of a context from its suffix, in nats over all its occurrences
@@ -166,19 +168,49 @@ class Model:
     total: list[np.ndarray]
     keys: list[np.ndarray]
     counts: list[np.ndarray]
-
-    def log10_tokens(self, tokens: _Tokens) -> np.ndarray:
-        """log10 probability of each token; of one that is not listed, what is to be added to its base."""
+    whole: bool  # whether next tokens that are not stored may have been seen too
+
+    def offsets(self) -> np.ndarray:
+        """What is added to the states of each level to number them through."""
+        return np.cumsum([0, *map(len, self.states)])
+
+    def suffixes(self) -> list[np.ndarray]:
+        """For each level and state of any level, numbered through: its suffix of that level (itself included), -1 without one."""
+        offsets, levels = self.offsets(), len(self.states)
+        out = [np.full(offsets[-1], -1, dtype=np.int64) for _ in range(levels)]
+        for k in range(levels):
+            own = slice(offsets[k], offsets[k + 1])
+            out[k][own] = np.arange(offsets[k], offsets[k + 1])
+            for j in range(k):
+                out[j][own] = out[j][offsets[k - 1] + self.states[k] // (len(self.listed) + 2)]
+        return out
+
+    def log10_tokens(self, tokens: _Tokens) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """log10 probability of each token, and what is missing to tell it.
+
+        That is the first level whose count is not known here (0: none), the state of that level, the last state, numbered
+        through, and the probability by the levels before. Of a word that is not listed, the logarithm is to be added to its
+        base, and the first level is 1.
+        """
         p = np.where(tokens.ids >= 0, 10 ** self.base[tokens.ids], 1.0)
+        first = ((tokens.ids < 0) & (tokens.place > 0)).astype(np.int32)
+        at_first, last = np.full(len(p), -1, dtype=np.int64), np.full(len(p), -1, dtype=np.int32)
+        offsets = self.offsets()
         for k, _, state in _walk(tokens, self.states):
             if k > len(self.states):
                 break
             at = np.flatnonzero((state >= 0) & self.kept[k - 1][np.maximum(state, 0)]) if len(self.states[k - 1]) else np.zeros(0, dtype=np.int64)
             found = _in_sorted(state[at] * tokens.span + tokens.ids[at], self.keys[k - 1])
             found = np.where(tokens.ids[at] >= 0, found, -1)
+            if self.whole:
+                last[at] = offsets[k - 1] + state[at]
+                new = at[(found < 0) & (first[at] == 0)]
+                first[new], at_first[new] = k, state[new]
+                at, found = at[first[at] == 0], found[first[at] == 0]
             n = np.where(found >= 0, self.counts[k - 1][np.maximum(found, 0)] if len(self.counts[k - 1]) else 0.0, 0.0)
             p[at] = (n + self.shorter[k - 1][state[at]] * p[at]) / self.total[k - 1][state[at]]
-        return np.where(tokens.place > 0, np.log10(p), 0.0)
+        log = np.where((tokens.place > 0) & ((first == 0) | (not self.whole)), np.log10(p), 0.0)
+        return log, first, at_first, last, p
 
 
 def _longer(counted: DataFrame, keys: np.ndarray, following: np.ndarray, after: np.ndarray, span: int, least: float) -> tuple[pd.DataFrame, np.ndarray, np.ndarray]:
@@ -246,22 +278,24 @@ def grow_tree(rows: DataFrame, words: DataFrame, totals: Totals, tree: Tree = Tr
     left, total, keys, counts = [], [], [], []
     for (frame, level), keep in zip(levels, kept):
         chosen = spark.createDataFrame(pd.DataFrame({"state": np.flatnonzero(keep)}), "state long")
-        stored = level.where((F.col("symbol") >= 0) & (F.col("n") >= share(tree.entry))).join(F.broadcast(chosen), "state", "left_semi")
-        entries = stored.select("state", "symbol", "n").toPandas()  # at most 1 / entry rows
+        stored = level.where((F.col("symbol") >= 0) & (F.col("n") >= share(tree.entry or tree.sent))).join(F.broadcast(chosen), "state", "left_semi")
+        entries = stored.select("state", "symbol", "n").toPandas()  # at most 1 / entry or 1 / sent rows
         key = entries["state"].to_numpy(dtype=np.int64) * span + entries["symbol"].to_numpy(dtype=np.int64)
         order, n = np.argsort(key), entries["n"].to_numpy(dtype=np.float64)
         keys.append(key[order]), counts.append(n[order])
         own = np.bincount(entries["state"].to_numpy(dtype=np.int64), weights=n, minlength=len(frame))
         whole, types = frame["total"].to_numpy(dtype=np.float64), frame["types"].to_numpy(dtype=np.float64)
-        left.append(types + whole - own), total.append(whole + types)
-    return Model(listed, base, states, kept, left, total, keys, counts)
+        left.append(types + whole - own if tree.entry else types), total.append(whole + types)
+    return Model(listed, base, states, kept, left, total, keys, counts, not tree.entry)
 
 
-PAIRS = "key long, word string, times int, own struct<doc_id:long,n_tokens:long,n_known:long,base:double,score:double>"
+OWN = "doc_id long, n_tokens long, n_known long, base double, score double"
+#: A group (a rarer word, or a state and a rarer next token) and what a text has of it after one last state; or a text alone.
+MET = f"met string, first int, last int, p double, key long, times int, learned int, own struct<{OWN}>"
 
 
 def _text_words(shared, totals: Totals):
-    """A row for each text and rarer word, and one with what the listed words, the end and the tree give."""
+    """A row for each text, rarer word or next token, and last state; and one with what the task itself can tell of the text."""
     own_type = pa.struct([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()), ("score", pa.float64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -269,25 +303,94 @@ def _text_words(shared, totals: Totals):
         end_known = int(totals.texts > 0)
         for batch, texts in chunks(batches):
             ids = batch.column(0).to_pylist()
+            train = batch.column(batch.schema.get_field_index("train")).to_numpy(zero_copy_only=False).astype(np.int32)
             tokens = _Tokens(texts, model.listed)
             predicted, here = tokens.place > 0, len(texts)
             listed = predicted & (tokens.ids >= 0)
-            score = np.bincount(tokens.text, weights=model.log10_tokens(tokens), minlength=here)
+            log, first, at_first, last, p = model.log10_tokens(tokens)
+            score = np.bincount(tokens.text, weights=log, minlength=here)
             base = np.bincount(tokens.text[listed], weights=model.base[tokens.ids[listed]], minlength=here)
             n_tokens = np.bincount(tokens.text[predicted], minlength=here)
             n_known = np.bincount(tokens.text[listed], minlength=here) - 1 + end_known
             key = np.array([int.from_bytes(hashlib.blake2b(b"%r" % i + b" " + t, digest_size=8).digest(), "big") >> 1 for i, t in zip(ids, texts)], dtype=np.int64)
-            # rarer words: the number of each in each text
-            rare = np.flatnonzero(tokens.ids[(tokens.place > 0) & (tokens.ids != tokens.end)] < 0)
-            both, times = np.unique(tokens.word_of[rare] * max(1, len(tokens.spelled.dictionary)) + tokens.spelled.indices.to_numpy()[rare].astype(np.int64), return_counts=True)
-            text, word = both // max(1, len(tokens.spelled.dictionary)), both % max(1, len(tokens.spelled.dictionary))
+            # what is missing: the number of each word, or state and next token, with each last state in each text
+            spelling = np.full(len(first), -1, dtype=np.int64)
+            spelling[predicted & (tokens.ids != tokens.end)] = tokens.spelled.indices.to_numpy()
+            rare = np.flatnonzero(first > 0)
+            group = np.where(tokens.ids[rare] < 0, -1 - spelling[rare], at_first[rare] * tokens.span + tokens.ids[rare])
+            order = np.lexsort((last[rare], group, first[rare], tokens.text[rare]))
+            rare, group = rare[order], group[order]
+            new = np.ones(len(rare), dtype=bool)
+            new[1:] = (np.diff(group) != 0) | (np.diff(last[rare]) != 0) | (np.diff(first[rare]) != 0) | (np.diff(tokens.text[rare]) != 0)
+            starts = np.flatnonzero(new)
+            times, rare, group = np.diff(np.append(starts, len(rare))), rare[starts], group[starts]
+            # marks of texts and of next tokens hold a blank, so they are no words; those of texts spread over the tasks
+            named = pc.binary_join_element_wise("", pa.array(first[rare]).cast(pa.string()), pa.array(group).cast(pa.string()), " ").cast(pa.large_binary())
+            words = tokens.spelled.dictionary.take(pa.array(np.maximum(spelling[rare], 0))) if len(tokens.spelled.dictionary) else pa.nulls(len(rare), pa.large_binary())
+            met = pc.if_else(pa.array(group < 0), words, named)
+            marks = pa.array([b" %d" % k for k in key], pa.large_binary())
             own = pa.array([{"doc_id": i, "n_tokens": int(a), "n_known": int(b), "base": float(c), "score": float(d)} for i, a, b, c, d in zip(ids, n_tokens, n_known, base, score)], own_type)
-            marks = pa.array([b" %d" % k for k in key], pa.large_binary())  # no word, and spread over the tasks of the join
-            words = pa.concat_arrays([marks, tokens.spelled.dictionary.take(pa.array(word))]).cast(pa.large_string()).cast(pa.string())
+            text, none = tokens.text[rare], np.zeros(here, dtype=np.int32)
             place = np.concatenate([np.arange(here), np.full(len(text), -1)])
+            filled = lambda values, kind: pa.array(np.concatenate([none, values]).astype(kind))
+            yield pa.RecordBatch.from_arrays(
+                [pa.concat_arrays([marks, met]).cast(pa.large_string()).cast(pa.string()), filled(np.where(group < 0, -1, first[rare]), np.int32), filled(last[rare], np.int32),
+                 filled(p[rare], np.float64), pa.array(np.concatenate([key, key[text]])), filled(times, np.int32), filled(times * train[text], np.int32), own.take(pa.array(place, mask=place < 0))],
+                names=["met", "first", "last", "p", "key", "times", "learned", "own"])
+
+    return run
+
+
+def _whole_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches sorted by ``met``, cut anew so that none of its groups is split."""
+    rest: list[pa.RecordBatch] = []  # rows of the last group met
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        name = batch.column(0)
+        if rest and rest[0].column(0)[0].as_py() != name[0].as_py():
+            yield pa.concat_batches(rest)
+            rest = []
+        cut = pc.index(pc.equal(name, name[-1]), pa.scalar(True)).as_py()  # where the last group starts
+        if cut:
+            yield pa.concat_batches([*rest, batch.slice(0, cut)])
+            rest = []
+        rest.append(batch.slice(cut))
+    if rest:
+        yield pa.concat_batches(rest)
+
+
+def _sum_of(group: np.ndarray, state: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """For each row the sum of ``n`` over the rows of its group and state."""
+    _, which = np.unique(group * (state.max(initial=0) + 1) + state, return_inverse=True)
+    return np.bincount(which, weights=n)[which] if len(which) else n
+
+
+SCORED = f"key long, own struct<{OWN}>, known long, base double, score double"
+
+
+def _score_met(shared, totals: Totals):
+    """What each text gets for its rarer words and next tokens, from groups that stand together."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model: Model = shared.value
+        suffixes = model.suffixes()
+        shorter, total = (np.concatenate([*x, [0.0]]) for x in (model.shorter, model.total))
+        for batch in _whole_groups(batches):
+            first, last, p, key, times, learned = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(1, 7))
+            named = batch.column(0).dictionary_encode().indices.to_numpy().astype(np.int64)
+            n = np.bincount(named, weights=learned)[named]
+            word = first < 0
+            base = np.where(word, totals.base(n), 0.0)
+            p = np.where(word, 10 ** base, np.where(first > 0, p, 1.0))
+            for k, suffix in enumerate(suffixes, 1):
+                at = np.flatnonzero((first != 0) & (first <= k) & (last >= 0))
+                at = at[suffix[last[at]] >= 0]
+                state = suffix[last[at]]
+                p[at] = (_sum_of(named[at], state, learned[at]) + shorter[state] * p[at]) / total[state]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate([key, key[text]])), words, pa.array(np.concatenate([np.zeros(here), times]).astype(np.int32)), own.take(pa.array(place, mask=place < 0))],
-                names=["key", "word", "times", "own"])
+                [pa.array(key), batch.column(7), pa.array(np.where(word & (n > 0), times, 0).astype(np.int64)), pa.array(base * times), pa.array(np.log10(p) * times)],
+                names=["key", "own", "known", "base", "score"])
 
     return run
 
@@ -307,14 +410,11 @@ def score_texts(docs: DataFrame, train, tree: Tree = Tree(), doc_id: str = "doc_
     totals = Totals((sums.tokens or 0) + texts, (sums.distinct or 0) + int(texts > 0), texts)
     model = grow_tree(rows.where("train"), words, totals, tree)
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    pairs = rows.select("doc_id", "text").mapInArrow(_text_words(shared, totals), PAIRS)
-    share = F.log10((F.coalesce("n", F.lit(0)) + 0.1) / F.lit(totals.tokens + 0.1 * (totals.distinct + 1)))
-    joined = pairs.join(words, "word", "left").withColumn("base", share)
-    times = F.col("times")
-    gathered = joined.groupBy("key").agg(
+    met = rows.mapInArrow(_text_words(shared, totals), MET).repartition("met").sortWithinPartitions("met")
+    gathered = met.mapInArrow(_score_met(shared, totals), SCORED).groupBy("key").agg(
         F.max("own.doc_id").alias("doc_id"), F.max("own.n_tokens").alias("n_tokens"), F.count("own").alias("rows"),
-        F.sum(F.when(F.col("own").isNotNull(), F.col("own.n_known")).when(F.col("n") > 0, times).otherwise(0)).alias("n_known"),
-        F.sum(F.coalesce(F.col("own.base"), F.col("base") * times)).alias("base_score"), F.sum(F.coalesce(F.col("own.score"), F.col("base") * times)).alias("score"))
+        F.sum(F.coalesce("own.n_known", "known")).alias("n_known"),
+        F.sum(F.coalesce("own.base", "base")).alias("base_score"), F.sum(F.coalesce("own.score", "score")).alias("score"))
     # equal rows share a key and a sum
     return gathered.select(
         "doc_id", "n_tokens", (F.col("n_known") / F.col("rows")).cast("long").alias("n_known"), F.lit(totals.tokens).cast("long").alias("train_tokens"),
