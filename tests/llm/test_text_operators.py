@@ -230,6 +230,21 @@ def test_base_counts_equal_brute_force(spark, corpus):
         assert want in got[i], (i, want, got[i])
 
 
+def test_no_pattern_runs_twice_over_a_text(spark):
+    counts = quality._class_counts(F.col("t"))
+    assert str(counts).lower().count("regexp_count(") == len(quality.CLASSES) - 1
+    assert spark.createDataFrame([("a B#",)], "t string").select(counts.alias("c")).first().c == [1, 1, 0, 1, 0, 1, 0]
+
+
+def test_slots_hold_one_word_as_a_rule(spark):
+    words = sorted("w%d" % k for k in range(150))
+    salt, mask, levels = quality._word_index(spark, words)
+    rows = spark.createDataFrame([(w, k) for k, w in enumerate(words)], "w string, k int")
+    slot = F.xxhash64("w", salt).bitwiseAND(mask).cast("int")
+    assert len(levels) == 1 and rows.where(F.get(levels[0], slot) != F.col("k")).count() == 0
+    assert len(quality._word_index(spark, [])[2]) == 1
+
+
 def test_texts_far_from_every_language_go(spark):
     rng = random.Random(6)
     rows = [(k, prose(rng, 120), "en", "a") for k in range(40)] + [(90, " ".join(w + "%%%" for w in prose(rng, 120).split()), "en", "a"), (91, prose(rng, 130), None, "a")]
@@ -406,6 +421,18 @@ def test_groups_of_sorted_batches_are_not_split():
         assert sum(out, []) == names and all(x[-1] != y[0] for x, y in zip(out, out[1:]))
 
 
+def test_sketch_of_a_task_is_small_and_counts_every_gram():
+    import pyarrow as pa
+
+    rng = random.Random(15)
+    texts = [prose(rng, 120) for _ in range(300)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(300), pa.int64()), pa.array(texts, pa.string())], names=["doc_id", "text"])
+    rows = [r for out in ngram_join._sets_and_sketch(5)(iter([batch])) for r in out.to_pylist()]
+    blobs = [r["cells"] for r in rows if r["block"] is not None]
+    assert sum(int(ngram_join._unpacked(b).sum()) for b in blobs) == sum(r["n_shingles"] or 0 for r in rows)
+    assert ngram_join.CELLS >= 1 << 22 and sum(map(len, blobs)) < 1 << 20
+
+
 def test_nothing_to_learn_from(spark, corpus):
     out = suffix_tree.score_texts(docs_of(spark, corpus), F.lit(False))
     assert out.count() == len(corpus) and out.where("train_tokens <> 0 or n_known <> 0").count() == 0
