@@ -13,6 +13,7 @@ enumerated. That last step is complete, so no link between components is missed.
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,8 +26,8 @@ from tidegauge.llm.common import chunks, small, table, words_of
 from tidegauge.plans.registry import Query
 from tidegauge.session import settle
 
-CELLS = 1 << 20  # cells of the sketch; it takes 4 MB whatever the corpus holds
-BLOCK = 1 << 14
+CELLS = 1 << 22  # cells of the sketch; it takes 16 MB whatever the corpus holds
+BLOCK = 1 << 16
 FRAGMENTS = 8
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
 
@@ -70,13 +71,22 @@ def _at_least(percent: int, size: np.ndarray | int) -> np.ndarray | int:
 SETS = "doc_id long, n_shingles long, node long, block int, part int, cells binary"
 
 
+def _packed(cells: np.ndarray) -> bytes:
+    """Counts of a block; most are small, and a task fills few of its cells more than once."""
+    return zlib.compress(cells.tobytes(), 1)
+
+
+def _unpacked(blob: bytes) -> np.ndarray:
+    return np.frombuffer(zlib.decompress(blob), dtype=np.int32)
+
+
 def _sets_and_sketch(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cells = np.zeros(CELLS, dtype=np.int32)
         part = 0
         for batch, texts in chunks(batches):
             grams = _gram_sets(texts, width)
-            np.add(cells, np.bincount((np.concatenate(grams) & np.uint64(CELLS - 1)).astype(np.int64), minlength=CELLS), out=cells, casting="unsafe")
+            np.add.at(cells, (np.concatenate(grams) & np.uint64(CELLS - 1)).astype(np.int64), np.int32(1))
             ids = batch.column(0)
             part ^= hash(tuple(ids.slice(0, 1).to_pylist())) & 1023
             n = batch.num_rows
@@ -87,7 +97,7 @@ def _sets_and_sketch(width: int):
         n = len(blocks)
         yield pa.RecordBatch.from_arrays(
             [pa.nulls(n, pa.int64())] * 3 + [pa.array(blocks, pa.int32()), pa.array([part] * n, pa.int32()),
-             pa.array([cells[b * BLOCK : (b + 1) * BLOCK].tobytes() for b in blocks], pa.binary())], names=["doc_id", "n_shingles", "node", "block", "part", "cells"])
+             pa.array([_packed(cells[b * BLOCK : (b + 1) * BLOCK]) for b in blocks], pa.binary())], names=["doc_id", "n_shingles", "node", "block", "part", "cells"])
 
     return run
 
@@ -96,8 +106,8 @@ def _added(keys: list[str]):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         total = np.zeros(BLOCK, dtype=np.int64)
         for blob in pdf["cells"]:
-            total += np.frombuffer(blob, dtype=np.int32)
-        row = {k: [pdf[k].iloc[0]] for k in keys} | {"cells": [np.minimum(total, 2**31 - 1).astype(np.int32).tobytes()]}
+            total += _unpacked(blob)
+        row = {k: [pdf[k].iloc[0]] for k in keys} | {"cells": [_packed(np.minimum(total, 2**31 - 1).astype(np.int32))]}
         return pd.DataFrame(row)
 
     return run
@@ -111,7 +121,7 @@ def _order(sketch: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     )
     counts = np.zeros(CELLS, dtype=np.int64)
     for row in sums.toLocalIterator():  # 64 blocks of fixed size
-        counts[row.block * BLOCK : (row.block + 1) * BLOCK] = np.frombuffer(row.cells, dtype=np.int32)
+        counts[row.block * BLOCK : (row.block + 1) * BLOCK] = _unpacked(row.cells)
     order = np.argsort(counts, kind="stable")
     rank = np.empty(CELLS, dtype=np.int32)
     rank[order] = np.arange(CELLS, dtype=np.int32)
@@ -262,8 +272,8 @@ def _hub_pairs(postings: DataFrame, percent: int) -> DataFrame:
     A list is led by the node whose head is shared most: the text that a group of near copies was made from has the
     fewest grams of its own.
     """
-    density = postings.groupBy("node").agg((F.count("*") / F.max("n")).alias("density"))
-    ranked = settle(postings.join(density, "node"))
+    own = Window.partitionBy("node")  # at most the head of one set
+    ranked = settle(postings.withColumn("density", F.count("*").over(own) / F.max("n").over(own)))
     hubs = ranked.groupBy("gram").agg(F.max_by(F.struct("node", "n", "pos"), F.struct("density", "node")).alias("_hub"))
     met = ranked.join(hubs, "gram").where(F.col("node") != F.col("_hub.node")).select(
         F.col("node").alias("a"), F.col("n").alias("na"), "pos", F.col("_hub.node").alias("b"), F.col("_hub.n").alias("nb"), F.col("_hub.pos").alias("pos_b"))
