@@ -542,3 +542,22 @@ def test_next_tokens_are_counted_for_states_only():
     batch = pa.RecordBatch.from_arrays([pa.array(["b a c b a", "c a b"], pa.string())], names=["text"])
     rows = [tuple(r.values()) for out in T._count_next(Shared)(iter([batch])) for r in out.to_pylist()]
     assert sorted(rows) == [(0, 2, 1), (0, 4, 1)]  # "b a" before c and before the end
+
+
+def test_sketches_of_neighbouring_tasks_are_added_first(spark):
+    rng = random.Random(16)
+    docs = docs_of(spark, [(k, prose(rng, 80), "en", "a") for k in range(60)]).repartition(12)
+    found = docs.select("doc_id", "text").mapInArrow(ngram_join._sets_and_sketch(5), ngram_join.SETS)
+    sketch = found.where("block is not null").select("block", "part", "cells")
+    assert sketch.select("part").distinct().count() == 1  # one row a block goes on, whatever the tasks hold
+    counts, pivots, limit = ngram_join._order(sketch)
+    total = found.agg(F.sum("n_shingles")).first()[0]
+    assert counts.nbytes == 4 * ngram_join.CELLS and counts.sum() == total and limit == 1000 + 8 * total // ngram_join.CELLS
+    # fragments hold equal shares of the order by count and number of a cell
+    order = sorted((int(c), int(k)) for k, c in zip(counts.nonzero()[0], counts[counts > 0]))
+    mass, want = 0, []
+    for c, k in order:
+        mass += c
+        while len(want) < ngram_join.FRAGMENTS - 1 and mass * ngram_join.FRAGMENTS >= (len(want) + 1) * total:
+            want.append(c * ngram_join.CELLS + k)
+    assert pivots.tolist() == want

@@ -19,6 +19,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -29,6 +30,7 @@ from tidegauge.session import settle
 CELLS = 1 << 22  # cells of the sketch; it takes 16 MB whatever the corpus holds
 BLOCK = 1 << 16
 FRAGMENTS = 8
+TOGETHER = 32  # tables of so many tasks are added before the sums of all
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -83,12 +85,12 @@ def _unpacked(blob: bytes) -> np.ndarray:
 def _sets_and_sketch(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cells = np.zeros(CELLS, dtype=np.int32)
-        part = 0
+        task = TaskContext.get()
+        part = task.partitionId() // TOGETHER if task else 0
         for batch, texts in chunks(batches):
             grams = _gram_sets(texts, width)
             np.add.at(cells, (np.concatenate(grams) & np.uint64(CELLS - 1)).astype(np.int64), np.int32(1))
             ids = batch.column(0)
-            part ^= hash(tuple(ids.slice(0, 1).to_pylist())) & 1023
             n = batch.num_rows
             yield pa.RecordBatch.from_arrays(
                 [ids, pa.array([len(g) for g in grams], pa.int64()), pa.array([_node(g) if len(g) else None for g in grams], pa.int64()),
@@ -113,32 +115,44 @@ def _added(keys: list[str]):
     return run
 
 
-def _order(sketch: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Rank and fragment of every cell, and its count. The tables of all tasks are added in two levels."""
+def _order(sketch: DataFrame) -> tuple[np.ndarray, np.ndarray, int]:
+    """Count of every cell, where the fragments begin in the order of ``_places``, and the count beyond which a cell is hot.
+
+    The tables of all tasks are added in two levels.
+    """
     sums = (
         sketch.groupBy("block", "part").applyInPandas(_added(["block", "part"]), "block int, part int, cells binary")
         .groupBy("block").applyInPandas(_added(["block"]), "block int, cells binary")
     )
-    counts = np.zeros(CELLS, dtype=np.int64)
+    counts = np.zeros(CELLS, dtype=np.int32)
     for row in sums.toLocalIterator():  # 64 blocks of fixed size
         counts[row.block * BLOCK : (row.block + 1) * BLOCK] = _unpacked(row.cells)
-    order = np.argsort(counts, kind="stable")
-    rank = np.empty(CELLS, dtype=np.int32)
-    rank[order] = np.arange(CELLS, dtype=np.int32)
-    mass = np.cumsum(counts[order]) / max(1, counts.sum())
-    fragment = np.empty(CELLS, dtype=np.int8)
-    fragment[order] = np.minimum(FRAGMENTS - 1, (mass * FRAGMENTS).astype(np.int8))
-    return rank, fragment, counts
+    values, sizes = np.unique(counts, return_counts=True)
+    mass = np.cumsum(values.astype(np.int64) * sizes)
+    pivots = []
+    for f in range(1, FRAGMENTS) if mass[-1] else ():
+        goal = -(-f * int(mass[-1]) // FRAGMENTS)
+        at = int(np.searchsorted(mass, goal))
+        value = int(values[at])
+        nth = -(-(goal - int(mass[at]) + value * int(sizes[at])) // value) - 1  # cell of that count
+        pivots.append(value * CELLS + int(np.flatnonzero(counts == value)[nth]))
+    return counts, np.array(pivots, dtype=np.int64), 1000 + 8 * int(mass[-1]) // CELLS
+
+
+def _places(grams: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Place of each gram's cell in the global order: by count, then by number."""
+    cell = (grams & np.uint64(CELLS - 1)).astype(np.int64)
+    return counts[cell].astype(np.int64) * CELLS + cell
 
 
 POSTINGS = "gram long, node long, meta long"  # meta: size of the set, position, whether indexed, whether hot
 
 
-def _heads(width: int, percent: int, ranks, hot):
+def _heads(width: int, percent: int, sketch):
     """The first grams of each set, in the global order: enough of them that similar sets share one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rank, is_hot, seen = ranks.value, hot.value, set()
+        (counts, _, limit), seen = sketch.value, set()
         for _, texts in chunks(batches):
             parts: list[tuple[np.ndarray, int, int, int]] = []
             for grams in _gram_sets(texts, width):
@@ -146,7 +160,7 @@ def _heads(width: int, percent: int, ranks, hot):
                 if not n or (node := _node(grams)) in seen:
                     continue
                 seen.add(node)
-                order = np.lexsort((grams, rank[(grams & np.uint64(CELLS - 1)).astype(np.int64)]))
+                order = np.lexsort((grams, _places(grams, counts)))
                 head = n - _at_least(percent, n) + 1
                 parts.append((grams[order[:head]], node, n, n - _at_least(200 * percent // (100 + percent), n) + 1))
             if len(seen) > 1_000_000:  # only saves repeats inside a task
@@ -158,7 +172,7 @@ def _heads(width: int, percent: int, ranks, hot):
             pos = np.concatenate([np.arange(s, dtype=np.int32) for s in sizes])
             indexed = pos < np.repeat([p[3] for p in parts], sizes)
             meta = np.repeat(np.array([p[2] for p in parts], dtype=np.int64), sizes) << 32 | pos.astype(np.int64) << 2
-            meta |= indexed.astype(np.int64) << 1 | is_hot[(grams & np.uint64(CELLS - 1)).astype(np.int64)]
+            meta |= indexed.astype(np.int64) << 1 | (counts[(grams & np.uint64(CELLS - 1)).astype(np.int64)] > limit)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(grams.view(np.int64)), pa.array(np.repeat(np.array([p[1] for p in parts], dtype=np.int64), sizes)), pa.array(meta)], names=["gram", "node", "meta"])
 
@@ -199,11 +213,11 @@ def _id_filter(ids: DataFrame) -> np.ndarray:
     return packed.reshape(-1)
 
 
-def _segments(width: int, fragments, wanted):
+def _segments(width: int, sketch, wanted):
     """The whole set of each text, cut at the pivots of the global order; texts whose id the filter lacks are passed over."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of, bits = fragments.value, wanted.value
+        (counts, pivots, _), bits = sketch.value, wanted.value
         for batch, texts in chunks(batches):
             node, piece, values, owner = [], [], [], []
             ids = batch.column(0)
@@ -211,7 +225,7 @@ def _segments(width: int, fragments, wanted):
             test = lambda at: bits[at >> 3] >> (7 - (at & 7)) & 1
             use = (test(a) & test(b)).astype(bool) | ids.is_null().to_numpy(zero_copy_only=False)
             for i, grams in zip(ids.filter(pa.array(use)).to_pylist(), _gram_sets([t for t, u in zip(texts, use) if u], width)):
-                key, where = _node(grams), of[(grams & np.uint64(CELLS - 1)).astype(np.int64)]
+                key, where = _node(grams), np.searchsorted(pivots, _places(grams, counts), side="right")
                 for f in np.unique(where):
                     owner.append(i), node.append(key), piece.append(int(f)), values.append(grams[where == f].view(np.int64))
             if node:
@@ -221,12 +235,12 @@ def _segments(width: int, fragments, wanted):
     return run
 
 
-def _segments_of(pairs: DataFrame, rows: DataFrame, sets: DataFrame, width: int, fragments) -> DataFrame:
+def _segments_of(pairs: DataFrame, rows: DataFrame, sets: DataFrame, width: int, sketch) -> DataFrame:
     """Segments of the nodes that occur in ``pairs``, each from one document."""
     nodes = small(settle(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()))
     carriers = settle(sets.join(nodes, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("_id")))
     wanted = rows.sparkSession.sparkContext.broadcast(_id_filter(carriers.where("_id is not null").select("_id")))
-    found = rows.mapInArrow(_segments(width, fragments, wanted), "id long, node long, fragment int, grams array<long>")
+    found = rows.mapInArrow(_segments(width, sketch, wanted), "id long, node long, fragment int, grams array<long>")
     return settle(found.join(small(carriers).withColumnRenamed("node", "_node"), (F.col("node") == F.col("_node")) & F.col("id").eqNullSafe(F.col("_id"))).select("node", "fragment", "grams"))
 
 
@@ -247,6 +261,14 @@ def _long_enough(percent: int):
     return F.ceil(F.lit(percent) * (F.col("na") + F.col("nb")) / F.lit(100 + percent))
 
 
+def _with_ends(labels: DataFrame | None, links: DataFrame) -> DataFrame:
+    """``labels`` and, as their own components, the nodes of ``links`` that they lack."""
+    ends = links.select(F.col("a").alias("node")).union(links.select("b")).distinct()
+    if labels is None:
+        return settle(ends.select("node", F.col("node").alias("comp")))
+    return settle(labels.union(ends.join(labels, "node", "left_anti").select("node", F.col("node").alias("comp"))))
+
+
 def merge_components(labels: DataFrame, links: DataFrame) -> DataFrame:
     """Merge ``labels`` (node, comp) along ``links`` (a, b): every label becomes the smallest one it can reach.
 
@@ -279,12 +301,17 @@ def _hub_pairs(postings: DataFrame, percent: int) -> DataFrame:
         F.col("node").alias("a"), F.col("n").alias("na"), "pos", F.col("_hub.node").alias("b"), F.col("_hub.n").alias("nb"), F.col("_hub.pos").alias("pos_b"))
     common = met.groupBy("a", "b", "na", "nb").agg(F.count("*").alias("c"), F.max("pos").alias("i"), F.max("pos_b").alias("j"))
     able = common.where(F.col("c") + F.least(F.col("na") - F.col("i") - 1, F.col("nb") - F.col("j") - 1) >= _long_enough(percent))
+    # one head ends first in the global order, and what two sets share besides lies behind it; a hub may lead a part of
+    # the lists only, hence the factor, and what is left out here meets in the last step
+    behind = lambda n: F.ceil(F.lit(percent) * F.col(n) / 100) - 1
+    able = able.where(4 * F.col("c") + F.greatest(behind("na"), behind("nb")) >= _long_enough(percent))
     return able.groupBy("a", "na").agg(F.max_by(F.struct("b", "nb"), F.struct("c", "b")).alias("_best")).select("a", "na", "_best.b", "_best.nb")
 
 
 def _mixed(postings: DataFrame, labels: DataFrame) -> DataFrame:
-    """Posting rows with their component, of grams that still stand in two components."""
-    rows = postings.join(labels, "node")
+    """Posting rows with their component (of nodes that ``labels`` lack: their own), of grams that still stand in two."""
+    moved = small(labels.where("node <> comp"))
+    rows = postings.join(moved, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     apart = rows.groupBy("gram").agg(F.min("comp").alias("_lo"), F.max("comp").alias("_hi")).where("_lo <> _hi").select("gram")
     return rows.join(apart, "gram")
 
@@ -321,13 +348,10 @@ def similar_groups(docs: DataFrame, percent: int = 75, width: int = 5, doc_id: s
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     first = settle(rows.mapInArrow(_sets_and_sketch(width), SETS))
     sets = first.where("block is null").select("doc_id", "n_shingles", "node")
-    rank, fragment, counts = _order(first.where("block is not null").select("block", "part", "cells"))
-    context = spark.sparkContext
-    hot = counts > 1000 + 8 * counts.sum() // CELLS
-    ranks, hots, fragments = context.broadcast(rank), context.broadcast(hot), context.broadcast(fragment)
+    sketch = spark.sparkContext.broadcast(_order(first.where("block is not null").select("block", "part", "cells")))
 
     # a gram that is not hot has a short list, as the sketch never counts too few; hot ones are kept unseen
-    heads = rows.select("doc_id", "text").mapInArrow(_heads(width, percent, ranks, hots), POSTINGS)
+    heads = rows.select("doc_id", "text").mapInArrow(_heads(width, percent, sketch), POSTINGS)
     is_hot = F.col("meta").bitwiseAND(1) == 1
     one_gram = Window.partitionBy("gram", F.when(is_hot, F.col("node")).otherwise(F.lit(0)))
     unpacked = [F.shiftright("meta", 32).cast("int").alias("n"), F.shiftright("meta", 2).bitwiseAND((1 << 30) - 1).cast("int").alias("pos"),
@@ -338,11 +362,12 @@ def similar_groups(docs: DataFrame, percent: int = 75, width: int = 5, doc_id: s
         .select("gram", "node", *unpacked))
 
     def links_of(pairs: DataFrame) -> DataFrame:
-        return settle(_verified(pairs, _segments_of(pairs, rows, sets, width, fragments), percent))
+        return settle(_verified(pairs, _segments_of(pairs, rows, sets, width, sketch), percent))
 
-    labels = settle(postings.select("node", F.col("node").alias("comp")).distinct())
-    labels = merge_components(labels, links_of(settle(_hub_pairs(postings, percent))))
-    labels = merge_components(labels, links_of(settle(_cross_pairs(postings, labels, percent))))
+    links = links_of(settle(_hub_pairs(postings, percent)))
+    labels = merge_components(_with_ends(None, links), links)
+    links = links_of(settle(_cross_pairs(postings, labels, percent)))
+    labels = merge_components(_with_ends(labels, links), links)
 
     classes = sets.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("_least"))
     grouped = classes.join(labels, "node")
