@@ -561,3 +561,21 @@ def test_sketches_of_neighbouring_tasks_are_added_first(spark):
         while len(want) < ngram_join.FRAGMENTS - 1 and mass * ngram_join.FRAGMENTS >= (len(want) + 1) * total:
             want.append(c * ngram_join.CELLS + k)
     assert pivots.tolist() == want
+
+
+def test_rare_next_tokens_travel_in_one_row_for_each_bucket(spark):
+    rng = random.Random(17)
+    rows = [(k, " ".join([*rng.choices(SYLLABLES, k=200), "Rare%d" % k]), "en", "a") for k in range(200)]
+    docs = docs_of(spark, rows).select("doc_id", "text", F.lit(True).alias("train")).coalesce(1)
+    words = docs.mapInArrow(suffix_tree._count_words, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    tokens = sum(len(t.split()) + 1 for _, t, *_ in rows)
+    totals = suffix_tree.Totals(tokens, words.count() + 1, len(rows))
+    model = suffix_tree.grow_tree(docs, words, totals, suffix_tree.Tree(frequency=1e-3, frequent=8e-4, sent=2e-2, gain=-1.0))
+    shared = spark.sparkContext.broadcast(model)
+    met = docs.mapInArrow(suffix_tree._text_words(shared, totals), suffix_tree.MET).collect()
+    inner = [r for r in met if r.kind != suffix_tree.OWN]
+    sent = sum(r.n for r in inner)
+    assert sent > 30_000 and sum(r.kind == suffix_tree.OWN for r in met) == 1
+    assert len(inner) == len({(r.load, r.bucket, r.kind) for r in inner}) <= 2 * suffix_tree._buckets(tokens, len(model.listed) + 2)
+    assert sum(len(r.cells) + len(r.words or b"") for r in inner) < 8 * sent
+    assert {r.n for r in met if r.kind == suffix_tree.OWN} == {len(rows)}

@@ -10,12 +10,14 @@ word, so its key is exact. Contexts hold frequent words only, at most ``1 / freq
 ``1 / frequency`` states. States and the next tokens they have seen often, at most ``1 / sent`` a level, are sent to the
 tasks that score, and are of bounded size however large the corpus. Rarer words and rarer next tokens of a state have no
 such bound: all their occurrences, of training texts and others, meet by a shuffle, where they are counted and scored.
-Each such group is small, as it holds only what is rare.
+Each such group is small, as it holds only what is rare. Groups are dealt to buckets; a piece of texts (a load) sends each
+bucket one row with its occurrences as compressed columns, and gets one row with the sums of its texts back.
 """
 
 from __future__ import annotations
 
-import hashlib
+import math
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -24,6 +26,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -185,11 +188,11 @@ class Model:
                 out[j][own] = out[j][offsets[k - 1] + self.states[k] // (len(self.listed) + 2)]
         return out
 
-    def log10_tokens(self, tokens: _Tokens) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    def log10_tokens(self, tokens: _Tokens) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """log10 probability of each token, and what is missing to tell it.
 
-        That is the first level whose count is not known here (0: none), the state of that level, the last state, numbered
-        through, and the probability by the levels before. Of a word that is not listed, the logarithm is to be added to its
+        That is the first level whose count is not known here (0: none), the state of that level, and the last state, numbered
+        through. Of a word that is not listed, the logarithm is to be added to its
         base, and the first level is 1.
         """
         p = np.where(tokens.ids >= 0, 10 ** self.base[tokens.ids], 1.0)
@@ -210,7 +213,7 @@ class Model:
             n = np.where(found >= 0, self.counts[k - 1][np.maximum(found, 0)] if len(self.counts[k - 1]) else 0.0, 0.0)
             p[at] = (n + self.shorter[k - 1][state[at]] * p[at]) / self.total[k - 1][state[at]]
         log = np.where((tokens.place > 0) & ((first == 0) | (not self.whole)), np.log10(p), 0.0)
-        return log, first, at_first, last, p
+        return log, first, at_first, last
 
 
 def _longer(counted: DataFrame, keys: np.ndarray, following: np.ndarray, after: np.ndarray, span: int, least: float) -> tuple[pd.DataFrame, np.ndarray, np.ndarray]:
@@ -289,54 +292,89 @@ def grow_tree(rows: DataFrame, words: DataFrame, totals: Totals, tree: Tree = Tr
     return Model(listed, base, states, kept, left, total, keys, counts, not tree.entry)
 
 
-OWN = "doc_id long, n_tokens long, n_known long, base double, score double"
-#: A group (a rarer word, or a state and a rarer next token) and what a text has of it after one last state; or a text alone.
-MET = f"met string, first int, last int, p double, key long, times int, learned int, own struct<{OWN}>"
+MET = "bucket int, load long, kind int, n int, cells binary, words binary"
+LISTED, WORDS, OWN = 0, 1, 2  # kinds of rows: rarer next tokens of states, words that are not listed, and what texts know alone
+PER_BUCKET = 1 << 21  # training tokens for each bucket
+
+
+def _buckets(tokens: int, span: int) -> int:
+    """Number of buckets, without a divisor in common with the number of symbols, so that no symbol fills one."""
+    n = 16 + tokens // PER_BUCKET
+    while math.gcd(n, span) > 1:
+        n += 1
+    return n
+
+
+def _packed(columns: list[np.ndarray]) -> bytes:
+    """Columns of eight-byte numbers, byte by byte, compressed."""
+    planes = [np.ascontiguousarray(c.view(np.uint8).reshape(-1, 8).T) for c in columns]
+    return pa.compress(np.concatenate([x.reshape(-1) for x in planes]), codec="zstd", asbytes=True)
+
+
+def _unpacked(blob: bytes, n: int, kinds: str) -> list[np.ndarray]:
+    raw = np.frombuffer(pa.decompress(blob, 8 * n * len(kinds), codec="zstd", asbytes=True), dtype=np.uint8).reshape(len(kinds), 8, n)
+    return [np.ascontiguousarray(x.T).reshape(-1).view({"i": np.int64, "f": np.float64}[k]) for x, k in zip(raw, kinds)]
+
+
+def _steps(sorted_: np.ndarray) -> np.ndarray:
+    return np.diff(sorted_, prepend=0)
 
 
 def _text_words(shared, totals: Totals):
-    """A row for each text, rarer word or next token, and last state; and one with what the task itself can tell of the text."""
-    own_type = pa.struct([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()), ("score", pa.float64())])
+    """For each load a row for each bucket with its occurrences there, and one with what the task itself can tell of the texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model: Model = shared.value
-        end_known = int(totals.texts > 0)
+        end_known, offsets = int(totals.texts > 0), model.offsets()
+        buckets = _buckets(totals.tokens, len(model.listed) + 2)
+        load = TaskContext.get().partitionId() << 32
         for batch, texts in chunks(batches):
-            ids = batch.column(0).to_pylist()
-            train = batch.column(batch.schema.get_field_index("train")).to_numpy(zero_copy_only=False).astype(np.int32)
+            load += 1
+            rows: list[tuple] = []
+            ids = batch.column(0)
+            train = batch.column(batch.schema.get_field_index("train")).to_numpy(zero_copy_only=False).astype(np.int64)
             tokens = _Tokens(texts, model.listed)
             predicted, here = tokens.place > 0, len(texts)
             listed = predicted & (tokens.ids >= 0)
-            log, first, at_first, last, p = model.log10_tokens(tokens)
-            score = np.bincount(tokens.text, weights=log, minlength=here)
-            base = np.bincount(tokens.text[listed], weights=model.base[tokens.ids[listed]], minlength=here)
+            log, first, at_first, last = model.log10_tokens(tokens)
             n_tokens = np.bincount(tokens.text[predicted], minlength=here)
             n_known = np.bincount(tokens.text[listed], minlength=here) - 1 + end_known
-            key = np.array([int.from_bytes(hashlib.blake2b(b"%r" % i + b" " + t, digest_size=8).digest(), "big") >> 1 for i, t in zip(ids, texts)], dtype=np.int64)
-            # what is missing: the number of each word, or state and next token, with each last state in each text
-            spelling = np.full(len(first), -1, dtype=np.int64)
-            spelling[predicted & (tokens.ids != tokens.end)] = tokens.spelled.indices.to_numpy()
-            rare = np.flatnonzero(first > 0)
-            group = np.where(tokens.ids[rare] < 0, -1 - spelling[rare], at_first[rare] * tokens.span + tokens.ids[rare])
-            order = np.lexsort((last[rare], group, first[rare], tokens.text[rare]))
-            rare, group = rare[order], group[order]
-            new = np.ones(len(rare), dtype=bool)
-            new[1:] = (np.diff(group) != 0) | (np.diff(last[rare]) != 0) | (np.diff(first[rare]) != 0) | (np.diff(tokens.text[rare]) != 0)
-            starts = np.flatnonzero(new)
-            times, rare, group = np.diff(np.append(starts, len(rare))), rare[starts], group[starts]
-            # marks of texts and of next tokens hold a blank, so they are no words; those of texts spread over the tasks
-            named = pc.binary_join_element_wise("", pa.array(first[rare]).cast(pa.string()), pa.array(group).cast(pa.string()), " ").cast(pa.large_binary())
-            words = tokens.spelled.dictionary.take(pa.array(np.maximum(spelling[rare], 0))) if len(tokens.spelled.dictionary) else pa.nulls(len(rare), pa.large_binary())
-            met = pc.if_else(pa.array(group < 0), words, named)
-            marks = pa.array([b" %d" % k for k in key], pa.large_binary())
-            own = pa.array([{"doc_id": i, "n_tokens": int(a), "n_known": int(b), "base": float(c), "score": float(d)} for i, a, b, c, d in zip(ids, n_tokens, n_known, base, score)], own_type)
-            text, none = tokens.text[rare], np.zeros(here, dtype=np.int32)
-            place = np.concatenate([np.arange(here), np.full(len(text), -1)])
-            filled = lambda values, kind: pa.array(np.concatenate([none, values]).astype(kind))
+            base = np.bincount(tokens.text[listed], weights=model.base[tokens.ids[listed]], minlength=here)
+            score = np.bincount(tokens.text, weights=log, minlength=here)
+            own = [ids.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64), ids.is_null().to_numpy(zero_copy_only=False).astype(np.int64), n_tokens, n_known, base, score]
+            rows.append((load % buckets, load, OWN, here, _packed(own), None))
+
+            def send(kind: int, at: np.ndarray, bucket: np.ndarray, group: np.ndarray, words: list[bytes]) -> None:
+                order = np.lexsort((tokens.text[at], last[at], group, bucket))
+                at, bucket, group = at[order], bucket[order], group[order]
+                text, state = tokens.text[at], last[at].astype(np.int64)
+                new = np.ones(len(at), dtype=bool)
+                new[1:] = (np.diff(bucket) != 0) | (np.diff(group) != 0) | (np.diff(state) != 0) | (np.diff(text) != 0)
+                starts = np.flatnonzero(new)
+                times = np.diff(np.append(starts, len(at)))
+                bucket, group, state, text = bucket[starts], group[starts], state[starts], text[starts]
+                cuts = np.append(np.flatnonzero(np.diff(bucket, prepend=-1)), len(bucket))
+                for a, b in zip(cuts[:-1], cuts[1:]):
+                    own_group, spelled = group[a:b], None
+                    if kind == WORDS:
+                        used, own_group = np.unique(own_group, return_inverse=True)
+                        spelled = zlib.compress(b" ".join([words[k] for k in used]), 1)
+                    cells = _packed([_steps(own_group), state[a:b] + 1, text[a:b], times[a:b] << 1 | train[text[a:b]]])
+                    rows.append((int(bucket[a]), load, kind, int(b - a), cells, spelled))
+
+            at = np.flatnonzero((first > 0) & (tokens.ids >= 0))
+            group = (offsets[first[at] - 1] + at_first[at]) * tokens.span + tokens.ids[at]
+            send(LISTED, at, group % buckets, group // buckets, [])
+            at = np.flatnonzero((first > 0) & (tokens.ids < 0))
+            if len(at):
+                spelling = np.full(len(first), -1, dtype=np.int64)
+                spelling[predicted & (tokens.ids != tokens.end)] = tokens.spelled.indices.to_numpy()
+                distinct, place = np.unique(spelling[at], return_inverse=True)
+                words = tokens.spelled.dictionary.take(pa.array(distinct)).to_pylist()
+                send(WORDS, at, np.array([zlib.crc32(w) % buckets for w in words], dtype=np.int64)[place], place.astype(np.int64), words)
             yield pa.RecordBatch.from_arrays(
-                [pa.concat_arrays([marks, met]).cast(pa.large_string()).cast(pa.string()), filled(np.where(group < 0, -1, first[rare]), np.int32), filled(last[rare], np.int32),
-                 filled(p[rare], np.float64), pa.array(np.concatenate([key, key[text]])), filled(times, np.int32), filled(times * train[text], np.int32), own.take(pa.array(place, mask=place < 0))],
-                names=["met", "first", "last", "p", "key", "times", "learned", "own"])
+                [pa.array(x, kind) for x, kind in zip(zip(*rows), (pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary()))],
+                names=["bucket", "load", "kind", "n", "cells", "words"])
 
     return run
 
@@ -366,35 +404,100 @@ def _sum_of(group: np.ndarray, state: np.ndarray, n: np.ndarray) -> np.ndarray:
     return np.bincount(which, weights=n)[which] if len(which) else n
 
 
-SCORED = f"key long, own struct<{OWN}>, known long, base double, score double"
+SUMS = "load long, kind int, n int, cells binary"
 
 
 def _score_met(shared, totals: Totals):
-    """What each text gets for its rarer words and next tokens, from groups that stand together."""
+    """What the texts of each load get for their rarer words and next tokens, from buckets of whole groups."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model: Model = shared.value
-        suffixes = model.suffixes()
+        suffixes, offsets, span = model.suffixes(), model.offsets(), len(model.listed) + 2
+        buckets = _buckets(totals.tokens, span)
         shorter, total = (np.concatenate([*x, [0.0]]) for x in (model.shorter, model.total))
-        for batch in _whole_groups(batches):
-            first, last, p, key, times, learned = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(1, 7))
-            named = batch.column(0).dictionary_encode().indices.to_numpy().astype(np.int64)
-            n = np.bincount(named, weights=learned)[named]
-            word = first < 0
+
+        def log10_pairs(group: np.ndarray, last: np.ndarray, learned: np.ndarray, name: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            """Of each group (a word: below 0) and last state: log10 probability, the word's base, and whether it is known."""
+            word = group < 0
+            n = np.bincount(name, weights=learned)[name]
             base = np.where(word, totals.base(n), 0.0)
-            p = np.where(word, 10 ** base, np.where(first > 0, p, 1.0))
+            own, token = np.where(word, 0, group // span), np.where(word, 0, group % span)
+            first = np.where(word, 0, np.searchsorted(offsets, own, side="right"))  # a level
+            p = 10 ** np.where(word, base, model.base[token])
             for k, suffix in enumerate(suffixes, 1):
-                at = np.flatnonzero((first != 0) & (first <= k) & (last >= 0))
+                at = np.flatnonzero(first > k)  # the task that sent them has the counts of these levels too
+                state = suffix[own[at]]
+                found = _in_sorted((state - offsets[k - 1]) * span + token[at], model.keys[k - 1])
+                p[at] = (np.where(found >= 0, model.counts[k - 1][found], 0.0) + shorter[state] * p[at]) / total[state] if len(at) else p[at]
+                at = np.flatnonzero((first <= k) & (last >= 0))
                 at = at[suffix[last[at]] >= 0]
                 state = suffix[last[at]]
-                p[at] = (_sum_of(named[at], state, learned[at]) + shorter[state] * p[at]) / total[state]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(key), batch.column(7), pa.array(np.where(word & (n > 0), times, 0).astype(np.int64)), pa.array(base * times), pa.array(np.log10(p) * times)],
-                names=["key", "own", "known", "base", "score"])
+                p[at] = (_sum_of(name[at], state, learned[at]) + shorter[state] * p[at]) / total[state]
+            return np.log10(p), base, word & (n > 0)
+
+        def of_bucket(rows: pa.RecordBatch) -> tuple[np.ndarray, list[int], list[bytes]] | None:
+            parts, spelled = [], []
+            for bucket, load, kind, n, cells, words in zip(*(c.to_pylist() for c in rows.columns)):
+                if kind == OWN:
+                    continue
+                group, last, text, times = _unpacked(cells, n, "iiii")
+                group = np.cumsum(group)
+                if kind == WORDS:
+                    group = -1 - len(spelled) - group
+                    spelled += zlib.decompress(words).split(b" ")
+                else:
+                    group = group * buckets + bucket
+                parts.append((np.full(n, load), group, last - 1, text, times))
+            if not parts:
+                return None
+            load, group, last, text, times = map(np.concatenate, zip(*parts))
+            word = group < 0
+            if spelled:
+                group[word] = -1 - pa.array(spelled, pa.large_binary()).dictionary_encode().indices.to_numpy()[-1 - group[word]]
+            order = np.lexsort((last, group))
+            load, group, last, text, times = load[order], group[order], last[order], text[order], times[order]
+            changed = np.diff(group, prepend=group[0] - 1) != 0
+            new = changed | (np.diff(last, prepend=last[0] - 1) != 0)
+            starts, pair = np.flatnonzero(new), np.cumsum(new) - 1
+            often = times >> 1
+            learned = np.add.reduceat(often * (times & 1), starts).astype(np.float64)
+            log, base, known = log10_pairs(group[starts], last[starts], learned, (np.cumsum(changed) - 1)[starts])
+            loads, place = np.unique(load, return_inverse=True)
+            both, to = np.unique(place * (int(text.max()) + 1) + text, return_inverse=True)
+            sums = [np.bincount(to, weights=x[pair] * often) for x in (known, base, log)]
+            of, text = np.divmod(both, int(text.max()) + 1)
+            cuts = np.append(np.flatnonzero(np.diff(of, prepend=-1)), len(of))
+            cells = [_packed([_steps(text[a:b]), sums[0][a:b].astype(np.int64), sums[1][a:b], sums[2][a:b]]) for a, b in zip(cuts[:-1], cuts[1:])]
+            return loads, np.diff(cuts).tolist(), cells
+
+        for batch in _whole_groups(batches):
+            of = batch.column(0).to_numpy()
+            cuts = np.append(np.flatnonzero(np.diff(of, prepend=-1)), len(of))
+            own = batch.filter(pc.equal(batch.column(2), OWN))
+            yield pa.RecordBatch.from_arrays([own.column(k) for k in (1, 2, 3, 4)], names=["load", "kind", "n", "cells"])
+            for a, b in zip(cuts[:-1], cuts[1:]):
+                if (out := of_bucket(batch.slice(a, b - a))) is not None:
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(out[0]), pa.array([LISTED] * len(out[0]), pa.int32()), pa.array(out[1], pa.int32()), pa.array(out[2], pa.binary())], names=["load", "kind", "n", "cells"])
 
     return run
 
 
+def _sum_load(rows: pa.Table) -> pa.Table:
+    """The texts of a load with all their sums."""
+    kinds, sizes, cells = (rows.column(k).to_pylist() for k in ("kind", "n", "cells"))
+    at = kinds.index(OWN)
+    doc_id, null, n_tokens, n_known, base, score = _unpacked(cells[at], sizes[at], "iiiiff")
+    for kind, n, blob in zip(kinds, sizes, cells):
+        if kind != OWN:
+            text, known, more_base, more = _unpacked(blob, n, "iiff")
+            text = np.cumsum(text)
+            n_known[text] += known
+            base[text] += more_base
+            score[text] += more
+    return pa.table({"doc_id": pa.array(doc_id, mask=null.astype(bool)), "n_tokens": n_tokens, "n_known": n_known, "base_score": base, "score": score})
+
+
 def score_texts(docs: DataFrame, train, tree: Tree = Tree(), doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Score each row of ``docs``, learning from the rows where the column ``train`` is true.
 
@@ -410,15 +513,10 @@ def score_texts(docs: DataFrame, train, tree: Tree = Tree(), doc_id: str = "doc_
     totals = Totals((sums.tokens or 0) + texts, (sums.distinct or 0) + int(texts > 0), texts)
     model = grow_tree(rows.where("train"), words, totals, tree)
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    met = rows.mapInArrow(_text_words(shared, totals), MET).repartition("met").sortWithinPartitions("met")
-    gathered = met.mapInArrow(_score_met(shared, totals), SCORED).groupBy("key").agg(
-        F.max("own.doc_id").alias("doc_id"), F.max("own.n_tokens").alias("n_tokens"), F.count("own").alias("rows"),
-        F.sum(F.coalesce("own.n_known", "known")).alias("n_known"),
-        F.sum(F.coalesce("own.base", "base")).alias("base_score"), F.sum(F.coalesce("own.score", "score")).alias("score"))
-    # equal rows share a key and a sum
-    return gathered.select(
-        "doc_id", "n_tokens", (F.col("n_known") / F.col("rows")).cast("long").alias("n_known"), F.lit(totals.tokens).cast("long").alias("train_tokens"),
-        (F.col("base_score") / F.col("rows")).alias("base_score"), (F.col("score") / F.col("rows")).alias("score"), F.explode(F.expr("sequence(1, cast(rows as int))")).alias("_k")).drop("_k")
+    met = rows.mapInArrow(_text_words(shared, totals), MET).repartition("bucket").sortWithinPartitions("bucket")
+    summed = met.mapInArrow(_score_met(shared, totals), SUMS).groupBy("load").applyInArrow(
+        _sum_load, "doc_id long, n_tokens long, n_known long, base_score double, score double")
+    return summed.select("doc_id", "n_tokens", "n_known", F.lit(totals.tokens).cast("long").alias("train_tokens"), "base_score", "score")
 
 
 def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
