@@ -579,3 +579,16 @@ def test_rare_next_tokens_travel_in_one_row_for_each_bucket(spark):
     assert len(inner) == len({(r.load, r.bucket, r.kind) for r in inner}) <= 2 * suffix_tree._buckets(tokens, len(model.listed) + 2)
     assert sum(len(r.cells) + len(r.words or b"") for r in inner) < 8 * sent
     assert {r.n for r in met if r.kind == suffix_tree.OWN} == {len(rows)}
+
+
+def test_a_load_may_hold_a_single_text(spark):
+    rng = random.Random(18)
+    rows = [(k, " ".join([*rng.choices(SYLLABLES, k=200), "Rare%d" % (k // 2)]), "en", "a") for k in range(8)]
+    tree = suffix_tree.Tree(depth=2, frequency=1e-3, frequent=8e-4, sent=2e-2, gain=-1.0)
+    together, alone = (
+        {r.doc_id: r for r in suffix_tree.score_texts(docs_of(spark, rows).repartition(n), F.lit(True), tree).collect()} for n in (1, 24))
+    assert len(together) == len(alone) == len(rows)
+    for k, r in alone.items():
+        want = together[k]
+        assert (r.n_tokens, r.n_known, r.train_tokens) == (want.n_tokens, want.n_known, want.train_tokens)
+        assert abs(r.base_score - want.base_score) < 1e-9 * -want.base_score and abs(r.score - want.score) < 1e-9 * -want.score

@@ -90,16 +90,18 @@ class _Tokens:
     def __init__(self, texts: list[bytes], listed: pa.Array):
         raw = np.frombuffer(b" ".join(texts), dtype=np.uint8)
         inside = ~_BLANK[raw]
-        edges = np.flatnonzero(np.diff(inside.view(np.int8), prepend=0, append=0))
+        edges = np.flatnonzero(inside[1:] != inside[:-1]) + 1
+        edges = np.concatenate([[0] * bool(inside[:1].any()), edges, [len(raw)] * bool(inside[-1:].any())]).astype(np.int64)
         starts, ends = edges[::2], edges[1::2]
         offsets = np.concatenate([[0], np.cumsum(ends - starts)]).astype(np.int64)
         spelled = pa.LargeBinaryArray.from_buffers(
-            pa.large_binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(_LOWER[raw][inside])]).dictionary_encode()
+            pa.large_binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(_LOWER[raw[inside]])]).dictionary_encode()
         number = pc.fill_null(pc.index_in(spelled.dictionary, value_set=listed), -1).to_numpy(zero_copy_only=False).astype(np.int64)
         words = number[spelled.indices.to_numpy()] if len(starts) else np.zeros(0, dtype=np.int64)
         firsts = np.concatenate([[0], np.cumsum([len(t) + 1 for t in texts])[:-1]])
-        text = np.searchsorted(firsts, starts, side="right") - 1
-        sizes = np.bincount(text, minlength=len(texts)) + 2
+        sizes = np.diff(np.searchsorted(starts, firsts), append=len(starts))
+        text = np.repeat(np.arange(len(texts)), sizes)
+        sizes = sizes + 2
         self.start, self.end = len(listed), len(listed) + 1
         self.span = len(listed) + 2
         self.text = np.repeat(np.arange(len(texts)), sizes)
@@ -297,6 +299,17 @@ LISTED, WORDS, OWN = 0, 1, 2  # kinds of rows: rarer next tokens of states, word
 PER_BUCKET = 1 << 21  # training tokens for each bucket
 
 
+def _order(columns: list[np.ndarray]) -> np.ndarray:
+    """Stable order by columns of numbers from 0 on, the first one foremost; sorted as one number where it holds them all."""
+    spans = [int(c.max(initial=0)) + 1 for c in columns]
+    if math.prod(spans) >= 1 << 63:
+        return np.lexsort(columns[::-1])
+    key = columns[0].astype(np.int64)
+    for column, span in zip(columns[1:], spans[1:]):
+        key = key * span + column
+    return np.argsort(key, kind="stable")
+
+
 def _buckets(tokens: int, span: int) -> int:
     """Number of buckets, without a divisor in common with the number of symbols, so that no symbol fills one."""
     n = 16 + tokens // PER_BUCKET
@@ -312,8 +325,9 @@ def _packed(columns: list[np.ndarray]) -> bytes:
 
 
 def _unpacked(blob: bytes, n: int, kinds: str) -> list[np.ndarray]:
+    """The columns again, each its own to write to (a view of a single row would not be)."""
     raw = np.frombuffer(pa.decompress(blob, 8 * n * len(kinds), codec="zstd", asbytes=True), dtype=np.uint8).reshape(len(kinds), 8, n)
-    return [np.ascontiguousarray(x.T).reshape(-1).view({"i": np.int64, "f": np.float64}[k]) for x, k in zip(raw, kinds)]
+    return [x.T.copy().reshape(-1).view({"i": np.int64, "f": np.float64}[k]) for x, k in zip(raw, kinds)]
 
 
 def _steps(sorted_: np.ndarray) -> np.ndarray:
@@ -345,7 +359,7 @@ def _text_words(shared, totals: Totals):
             rows.append((load % buckets, load, OWN, here, _packed(own), None))
 
             def send(kind: int, at: np.ndarray, bucket: np.ndarray, group: np.ndarray, words: list[bytes]) -> None:
-                order = np.lexsort((tokens.text[at], last[at], group, bucket))
+                order = _order([bucket, group, last[at] + 1])  # texts are in order already
                 at, bucket, group = at[order], bucket[order], group[order]
                 text, state = tokens.text[at], last[at].astype(np.int64)
                 new = np.ones(len(at), dtype=bool)
@@ -454,7 +468,7 @@ def _score_met(shared, totals: Totals):
             word = group < 0
             if spelled:
                 group[word] = -1 - pa.array(spelled, pa.large_binary()).dictionary_encode().indices.to_numpy()[-1 - group[word]]
-            order = np.lexsort((last, group))
+            order = _order([group - group.min(), last + 1])
             load, group, last, text, times = load[order], group[order], last[order], text[order], times[order]
             changed = np.diff(group, prepend=group[0] - 1) != 0
             new = changed | (np.diff(last, prepend=last[0] - 1) != 0)
