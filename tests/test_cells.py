@@ -218,6 +218,48 @@ def test_forest_forecasts_cover_every_scenario_step(spark):
     assert forecasts.agg(F.max(F.abs(F.col("y_pred_capacity") - F.col("y_true_capacity")))).first()[0] < 0.3
 
 
+def test_large_forests_grow_in_parts_over_few_tasks(spark, monkeypatch):
+    rows = [r for i in range(3) for r in fading(seed=i, cell=f"c{i}")]
+    series = series_of(spark, rows).repartition(6, "cycle").cache()
+    scenarios = S.rolling_scenarios(series, min_train=60).withColumn("slot", F.regexp_extract("scenario_id", r"(pre_\d+|lead\d+)", 1))
+    scenarios = scenarios.where(F.col("slot").isin("pre_02", "lead10")).cache()
+    for name, size in (("AS_STORED", 10), ("FIT_ROWS", 400), ("FIT_DRAWS", 1200)):
+        monkeypatch.setattr(M, name, size, raising=False)
+    grown, joined, fit = [], [], M.RandomForestRegressor.fit
+
+    def watched(learner, rows, *rest):
+        grown.append((learner.getNumTrees(), learner.getSeed(), rows.count(), rows.rdd.getNumPartitions()))
+        return fit(learner, rows, *rest)
+
+    def kept(start, models, slot, *rest):
+        joined.extend(models.values())
+        return forecast(start, models, slot, *rest)
+
+    forecast = M.iterated_forecasts
+    monkeypatch.setattr(M.RandomForestRegressor, "fit", watched)
+    monkeypatch.setattr(M, "iterated_forecasts", kept)
+    got = M.forest_forecasts(series, scenarios, trees=7).cache()
+    slots = scenarios.select("slot").distinct().count()
+    assert sum(trees for trees, *_ in grown) == 7 * slots and [m.getNumTrees for m in joined] == [7] * slots
+    assert len({seed for _, seed, *_ in grown}) > 1
+    for trees, _, count, tasks in grown:
+        assert tasks == -(-count // 400) and trees * min(count, 400) <= 1200 + 400
+    # every step of every scenario once, and a short horizon is the start of a longer one
+    assert got.count() == scenarios.agg(F.sum("horizon")).first()[0] == got.select("cell_id", "scenario_id", "step").distinct().count()
+    assert got.groupBy("cell_id", "origin_position", "slot", "step").agg(F.count_distinct("y_raw").alias("n")).where("n > 1").count() == 0
+
+
+def test_parts_of_a_forest_add_up_to_its_mean(spark):
+    rng = np.random.default_rng(4)
+    frame = spark.createDataFrame([(float(a), float(b), float(3 * a - b)) for a, b in rng.normal(size=(200, 2))], "a double, b double, y double")
+    rows = M.VectorAssembler(inputCols=["a", "b"], outputCol="features").transform(frame)
+    parts = [M.RandomForestRegressor(labelCol="y", numTrees=n, seed=n).fit(rows) for n in (2, 3)]
+    whole = M.one_forest(parts)
+    assert whole.getNumTrees == 5
+    p, q, both = ([r.prediction for r in m.transform(rows).orderBy("a").collect()] for m in (*parts, whole))
+    assert both == pytest.approx([(2 * x + 3 * y) / 5 for x, y in zip(p, q)])
+
+
 def test_baselines(spark):
     series = series_of(spark, fading(seed=9)).cache()
     scenarios = S.rolling_scenarios(series, min_train=60).cache()
