@@ -273,6 +273,22 @@ def test_baselines(spark):
         assert part["LinearTrend", 5] == pytest.approx(a * 24 + b)
 
 
+def test_targets_side_by_side_are_forecast_like_one_by_one(spark):
+    rng = np.random.default_rng(3)
+    rows = [(c, i, *map(float, rng.normal(5, 3, 2))) for c in ("c1", "c2") for i in range(60)]
+    series = spark.createDataFrame(rows, "cell_id string, pos int, a double, b double").cache()
+    scenarios = spark.createDataFrame([("c1", "x", 30, 3), ("c1", "y", 30, 5), ("c2", "x", 57, 5), ("c2", "x", 57, 5)], "cell_id string, scenario_id string, origin_position int, horizon int")
+    both = M.baseline_forecasts(series, scenarios, {"first": "a", "second": "b"}, window=10, aimed=["a", "b"])
+    long = E.target_variants(both, {"first": "a", "second": "b"}, ["cell_id", "scenario_id", "step", "model_name"],
+                             {"y_pred": {"first": "y_pred_first", "second": "y_pred_second"}})
+    want = []
+    for name, column in (("first", "a"), ("second", "b")):
+        truth = series.select("cell_id", F.col("pos").alias("at"), F.col(column).alias("target"))
+        alone = M.baseline_forecasts(series, scenarios, column, window=10).withColumn("at", F.col("origin_position") + F.col("step"))
+        want += [(r.cell_id, r.scenario_id, r.step, r.model_name, name, r.target, r.y_pred) for r in alone.join(truth, ["cell_id", "at"]).collect()]
+    assert sorted(map(tuple, long.collect())) == sorted(want) and len(want) == 2 * 3 * (3 + 5 + 2 + 2)
+
+
 def test_baselines_run_no_window_over_the_series(spark):
     series = spark.createDataFrame([("c1", i, 1.0) for i in range(50)], "cell_id string, pos int, capacity_ah double")
     scenarios = spark.createDataFrame([("c1", 30, 3)], "cell_id string, origin_position int, horizon int")

@@ -115,3 +115,24 @@ def test_plain_window_needs_one_shuffle(spark, skewed):
     plan = O.over_series(skewed, ["k"], ["t"], build)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1
     assert "BatchEvalPython" not in plan and "ArrowEvalPython" not in plan
+
+
+def test_exponential_mean_of_whole_keys_deals_rows_out_once(spark):
+    rng = np.random.default_rng(8)
+    rows = [(k, i, None if rng.random() < 0.2 else float(rng.normal())) for k in ("a", None) for i in range(5000)]
+    df = spark.createDataFrame(rows, "k string, i int, v double")
+    plain = O.exponential_mean(df, ["k"], ["i"], "v", "m", span=9)
+    plan = plain._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan
+    got = {(r.k, r.i): r.m for r in plain.collect()}
+    cut = {(r.k, r.i): r.m for r in O.exponential_mean(df, ["k"], ["i"], "v", "m", span=9, max_rows=700).collect()}
+    assert len(got) == len(cut) == len(rows)
+    for k in ("a", None):
+        mean, lost = None, 1.0
+        for key, i, v in rows:
+            if key != k:
+                continue
+            lost *= 0.8
+            if v is not None:
+                mean, lost = v if mean is None else (lost * mean + 0.2 * v) / (lost + 0.2), 1.0
+            assert got[k, i] == cut[k, i] == mean is None or abs(got[k, i] - mean) < 1e-9 and abs(cut[k, i] - mean) < 1e-9

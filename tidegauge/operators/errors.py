@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -69,7 +69,12 @@ def interval_quality(forecasts: DataFrame, keys: Sequence[str], actual: str = "y
     )
 
 
-def target_variants(series: DataFrame, columns: dict[str, str], keep: Sequence[str]) -> DataFrame:
-    """Long table of target variants of the same series."""
-    cells = F.array(*[F.struct(F.lit(name).alias("target_name"), F.col(c).alias("target")) for name, c in columns.items()])
+def target_variants(
+    series: DataFrame, columns: dict[str, str], keep: Sequence[str], beside: Mapping[str, Mapping[str, str]] | None = None,
+) -> DataFrame:
+    """Long table of target variants of the same series; ``beside`` names further columns, and where each target has its own."""
+    cells = F.array(*[
+        F.struct(F.lit(name).alias("target_name"), F.col(c).alias("target"), *[F.col(own[name]).alias(n) for n, own in (beside or {}).items()])
+        for name, c in columns.items()
+    ])
     return series.select(*keep, F.explode(cells).alias("v")).select(*keep, "v.*")

@@ -32,8 +32,8 @@ STRICT_FEATURES = (
 )
 
 
-def rows_before(series: DataFrame, origins: DataFrame, cell: str, value: str, count: int) -> DataFrame:
-    """The last ``count`` rows up to each origin: (cell, origin_position, pos, value).
+def rows_before(series: DataFrame, origins: DataFrame, cell: str, value: str | Sequence[str], count: int) -> DataFrame:
+    """The last ``count`` rows up to each origin: (cell, origin_position, pos, value), or all values of a list.
 
     The few origins are unrolled to the positions they want and meet the series in an equi-join on (cell, pos);
     no window runs over the rest of the series, and a long cell is spread over all tasks.
@@ -41,41 +41,56 @@ def rows_before(series: DataFrame, origins: DataFrame, cell: str, value: str, co
     wanted = origins.select(cell, "origin_position").distinct().withColumn(
         "pos", F.explode(F.sequence(F.greatest(F.col("origin_position") - (count - 1), F.lit(0)), F.col("origin_position")))
     )
-    return wanted.join(shuffled(series.select(cell, "pos", value)), [cell, "pos"])
+    return wanted.join(shuffled(series.select(cell, "pos", *([value] if isinstance(value, str) else value))), [cell, "pos"])
+
+
+STATISTICS = ("last_value", "recent_mean", "recent_std", "slope", "intercept")
 
 
 def origin_statistics(series: DataFrame, origins: DataFrame, cell: str, value: str, window: int = WINDOW) -> DataFrame:
     """What every baseline needs at each origin: last value, recent mean and deviation, recent line."""
+    return _statistics(series, origins, cell, {"": value}, window)
+
+
+def _statistics(series: DataFrame, origins: DataFrame, cell: str, values: Mapping[str, str], window: int) -> DataFrame:
+    """Statistics of several values of the same rows, which are read once; their names end as ``values`` says."""
     at = F.col("pos").cast("double")
-    return rows_before(series, origins, cell, value, window).groupBy(cell, "origin_position").agg(
-        F.max(F.when(F.col("pos") == F.col("origin_position"), F.col(value))).alias("last_value"),
-        F.avg(value).alias("recent_mean"), F.stddev_samp(value).alias("recent_std"),
-        F.regr_slope(F.col(value), at).alias("slope"), F.regr_intercept(F.col(value), at).alias("intercept"),
-    )
+    return rows_before(series, origins, cell, list(values.values()), window).groupBy(cell, "origin_position").agg(*[
+        column.alias(f"{name}{end}") for end, v in values.items() for name, column in zip(STATISTICS, (
+            F.max(F.when(F.col("pos") == F.col("origin_position"), F.col(v))), F.avg(v), F.stddev_samp(v),
+            F.regr_slope(F.col(v), at), F.regr_intercept(F.col(v), at)))
+    ])
 
 
 def baseline_forecasts(
-    series: DataFrame, scenarios: DataFrame, value: str = "capacity_ah", cell: str = "cell_id",
-    window: int = WINDOW, models: Sequence[str] = BASELINES,
+    series: DataFrame, scenarios: DataFrame, value: str | Mapping[str, str] = "capacity_ah", cell: str = "cell_id",
+    window: int = WINDOW, models: Sequence[str] = BASELINES, aimed: Sequence[str] = (),
 ) -> DataFrame:
     """Persistence, moving average and linear trend for every scenario and step, clipped at zero.
 
-    Only the rows just before an origin are looked up; training rows are never copied per scenario.
+    Only the rows just before an origin are looked up; training rows are never copied per scenario. ``value`` may name
+    several targets of the same rows (name and column): their forecasts stand side by side, as ``y_pred_<name>`` and so on.
+    ``aimed`` are columns of the row a step aims at, met before models are unrolled; steps without such a row are left out.
     """
-    statistics = origin_statistics(series, scenarios, cell, value, window)
-    stepped = scenarios.join(shuffled(statistics), [cell, "origin_position"]).withColumn(
+    ends = {"": value} if isinstance(value, str) else {f"_{name}": c for name, c in value.items()}
+    stepped = scenarios.join(shuffled(_statistics(series, scenarios, cell, ends, window)), [cell, "origin_position"]).withColumn(
         "step", F.explode(F.sequence(F.lit(1), F.col("horizon")))
     )
-    raw = {
-        "Persistence": F.col("last_value"),
-        "MovingAverage": F.col("recent_mean"),
-        "LinearTrend": F.col("intercept") + F.col("slope") * (F.col("origin_position") + F.col("step")),
-    }
-    cells = F.array(*[F.struct(F.lit(m).alias("model_name"), raw[m].alias("y_raw")) for m in models])
-    keep = [*scenarios.columns, "step", "recent_std"]
-    return stepped.select(*keep, F.explode(cells).alias("f")).select(
-        *keep, "f.model_name", "f.y_raw", floored(F.col("f.y_raw"), 0.0).alias("y_pred")
-    )
+    if aimed:
+        # with the same columns this is the shuffle the statistics were read from
+        stepped = stepped.withColumn("pos", F.col("origin_position") + F.col("step")).join(shuffled(series.select(cell, "pos", *aimed)), [cell, "pos"])
+
+    def raw(end: str) -> dict[str, Column]:
+        return {
+            "Persistence": F.col(f"last_value{end}"),
+            "MovingAverage": F.col(f"recent_mean{end}"),
+            "LinearTrend": F.col(f"intercept{end}") + F.col(f"slope{end}") * (F.col("origin_position") + F.col("step")),
+        }
+
+    cells = F.array(*[F.struct(F.lit(m).alias("model_name"), *[raw(end)[m].alias(f"y_raw{end}") for end in ends]) for m in models])
+    keep = [*scenarios.columns, "step", *[f"recent_std{end}" for end in ends], *aimed]
+    return stepped.select(*keep, F.explode(cells).alias("f")).select(*keep, "f.model_name", *[
+        x for end in ends for x in (F.col(f"f.y_raw{end}"), floored(F.col(f"f.y_raw{end}"), 0.0).alias(f"y_pred{end}"))])
 
 
 def with_truth(forecasts: DataFrame, series: DataFrame, cell: str = "cell_id", cycle: str = "cycle",

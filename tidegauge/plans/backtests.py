@@ -399,16 +399,14 @@ def target_variants(spark, sf_dir):
     series, smooth = _variants(spark, sf_dir)
     scenarios = B.scenarios_of(series)
     columns = {"capacity_raw": "capacity_ah", "capacity_ewm_span_9": "ewm", "capacity_roll_median_7": "median7"}
-    long = E.target_variants(smooth, columns, ["cell_id", "pos", "capacity_ah"])
-    named = long.withColumn("series_id", F.struct("cell_id", "target_name"))
-    plans = scenarios.select("cell_id", "scenario_id", "scenario_type", "origin_position", "horizon").withColumn(
-        "target_name", F.explode(F.array(*[F.lit(n) for n in columns]))
-    ).withColumn("series_id", F.struct("cell_id", "target_name"))
+    plans = scenarios.select("cell_id", "scenario_id", "scenario_type", "origin_position", "horizon")
+    # targets stand side by side until each step has met its row: long tables would cross every shuffle three times
     forecasts = M.baseline_forecasts(
-        named.select("series_id", "pos", "target"), plans, "target", "series_id", window=10, models=("Persistence", "MovingAverage")
+        settle(smooth.select("cell_id", "pos", *columns.values())), plans, columns, window=10, models=("Persistence", "MovingAverage"),
+        aimed=list(columns.values()),
     )
-    aimed = forecasts.withColumn("pos", F.col("origin_position") + F.col("step"))
-    scored = aimed.join(shuffled(long), ["cell_id", "target_name", "pos"])
+    scored = E.target_variants(
+        forecasts, columns, ["scenario_type", "model_name", "capacity_ah"], {"y_pred": {name: f"y_pred_{name}" for name in columns}})
     return B.rounded(scored.groupBy("target_name", "scenario_type", "model_name").agg(
         F.count("*").alias("n"), F.avg(F.abs(F.col("y_pred") - F.col("target"))).alias("own_mae"),
         F.avg(F.abs(F.col("y_pred") - F.col("capacity_ah"))).alias("raw_mae"),
