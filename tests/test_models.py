@@ -89,3 +89,24 @@ def test_many_categories_get_a_bin_each(spark, dataset):
     wide = dataset.withColumn("many", F.concat(F.lit("c"), (F.dayofyear("day") % 300).cast("string")))
     tuned = L.tune_boosted(wide, replace(LEARNER, categorical=("many",), bins=4, rounds=2), "target", ["day", "site"])
     assert tuned.model.stages[-1].getNumTrees <= 2
+
+
+def test_first_rounds_of_a_run_need_no_fit_of_their_own(dataset, monkeypatch):
+    train, fits, fit = dataset, [], L.GBTClassifier.fit
+
+    def counted(booster, rows, *rest):
+        fits.append(booster.getMaxIter())
+        return fit(booster, rows, *rest)
+
+    monkeypatch.setattr(L.GBTClassifier, "fit", counted)
+    tuned = L.tune_boosted(train, L.replace(LEARNER, patience=2, rounds=8), "target", ["day", "site"])
+    model = tuned.model.stages[-1]
+    assert fits == [4, 8][:len(fits)] and model.getNumTrees == tuned.rounds
+    inputs = L.PipelineModel(tuned.model.stages[:-1]).transform(L._typed(train, LEARNER)).withColumn("_weight", F.lit(1.0))
+    long = fit(L._boosting(LEARNER, "target", 6, tuned.model), inputs)
+    short = fit(L._boosting(LEARNER, "target", 3, tuned.model), inputs)
+    cut = L.first_rounds(long, 3)
+    assert cut.getNumTrees == cut.getMaxIter() == 3 and cut.toDebugString.split("\n", 1)[1] == short.toDebugString.split("\n", 1)[1]
+    a, b = ([r.probability for r in m.transform(inputs).select("site", "day", "probability").orderBy("site", "day").collect()] for m in (cut, short))
+    assert a == b
+    assert L.first_rounds(long, 6) is long
